@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meridia.llm import bpe, chat, decontaminate, license, quality
+from meridia.llm import bpe, chat, decontaminate, license, pii, quality, sharding, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(docs, _read(spark, sf_dir, "benchmark")))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(_read(spark, sf_dir, "pages"), urls.rules_table(spark))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.with_probe(_read(spark, sf_dir, "conversations")))
 
@@ -25,6 +30,10 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_read(spark, sf_dir, "documents"))
 
@@ -33,4 +42,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_chat_formatting, op5_license_scans, op7_quality_rules, op9_byte_bpe)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymised(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", *[F.col(f"pii.{k}").alias(f"n_{k}") for k in pii.KINDS])
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_url_filters, op4_chat_formatting, op5_license_scans, op6_sharding, op7_quality_rules, op9_byte_bpe, op10_pii)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meridia.llm import quality
+from meridia.llm import quality, urls
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -105,4 +105,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op4_chat_formatting": OP4, "op7_quality_rules": OP7}
+_REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+_FITS = "({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}')"
+
+
+def _op3() -> str:
+    """One WHEN for each rule, the longest first."""
+    longest = sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "block"))
+    fits = [(_FITS.format(host="host", path="path", h=h, p=p), h + p, v) for v, h, p in longest]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + f" ELSE '{urls.DEFAULT}' END"
+    return f"""
+WITH rest AS (SELECT page_id, coalesce({_REST}, '') AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+)
+SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict FROM parts
+"""
+
+
+ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op3_url_filters": _op3(), "op4_chat_formatting": OP4, "op7_quality_rules": OP7}
