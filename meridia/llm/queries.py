@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import bpe, chat, decontaminate, license, pii, quality, sharding, urls
+from meridia.llm import bpe, chat, decontaminate, license, neardup, pii, quality, sharding, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(docs, _read(spark, sf_dir, "benchmark")))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(_read(spark, sf_dir, "pages"), urls.rules_table(spark))
 
@@ -47,4 +51,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", *[F.col(f"pii.{k}").alias(f"n_{k}") for k in pii.KINDS])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_url_filters, op4_chat_formatting, op5_license_scans, op6_sharding, op7_quality_rules, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_minhash_near_dedup, op3_url_filters, op4_chat_formatting, op5_license_scans, op6_sharding, op7_quality_rules, op9_byte_bpe, op10_pii)}

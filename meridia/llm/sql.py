@@ -35,6 +35,32 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP2 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(words[k : k + least(4, len(words)) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 3) + 1)) AS k FROM d WHERE len(words) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (
+  SELECT a, a FROM both_ways
+  UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+),
+least_of AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least, d.doc_id) AS component_id, d.doc_id = coalesce(least, d.doc_id) AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
 _ROLE = "coalesce(role, '')"
 OP4 = f"""
 WITH said AS (
@@ -126,4 +152,4 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict FROM parts
 """
 
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op3_url_filters": _op3(), "op4_chat_formatting": OP4, "op7_quality_rules": OP7}
+ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op2_minhash_near_dedup": OP2, "op3_url_filters": _op3(), "op4_chat_formatting": OP4, "op7_quality_rules": OP7}
