@@ -268,24 +268,25 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = CHUNK
     return _encoded(docs, ranks_path, pattern, chunk, overlap, Digest, DIGEST)
 
 
-class Tokens:
-    """All ids of a text, and the hash of what they decode to."""
+class Tokens(Digest):
+    """All ids of a text, besides."""
 
     def __init__(self, encode: Encoder):
-        self.encode, self.ids, self.decoded = encode, [], hashlib.sha256()
+        super().__init__(encode)
+        self.parts = []
 
     def add(self, ids: bytes) -> None:
-        self.ids.append(ids)
-        self.decoded.update(self.encode.decode(ids))
+        super().add(ids)
+        self.parts.append(ids)
 
     def row(self) -> tuple:
-        ids = b"".join(self.ids)
-        return len(ids) // 4, ids, self.decoded.hexdigest()
+        n, ids, decoded = super().row()
+        return n, b"".join(self.parts), ids, decoded
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256."""
-    return _encoded(docs, ranks_path, pattern, chunk, overlap, Tokens, "n_tokens bigint, ids binary, decoded_sha256 string")
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), ids_sha256, decoded_sha256."""
+    return _encoded(docs, ranks_path, pattern, chunk, overlap, Tokens, "n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:

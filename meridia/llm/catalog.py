@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from meridia.llm import queries as own
 from meridia.llm import sql
 
 
 def queries() -> dict:
-    return dict(own.QUERIES)
+    return own.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

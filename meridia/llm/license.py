@@ -14,6 +14,7 @@ table yields an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import cache
 
@@ -53,7 +54,7 @@ COLUMNS = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, b
 
 
 def errors_of(notice: str) -> int:
-    return max(1, min(MOST_ERRORS, len(notice) // CHARS_PER_ERROR - 1))
+    return max(1, min(MOST_ERRORS, len(notice) // CHARS_PER_ERROR))
 
 
 def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
@@ -107,7 +108,15 @@ def fuzzy(words: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int
             for match in pattern.finditer(words, lo, hi):
                 wrong = sum(match.fuzzy_counts)
                 found.append((label, match.start(), match.end(), wrong, 1 - wrong / length))
-    return sorted(found)
+    # notices resemble each other: of those that overlap the nearest counts, the longest of equals
+    kept: list[tuple[str, int, int, int, float]] = []
+    taken: list[tuple[int, int]] = []
+    for one in sorted(found, key=lambda x: (-x[4], x[1] - x[2], x[1], x[0])):
+        at = bisect.bisect_left(taken, (one[2], -1))
+        if at == 0 or taken[at - 1][1] <= one[1]:
+            kept.append(one)
+            bisect.insort(taken, (one[1], one[2]))
+    return sorted(kept)
 
 
 def base_places(words: str) -> list[tuple[int, str]]:

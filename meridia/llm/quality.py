@@ -1,7 +1,8 @@
 """Line-first quality rules.
 
-Every line is judged by itself (punctuation, navigation, boilerplate); failing
-lines go, and a document that loses too much of its text goes whole. Base
+Every line is judged by itself (punctuation, navigation, boilerplate; prose ends
+a sentence somewhere in the line, so that an unfinished last sentence is no
+fault); failing lines go, and a document that loses too much of its text goes whole. Base
 measures of the whole text (length and repeated five-word windows) reject too.
 One pass over the rows, no shuffle.
 
@@ -33,8 +34,8 @@ _BLANKS = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
 
 # Rules of a line. Bytes patterns; the closing marks are UTF-8.
-#: A line ends as a sentence does, closing quotes and brackets aside.
-ENDS = "(?:[.!?:;]|…|。|！|？)(?:[\"')\\]}]|»|”|’|“)*[ \\t\\r\\x0b\\x0c]*$"
+#: Somewhere a sentence ends: a mark, closing quotes and brackets, then a blank or the line's end.
+ENDS = "(?:[.!?:;]|…|。|！|？)(?:[\"')\\]}]|»|”|’|“)*(?:[ \\t\\r\\x0b\\x0c]|$)"
 #: A word that ends in repeated marks or in symbols.
 NOISY = "(?:[!?][!?]+|[#*$%&|<>]+)$"
 #: A word that only separates menu items.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import bpe, chat, decontaminate, license, neardup, pii, quality, sharding, urls
+from meridia.llm import bpe, chat, decontaminate, license, lm, neardup, pii, quality, sharding, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.scored(docs, lm.fit(docs))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,4 +56,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", *[F.col(f"pii.{k}").alias(f"n_{k}") for k in pii.KINDS])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_minhash_near_dedup, op3_url_filters, op4_chat_formatting, op5_license_scans, op6_sharding, op7_quality_rules, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_minhash_near_dedup, op3_url_filters, op4_chat_formatting, op5_license_scans, op6_sharding, op7_quality_rules, op8_lm_scoring, op9_byte_bpe, op10_pii)}
