@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.plans import retrieval
+from meridia.plans import answers, experiments, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with QUERIES (name -> callable) and ORACLE (name -> SQL).
-MODULES = (retrieval,)
+MODULES = (retrieval, answers, experiments)
 
 
 def queries() -> dict[str, Query]:
