@@ -2,29 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm.common import written
 
 
+#: Links that one task may hold (32 MB as numbers); more go by rounds over all tasks.
+LOCAL = 2_000_000
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node that each reaches: hook to the lesser label, then jump, until nothing changes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[left], label[right])
+        new = label.copy()
+        # a label's own root takes the lesser one too, so that whole trees move
+        for side in (left, right):
+            np.minimum.at(new, label[side], least)
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _locally(edges: DataFrame) -> DataFrame:
+    """Components of at most LOCAL links, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = [(x.column("u").to_numpy(), x.column("v").to_numpy()) for x in batches]
+        if sides:
+            nodes, component = least_reached(*(np.concatenate(side) for side in zip(*sides)))
+            for k in range(0, len(nodes), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + (1 << 16)]), pa.array(component[k : k + (1 << 16)])], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node bigint, component bigint")
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with the least of u and its neighbours as `least`."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
     return edges.join(least, "u")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", *, local: int = LOCAL) -> DataFrame:
     """(node, component): the least node that each linked node reaches. links: a bigint, b bigint.
 
-    Alternates two steps until nothing changes: every node hands its larger
-    neighbours to the least one (large star), then its smaller ones (small
+    Up to `local` links are few enough for one task. Beyond, it alternates two steps until
+    nothing changes: every node hands its larger neighbours to the least one (large star), then its smaller ones (small
     star). A node's neighbours are never gathered: the least is a partial
     aggregate and comes back by a join, which splits a hot node's rows. Every
     round is written to the shared folder.
     """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     state = _state(edges)
+    if state[0] <= local:
+        return _locally(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()

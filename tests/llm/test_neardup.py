@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from meridia.llm import neardup
-from meridia.llm.graph import components
+from meridia.llm.graph import components, least_reached
 from tests.llm.helpers import docs, prose, rows
 
 
@@ -34,8 +35,6 @@ def test_against_brute_force(spark, options):
 def test_a_large_family_is_one_component_without_all_pairs():
     sets, rng = [], random.Random(1)
     base = rng.sample(range(10**9), 200)
-    import numpy as np
-
     for _ in range(300):
         own = list(base)
         for _ in range(rng.choice([1, 5, 12, 60])):
@@ -66,7 +65,20 @@ def test_empty_repeated_null_and_extra_columns(spark):
     assert rows(neardup.keep_one(many), "doc_id", "kept") == [(1, 2), (None, 3), (None, 4)]
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components_of_chains_and_stars(spark, local):
     links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
-    found = rows(components(spark.createDataFrame(links, "a bigint, b bigint")), "node", "component")
+    found = rows(components(spark.createDataFrame(links, "a bigint, b bigint"), local=local), "node", "component")
     assert found == sorted([(k, 0) for k in range(61)] + [(k, 100) for k in range(100, 160)] + [(200, 200), (201, 200)], key=repr)
+
+
+def test_local_components_of_random_graphs():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        a, b = rng.integers(0, 60, 40), rng.integers(0, 60, 40)
+        least = {int(x): int(x) for x in [*a, *b]}
+        for _ in range(60):
+            for x, y in zip(a.tolist(), b.tolist()):
+                least[x] = least[y] = min(least[x], least[y])
+        nodes, found = least_reached(a, b)
+        assert dict(zip(nodes.tolist(), found.tolist())) == least
