@@ -294,7 +294,7 @@ def prompt_cache_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gauge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")) * 1000000 + F.col("event_id"))
+    own = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     return rs.gauge_summary(own, "event_type", ts="us", gauges=["value"], counters=["event_id"], energy="user_id").withColumn("value_avg", F.round("value_avg", 4))
 
 

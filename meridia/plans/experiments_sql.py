@@ -188,7 +188,7 @@ SELECT event_type, count(*) AS n_accesses, round(count_if(kind = 'local') / coun
 WITH r AS (SELECT event_type, event_id % 900 + 100 AS prompt, CASE WHEN event_id % 6 <> 0 THEN event_id % 90 END AS cached FROM events)
 SELECT event_type, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, CAST(sum(cached) AS BIGINT) AS cached_tokens, round(sum(cached) / sum(prompt), 9) AS cached_ratio, round(avg((cached > 0)::INT), 9) AS request_rate, round(median(prompt - cached), 9) AS median_uncached, count_if(cached IS NULL) AS n_missing FROM r GROUP BY event_type
 """,
-    "gauge_summary": "SELECT event_type, max(value) AS value_peak, round(avg(value), 4) AS value_avg, max_by(value, epoch_us(ts) * 1000000 + event_id) AS value_last, max(event_id) AS event_id_max, max_by(user_id, epoch_us(ts) * 1000000 + event_id) - min_by(user_id, epoch_us(ts) * 1000000 + event_id) AS energy FROM events GROUP BY event_type",
+    "gauge_summary": "SELECT event_type, max(value) AS value_peak, round(avg(value), 4) AS value_avg, max_by(value, epoch_us(ts)) AS value_last, max(event_id) AS event_id_max, max_by(user_id, epoch_us(ts)) - min_by(user_id, epoch_us(ts)) AS energy FROM events GROUP BY event_type",
     "kv_footprint": "SELECT doc_id, n_chars * 81920 * [1, 2, 4][doc_id % 3 + 1] AS kv_bytes, n_chars * 23040 * [1, 2, 4][doc_id % 3 + 1] AS latent_bytes FROM documents",
     "pareto_frontier": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_retailprice <= p.p_retailprice AND q.p_size <= p.p_size AND (q.p_retailprice < p.p_retailprice OR q.p_size < p.p_size))",
     "minmax_trilemma": "SELECT s_suppkey, round(CASE WHEN hi = lo THEN 50 ELSE 100 * (s_acctbal - lo) / (hi - lo) END, 6) AS score FROM (SELECT *, min(s_acctbal) OVER w AS lo, max(s_acctbal) OVER w AS hi FROM supplier WINDOW w AS (PARTITION BY s_nationkey))",
