@@ -1 +1 @@
-"""Part of meridia: streaming."""
+"""Streaming forms of the serving analytics."""
