@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.plans import answers, composites, experiments, retrieval
+from meridia.plans import answers, campaigns, composites, experiments, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with QUERIES (name -> callable) and ORACLE (name -> SQL).
-MODULES = (retrieval, answers, experiments, composites)
+MODULES = (retrieval, answers, experiments, composites, campaigns)
 
 
 def queries() -> dict[str, Query]:

@@ -187,3 +187,75 @@ def needles(spark: SparkSession, items: int, *, sentences: int, needles: int, se
     said = lambda p: F.concat(F.lit("The secret number "), p["k"].cast("string"), F.lit(" is "), p["value"], F.lit("."))
     woven = F.flatten(F.transform("noise", lambda s, i: F.concat(F.transform(F.filter("pins", lambda p: p["depth"] == i), said), F.array(s))))
     return own.select(F.col("id"), F.array_join(woven, " ").alias("context"), F.lit("What are the secret numbers?").alias("question"), F.array_join(F.transform("pins", lambda p: p["value"]), ", ").alias("answer"), F.transform("pins", lambda p: p["depth"]).alias("depths"))
+
+
+def open_questions(raw: DataFrame) -> DataFrame:
+    """Questions without contexts: id, question, answers array."""
+    return raw.select("id", "question", F.array().cast("array<string>").alias("context"), F.coalesce(F.get("answers", F.lit(0)), F.lit("")).alias("answer"), F.array_distinct("answers").alias("all_answers"))
+
+
+def entity_pages(raw: DataFrame) -> DataFrame:
+    """Questions with their entity pages as `title: text`, empty pages left out: pages array<struct<title, text>>, answer, aliases."""
+    pages = F.filter("pages", lambda p: F.trim(F.coalesce(p["text"], F.lit(""))) != "")
+    return raw.select("id", "question", F.transform(pages, lambda p: F.concat_ws(": ", p["title"], p["text"])).alias("context"), "answer", F.array_distinct(F.concat(F.array("answer"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("all_answers"))
+
+
+def either_spelling(raw: DataFrame, spellings: dict[str, list[str]]) -> DataFrame:
+    """Columns under one name, from the first spelling that a row has."""
+    return raw.select(*[F.coalesce(*[F.col(c) for c in names if c in raw.columns], F.lit(None)).alias(name) for name, names in spellings.items()])
+
+
+def by_category(raw: DataFrame, category: str) -> DataFrame:
+    return raw.filter(F.col("category") == category)
+
+
+def required_columns(df: DataFrame, columns: list[str], *, what: str = "table") -> DataFrame:
+    """The table, refused if a column is missing or it has no rows."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{what} lacks {missing}")
+    if not df.limit(1).count():
+        raise ValueError(f"{what} is empty")
+    return df
+
+
+def anchor(df: DataFrame, *, score: str = "score", label: str = "label", length: str = "context_length", item: str = "item_id") -> DataFrame:
+    """item_id, score, label, context_length; ids must be unique, numbers finite, labels 0 or 1. One pass checks, one row returns."""
+    required_columns(df, [score, label, length, item], what="anchor")
+    own = df.select(F.col(item).cast("string").alias("item_id"), F.col(score).try_cast("double").alias("score"), F.col(label).try_cast("int").alias("label"), F.col(length).try_cast("double").alias("context_length"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    by_item = own.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(~(finite("score") & finite("context_length") & F.coalesce(F.col("label").isin(0, 1), F.lit(False)))).alias("bad"))
+    found = by_item.agg(F.count_if(F.col("n") > 1).alias("twice"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    if found["twice"] or found["bad"]:
+        raise ValueError(f"anchor: {found['twice']} ids twice, {found['bad']} bad rows")
+    return own
+
+
+# What a manifest must say.
+PROVENANCE = ("run_id", "campaign", "model", "engine", "seed", "datasets")
+
+
+def manifest(spark: SparkSession, path: str) -> dict:
+    """A run's manifest: provenance complete, run_id of word characters, a list of datasets."""
+    import json
+    import re
+
+    from meridia.sources.sinks import read_text
+
+    raw = read_text(spark, path)
+    if raw is None:
+        raise FileNotFoundError(path)
+    own = json.loads(raw)
+    missing = [k for k in PROVENANCE if own.get(k) in (None, "", [])]
+    if missing or not re.fullmatch(r"[\w.-]+", str(own["run_id"])) or not isinstance(own["datasets"], list):
+        raise ValueError(f"manifest: missing {missing}, run_id {own.get('run_id')!r}")
+    return own
+
+
+def tree_findings(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
+    """Cells, datasets and windows that a run should have but lacks, or has beyond that. expected: row_key, dataset, window."""
+    from meridia.operators.integrity import coverage
+    from meridia.sources.sinks import cells_index
+
+    keys = ["row_key", "dataset", "window"]
+    return coverage(expected.select(*keys), cells_index(spark, root).select(*keys), keys)
