@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -79,6 +78,15 @@ def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_column(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Make sure that a text column is a string, so that typed readers can rely on it."""
-    return docs.withColumn(text, F.col(text).cast("string"))
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all written tables of this library; call it when no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/meridia")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores before it as long as a column has it already."""
+    known = {c.lower() for c in columns}
+    while name in known:
+        name = "_" + name
+    return name

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meridia.llm.common import as_bytes, item_words, slices
+from meridia.llm.common import as_bytes, free_name, item_words, slices
 from meridia.llm.suffix import SuffixArray
 
 WINDOW = 13
@@ -167,7 +167,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """Every document with n_words, n_hit, hit spans, items and the verdict.
 
     Adds `contamination` = struct(n_words, n_hit, spans array<int> of starts and
-    ends in words, items array<string>, contaminated) to the given columns.
+    ends in words, items array<string>, contaminated) to the given columns
+    (`_contamination` if there is one).
     """
     own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
     at = f"c{docs.columns.index(text)}"
@@ -183,13 +184,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         F.col("_words").alias("n_words"), F.col("_hit").alias("n_hit"), F.col("_spans").alias("spans"), F.col("_items").alias("items"),
         ((F.col("_hit") > 0) & (F.lit(share) * F.col("_hit") >= F.col("_words"))).alias("contaminated"),
     )
-    return state.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], verdict.alias("contamination"))
+    return state.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], verdict.alias(free_name(docs.columns, "contamination")))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
     found = contamination(docs, benchmark, **options)
-    return found.filter(~F.col("contamination.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.filter(~F.col(free_name(docs.columns, "contamination") + ".contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -21,7 +21,7 @@ shared folder cut the lineage.
 
 Nulls and edges: a null text, or one without words, is empty, linked with
 nothing, and its own component; a text of fewer words than a shingle is one
-shingle; a null doc_id is its own component unless linked; rows that share a
+shingle; a null doc_id is linked through an equal set only; rows that share a
 doc_id but not their set are judged apart; an empty table yields an empty table;
 extra columns are kept by `keep_one`.
 """

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meridia.llm.common import slices
+from meridia.llm.common import free_name, slices
 
 ROUNDS = 10
 #: For tests and benchmarks only; give your own.
@@ -216,7 +216,7 @@ _ALONE = {k: re.compile(p) for k, p in KINDS.items()}
 
 
 def pseudonymised(docs: DataFrame, *, key: bytes = EXAMPLE_KEY, text: str = "text") -> DataFrame:
-    """The given columns with pseudonyms in `text`, and `pii`: how many values of each kind."""
+    """The given columns with pseudonyms in `text`, and `pii` (`_pii` if there is one): how many values of each kind."""
     own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
     at = docs.columns.index(text)
     plain = docs.select(*own).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
@@ -231,7 +231,7 @@ def pseudonymised(docs: DataFrame, *, key: bytes = EXAMPLE_KEY, text: str = "tex
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array([m[1].get(k, 0) for m in made], pa.int64()) for k in kinds]], names=schema.fieldNames())
 
     found = plain.mapInArrow(run, schema)
-    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.struct(*kinds).alias("pii"))
+    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.struct(*kinds).alias(free_name(docs.columns, "pii")))
 
 
 def remove(docs: DataFrame, **options) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meridia.llm.common import as_bytes, lower_ascii, slices
+from meridia.llm.common import as_bytes, free_name, lower_ascii, slices
 
 LEAST_WORDS = 10
 #: Most per cent of words in repeated windows.
@@ -121,7 +121,7 @@ def judge(text: bytes | None) -> tuple:
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The given columns and `quality`, a struct of SCHEMA."""
+    """The given columns and `quality` (`_quality` if there is one), a struct of SCHEMA."""
     own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
     at = f"c{docs.columns.index(text)}"
     plain = docs.select(*own).withColumn(at, F.col(at).cast("string"))
@@ -135,12 +135,13 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=schema.fieldNames())
 
     found = plain.mapInArrow(run, schema)
-    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.struct(*SCHEMA.fieldNames()).alias("quality"))
+    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.struct(*SCHEMA.fieldNames()).alias(free_name(docs.columns, "quality")))
 
 
 def clean(docs: DataFrame, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
     """The documents that pass, without their failing lines; `chars`, if a column, counts anew."""
-    found = judged(docs, text).filter("quality.kept").withColumn(text, F.col("quality.clean_text"))
+    q = free_name(docs.columns, "quality")
+    found = judged(docs, text).filter(f"{q}.kept").withColumn(text, F.col(f"{q}.clean_text"))
     if chars in docs.columns:
         found = found.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -176,6 +176,16 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).count() == 0
 
 
+def test_stages_keep_columns_with_their_own_names(spark, tmp_path):
+    docs(spark, [(1, "no such words here")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = "Ten plain words stand in this line, and it ends well."
+    table = docs(spark, [(1, good, 1, "a", "b", 5, 6)], "doc_id bigint, text string, n_chars int, quality string, pii string, contamination int, kept int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, table, str(tmp_path))
+        assert found.dtypes == table.dtypes, name
+        assert rows(found, "doc_id", "text", "quality", "pii", "contamination", "kept") == [(1, good, "a", "b", 5, 6)], name
+
+
 def test_every_operator_is_registered():
     names = catalog.queries()
     for n in range(1, 11):
