@@ -190,9 +190,9 @@ def rope(diffs: np.ndarray, width: float, *, prior: float = 0.5, samples: int =
     order = np.argsort(z, kind="stable")
     sorted_z, sorted_w = z[order], weights[:, order]
     running = np.concatenate([np.zeros((samples, 1)), np.cumsum(sorted_w, axis=1)], axis=1)
-    # (z_i + z_j) / 2 < -width, and > width
-    below = np.array([np.count_nonzero((sorted_z + x) / 2 < -width) for x in sorted_z])
-    above = np.array([np.count_nonzero((sorted_z + x) / 2 <= width) for x in sorted_z])
+    # partners with (z_i + z_j) / 2 < -width, and those that aren't > width
+    below = np.searchsorted(sorted_z, -2 * width - sorted_z, side="left")
+    above = np.searchsorted(sorted_z, 2 * width - sorted_z, side="right")
     left = (sorted_w * running[:, below]).sum(axis=1)
     right = (sorted_w * (running[:, -1:] - running[:, above])).sum(axis=1)
     won = np.argmax(np.stack([left, 1 - left - right, right]), axis=0)

@@ -125,8 +125,8 @@ WITH l AS (SELECT o_custkey AS key, 'price' AS field, o_totalprice AS v FROM ord
 SELECT key, field, round(avg(v), 6) AS value, count(*) AS n FROM l GROUP BY ALL
 """,
     "request_verdicts": "SELECT event_id AS id, event_id % 5 <> 0 AS ok, event_id % 5 <> 0 AND event_id % 3 = 0 AS veridical FROM events",
-    "window_accounting": "SELECT event_type, count(*) AS n, count_if(event_id % 13 = 0) AS n_error, count_if(event_id % 7 <> 0 AND event_id % 5 = 0) AS n_failed, count_if(event_id % 17 = 0) AS n_empty, count_if(event_id % 7 = 0) AS n_unknown, count_if(event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0) AS n_valid FROM events GROUP BY event_type",
-    "reproducibility": "SELECT count(*) AS n_repeated, count_if(d > 1) AS n_violations FROM (SELECT doc_id % 400 AS k, count(*) AS n, count(DISTINCT lang) AS d FROM documents GROUP BY 1) WHERE n >= 2",
+    "window_accounting": "SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 13 = 0) AS n_error, count(*) FILTER (event_id % 7 <> 0 AND event_id % 5 = 0) AS n_failed, count(*) FILTER (event_id % 17 = 0) AS n_empty, count(*) FILTER (event_id % 7 = 0) AS n_unknown, count(*) FILTER (event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0) AS n_valid FROM events GROUP BY event_type",
+    "reproducibility": "SELECT count(*) AS n_repeated, count(*) FILTER (d > 1) AS n_violations FROM (SELECT doc_id % 400 AS k, count(*) AS n, count(DISTINCT lang) AS d FROM documents GROUP BY 1) WHERE n >= 2",
     "realized_n": "SELECT event_type, n, CASE WHEN n >= 2000 THEN 2000 WHEN n >= 1600 THEN 1600 WHEN n >= 1200 THEN 1200 END AS step, n >= 1600 AS ok FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)",
     "truth_tax_pool": "WITH m AS (SELECT quantile_cont(value, 0.5) AS m FROM events) SELECT event_id AS example_id, (value <= 10 * m)::INT::DOUBLE AS g, (event_id % 3 <> 0)::INT::DOUBLE AS y, (value <= 10 * m)::INT::DOUBLE - (event_id % 3 <> 0)::INT::DOUBLE AS tax FROM events, m",
     "instrument_calibration": f"""
@@ -137,7 +137,7 @@ c AS (SELECT score, count(*) AS t, sum(quality) AS pos FROM scored GROUP BY scor
 tail AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(t) OVER (ORDER BY score DESC) AS n, sum(pos) OVER () AS p FROM c),
 best AS (SELECT score AS tau, tp / n AS precision, tp / p AS recall FROM tail WHERE tp / n >= 0.85::DOUBLE - 1e-12 ORDER BY score LIMIT 1),
 whole AS (SELECT CAST(sum(quality) AS BIGINT) AS n_pos, CAST(count(*) - sum(quality) AS BIGINT) AS n_neg, {_AUC} AS auc FROM r),
-worst AS (SELECT min(auc) AS worst, count_if(auc IS NULL) AS n_unusable_bins FROM bins)
+worst AS (SELECT min(auc) AS worst, count(*) FILTER (auc IS NULL) AS n_unusable_bins FROM bins)
 SELECT n_pos, n_neg, round(auc, 9) AS auc, round(worst, 9) AS worst_bin_auc, round(tau, 9) AS tau, round(precision, 9) AS precision, round(recall, 9) AS recall, n_unusable_bins, tau IS NOT NULL AND n_unusable_bins = 0 AND worst >= 0.3::DOUBLE AS passed FROM whole, worst LEFT JOIN best ON true
 """,
     "equivalence_pairs": """

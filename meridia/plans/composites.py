@@ -174,7 +174,7 @@ WITH {_LONG_SQL},
 pairs AS (SELECT example_id % 3 AS dataset, p.cell, p.value - r.value AS delta FROM per_example p JOIN per_example r USING (example_id) WHERE r.cell = 'N' AND p.cell <> 'N'),
 ranked AS (SELECT *, rank() OVER (PARTITION BY dataset, cell ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY dataset, cell, abs(delta)) - 1) / 2 AS r FROM pairs),
 tied AS (SELECT dataset, cell, sum(t * t * t - t) AS ties FROM (SELECT dataset, cell, CAST(count(*) AS DOUBLE) AS t FROM pairs WHERE delta <> 0 GROUP BY dataset, cell, abs(delta)) GROUP BY ALL),
-sums AS (SELECT dataset, cell, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(delta = 0) AS DOUBLE) AS z, count_if(delta > 0) AS wins, count_if(delta < 0) AS losses, count_if(delta = 0) AS ties0, median(delta) AS median_delta, coalesce(sum(r) FILTER (delta > 0), 0) AS w FROM ranked GROUP BY ALL),
+sums AS (SELECT dataset, cell, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (delta = 0) AS DOUBLE) AS z, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties0, median(delta) AS median_delta, coalesce(sum(r) FILTER (delta > 0), 0) AS w FROM ranked GROUP BY ALL),
 zs AS (SELECT *, greatest(abs(w - (n * (n + 1) - z * (z + 1)) / 4) - 0.5::DOUBLE, 0) / sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - ties / 2) / 24) AS zz FROM sums JOIN tied USING (dataset, cell)),
 s AS (SELECT *, (count(*) OVER (PARTITION BY dataset) - row_number() OVER (PARTITION BY dataset ORDER BY 1 / (1 + zz * zz), cell) + 1) / (1 + zz * zz) AS scaled FROM zs)
 SELECT dataset, cell, CAST(n AS BIGINT) AS n_pairs, wins, losses, ties0 AS ties, round(median_delta, 6) AS median_delta, round(zz, 6) AS z, round(least(1, max(scaled) OVER (PARTITION BY dataset ORDER BY 1 / (1 + zz * zz), cell ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s
@@ -184,9 +184,9 @@ SELECT dataset, cell, CAST(n AS BIGINT) AS n_pairs, wins, losses, ties0 AS ties,
 WITH g AS (SELECT c_custkey % 5 AS effect, CAST(c_custkey % 8 * 10 AS INTEGER) AS n, round(avg(c_acctbal) / 6000, 9) AS power FROM customer GROUP BY ALL)
 SELECT effect, min(n) FILTER (power >= 0.8::DOUBLE) AS required_n, CASE WHEN min(n) FILTER (power >= 0.8::DOUBLE) IS NULL THEN 'NOT_REACHED' ELSE 'REACHED' END AS status FROM g GROUP BY effect
 """,
-    "stale_selection": "WITH h AS (SELECT CAST('0x' || sha1('42:' || event_id)[1:8] AS BIGINT) / 4294967295.0::DOUBLE AS f FROM events) SELECT CAST(0 AS BIGINT) AS n_0, count_if(f < 0.1::DOUBLE) AS n_10, count_if(f < 0.5::DOUBLE) AS n_50, count(*) AS n_100 FROM h",
+    "stale_selection": "WITH h AS (SELECT CAST('0x' || sha1('42:' || event_id)[1:8] AS BIGINT) / 4294967295.0::DOUBLE AS f FROM events) SELECT CAST(0 AS BIGINT) AS n_0, count(*) FILTER (f < 0.1::DOUBLE) AS n_10, count(*) FILTER (f < 0.5::DOUBLE) AS n_50, count(*) AS n_100 FROM h",
     "streaming_goodput": """
 WITH r AS (SELECT epoch_us(ts) // 21600000000 * 21600 AS t_start, event_id % 19 <> 0 AS ok, event_id % 19 <> 0 AND value / 100 <= 1 AND value / 2000 <= 0.1::DOUBLE AS timely, event_id % 7 <> 0 AS v FROM events)
-SELECT t_start, count(*) AS n_issued, count_if(ok) AS n_completed, count_if(timely) AS n_timely, count_if(timely AND v) AS n_yield, round(count_if(timely) / count(*), 9) AS goodput_frac, round((count_if(timely) - count_if(timely AND v)) / count(*), 9) AS truth_tax_frac FROM r GROUP BY t_start
+SELECT t_start, count(*) AS n_issued, count(*) FILTER (ok) AS n_completed, count(*) FILTER (timely) AS n_timely, count(*) FILTER (timely AND v) AS n_yield, round(count(*) FILTER (timely) / count(*), 9) AS goodput_frac, round((count(*) FILTER (timely) - count(*) FILTER (timely AND v)) / count(*), 9) AS truth_tax_frac FROM r GROUP BY t_start
 """,
 }

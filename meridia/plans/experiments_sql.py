@@ -88,19 +88,19 @@ predicates AS (
 """
 
 ORACLE = {
-    "validity_counts": f"WITH {_LONG} SELECT cell, count(*) AS n, count_if(k % 17 = 0) AS n_error, count_if(k % 23 = 0) AS n_empty, count_if(k % 17 <> 0 AND k % 23 <> 0 AND k % 11 <> 0) AS n_headline FROM long GROUP BY cell",
+    "validity_counts": f"WITH {_LONG} SELECT cell, count(*) AS n, count(*) FILTER (k % 17 = 0) AS n_error, count(*) FILTER (k % 23 = 0) AS n_empty, count(*) FILTER (k % 17 <> 0 AND k % 23 <> 0 AND k % 11 <> 0) AS n_headline FROM long GROUP BY cell",
     "per_example_mean": f"WITH {_LONG} SELECT cell, example_id, round(value, 6) AS value, n_rows FROM per_example",
     "cell_summary": f"WITH {_LONG} SELECT cell, count(*) AS n_examples, CAST(sum(n_rows) AS BIGINT) AS n_rows, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(coalesce(stddev_samp(value), 0), 4) AS std FROM per_example GROUP BY cell",
     "mean_of_trial_means": f"WITH {_LONG} SELECT cell, round(avg(m), 4) AS mean_of_trial_means, count(*) AS n_trials FROM (SELECT cell, trial, avg(price) AS m FROM headline GROUP BY ALL) GROUP BY cell",
     "trial_aggregate": f"WITH {_LONG} SELECT trial, round(avg(price), 4) AS mean, round(stddev_pop(price), 4) AS std, round(min(price), 4) AS min, round(max(price), 4) AS max, count(*) AS n FROM valid GROUP BY trial",
     "paired_deltas": f"WITH {_PAIRS} SELECT example_id, round(a, 7) AS a, round(b, 7) AS b, round(delta, 7) AS delta FROM pairs",
-    "win_loss_tie": f"WITH {_PAIRS} SELECT count(delta) AS n_pairs, count_if(delta > 100) AS wins, count_if(delta < -100) AS losses, count_if(abs(delta) <= 100) AS ties, count_if(delta IS NULL) AS n_dropped, round(avg(delta), 4) AS mean_delta, round(median(delta), 4) AS median_delta FROM pairs",
+    "win_loss_tie": f"WITH {_PAIRS} SELECT count(delta) AS n_pairs, count(*) FILTER (delta > 100) AS wins, count(*) FILTER (delta < -100) AS losses, count(*) FILTER (abs(delta) <= 100) AS ties, count(*) FILTER (delta IS NULL) AS n_dropped, round(avg(delta), 4) AS mean_delta, round(median(delta), 4) AS median_delta FROM pairs",
     "sign_flip_share": f"WITH {_PAIRS}, m AS (SELECT median(delta) AS m FROM pairs) SELECT round(max(m), 4) AS median, round(avg(CASE WHEN m = 0 THEN (delta <> 0)::INT ELSE (sign(delta) = -sign(m))::INT END), 9) AS flip_share FROM pairs, m WHERE delta IS NOT NULL",
     "wilcoxon_pratt": f"""
 WITH {_PAIRS},
 ranked AS (SELECT *, rank() OVER (PARTITION BY contrast ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY contrast, abs(a - b)) - 1) / 2 AS r FROM contrasts),
 tied AS (SELECT contrast, sum(t * t * t - t) AS ties FROM (SELECT contrast, CAST(count(*) AS DOUBLE) AS t FROM contrasts WHERE a <> b GROUP BY contrast, abs(a - b)) GROUP BY contrast),
-sums AS (SELECT contrast, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(a = b) AS DOUBLE) AS z, coalesce(sum(r) FILTER (a > b), 0) AS w_plus, coalesce(sum(r) FILTER (a < b), 0) AS w_minus FROM ranked GROUP BY contrast),
+sums AS (SELECT contrast, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (a = b) AS DOUBLE) AS z, coalesce(sum(r) FILTER (a > b), 0) AS w_plus, coalesce(sum(r) FILTER (a < b), 0) AS w_minus FROM ranked GROUP BY contrast),
 moments AS (SELECT *, (n * (n + 1) - z * (z + 1)) / 4 AS w_mean, (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - ties / 2) / 24 AS w_var FROM sums JOIN tied USING (contrast))
 SELECT contrast, CAST(n AS BIGINT) AS n_pairs, CAST(z AS BIGINT) AS n_zero, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round(w_mean, 6) AS w_mean, round(w_var, 6) AS w_var, round(greatest(abs(w_plus - w_mean) - 0.5::DOUBLE, 0) / sqrt(w_var), 6) AS z FROM moments
 """,
@@ -108,12 +108,12 @@ SELECT contrast, CAST(n AS BIGINT) AS n_pairs, CAST(z AS BIGINT) AS n_zero, roun
 WITH {_LONG},
 v AS (SELECT example_id % 4 AS contrast, cell, round(value / 1000) AS value FROM per_example WHERE cell IN ('A', 'N')),
 ranked AS (SELECT *, rank() OVER (PARTITION BY contrast ORDER BY value) + (count(*) OVER (PARTITION BY contrast, value) - 1) / 2 AS r FROM v),
-sums AS (SELECT contrast, count_if(cell = 'A') AS n_a, count_if(cell = 'N') AS n_b, sum(r) FILTER (cell = 'A') AS ra FROM ranked GROUP BY contrast)
+sums AS (SELECT contrast, count(*) FILTER (cell = 'A') AS n_a, count(*) FILTER (cell = 'N') AS n_b, sum(r) FILTER (cell = 'A') AS ra FROM ranked GROUP BY contrast)
 SELECT contrast, n_a, n_b, ra - n_a * (n_a + 1) / 2 AS u, round(2 * (ra - n_a * (n_a + 1) / 2) / (n_a * n_b) - 1, 9) AS cliffs_delta FROM sums
 """,
     "mcnemar_counts": f"""
 WITH {_PAIRS}, b2 AS (SELECT contrast, a >= 38 AS a, b >= 38 AS b FROM contrasts)
-SELECT contrast, count(*) AS n_pairs, count_if(a AND b) AS n11, count_if(NOT a AND NOT b) AS n00, count_if(a AND NOT b) AS n10, count_if(NOT a AND b) AS n01, round((count_if(a AND NOT b) - count_if(NOT a AND b)) / count(*), 9) AS diff FROM b2 GROUP BY contrast
+SELECT contrast, count(*) AS n_pairs, count(*) FILTER (a AND b) AS n11, count(*) FILTER (NOT a AND NOT b) AS n00, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01, round((count(*) FILTER (a AND NOT b) - count(*) FILTER (NOT a AND b)) / count(*), 9) AS diff FROM b2 GROUP BY contrast
 """,
     "welch_stats": """
 WITH m AS (SELECT CASE WHEN event_type = 'click' THEN 'a' ELSE 'b' END AS side, hour(ts) AS w, round(avg(value), 9) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL),
@@ -136,7 +136,7 @@ SELECT round(score, 9) AS tau, round(tp / n, 9) AS precision, round(tp / p, 9) A
 """,
     "tau_balanced_accuracy": f"""
 WITH {_SCORED}, taus AS (SELECT DISTINCT score AS tau FROM scored),
-swept AS (SELECT tau, round((count_if(score < tau AND toxic = 1) / sum(toxic) + 1 - count_if(score < tau AND toxic = 0) / count_if(toxic = 0)) / 2, 12) AS ba FROM taus, scored GROUP BY tau),
+swept AS (SELECT tau, round((count(*) FILTER (score < tau AND toxic = 1) / sum(toxic) + 1 - count(*) FILTER (score < tau AND toxic = 0) / count(*) FILTER (toxic = 0)) / 2, 12) AS ba FROM taus, scored GROUP BY tau),
 top AS (SELECT max(ba) AS best FROM swept)
 SELECT round(min(tau) FILTER (ba = best), 9) AS tau, round(max(best), 9) AS balanced_accuracy, round(min(tau) FILTER (ba >= best - 0.01::DOUBLE), 9) AS band_low, round(max(tau) FILTER (ba >= best - 0.01::DOUBLE), 9) AS band_high FROM swept, top
 """,
@@ -144,7 +144,7 @@ SELECT round(min(tau) FILTER (ba = best), 9) AS tau, round(max(best), 9) AS bala
     "drift_audit": f"WITH {_SCORED}, b AS (SELECT score, score + CASE WHEN doc_id % 10 = 0 THEN 0.25::DOUBLE ELSE 0 END AS again FROM scored) SELECT count(*) AS n, round(avg(abs(score - again)), 9) AS mean_abs_delta, round(avg(((score >= 7) <> (again >= 7))::INT), 9) AS flip_rate FROM b",
     "collision_probability": "SELECT o_orderstatus, round(sum(c * c) / (sum(c) * sum(c)), 9) AS collision_probability FROM (SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS DOUBLE) AS c FROM orders GROUP BY ALL) GROUP BY o_orderstatus",
     "goodput_window": f"""
-WITH {_REQUESTS}, c AS (SELECT window_id, count(*) AS n_issued, count_if(ok) AS n_completed, count_if(timely) AS n_timely, count_if(veridical) AS n_veridical, count_if(timely AND veridical) AS n_yield FROM requests GROUP BY window_id)
+WITH {_REQUESTS}, c AS (SELECT window_id, count(*) AS n_issued, count(*) FILTER (ok) AS n_completed, count(*) FILTER (timely) AS n_timely, count(*) FILTER (veridical) AS n_veridical, count(*) FILTER (timely AND veridical) AS n_yield FROM requests GROUP BY window_id)
 SELECT CAST(window_id AS INTEGER) AS window_id, n_issued, n_completed, n_timely, n_veridical, n_yield, round(n_completed / n_issued, 9) AS attainment, round(n_completed / 3600, 9) AS throughput_rps, round(n_timely / 3600, 9) AS goodput_rps, round(n_yield / 3600, 9) AS yield_rps,
   round(n_timely / n_issued * (n_veridical / n_issued), 9) AS independence_null_frac, round(n_yield / n_issued - n_timely / n_issued * (n_veridical / n_issued), 9) AS covariance_gap, round(n_timely / n_issued - n_yield / n_issued, 9) AS truth_tax_frac, round(n_timely / 3600 - n_yield / 3600, 9) AS truth_tax_rps FROM c
 """,
@@ -176,17 +176,17 @@ FROM types LEFT JOIN (SELECT * FROM falls WHERE k = 1) f USING (event_type)
     "grid_onset": f"WITH {_SWEEP} SELECT event_type, CASE WHEN lo IS NULL OR hi IS NULL THEN 'INCONCLUSIVE-AT-RESOLUTION' ELSE 'ESTIMATED' END AS label, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN round(CASE WHEN power = pl AND power = ph THEN x ELSE greatest(lo, least(hi, vertex)) END, 6) END AS onset_rate, round(x, 6) AS grid_rate FROM best",
     "staleness_rates": """
 WITH r AS (SELECT event_type, event_id % 3 <> 0 AS served, CASE WHEN event_id % 13 <> 0 THEN value > 20 END AS g, event_id % 4 = 0 AS stale FROM events)
-SELECT event_type, round(count_if(g IS NOT NULL AND served AND NOT g) / count_if(g IS NOT NULL), 9) AS unsafe_served_rate, round(count_if(served) / count(*), 9) AS answer_hit_rate,
-  round(count_if(served AND NOT g) / count_if(served AND g IS NOT NULL), 9) AS false_hit_rate, round(count_if(served AND stale AND NOT g) / count_if(served AND stale AND g IS NOT NULL), 9) AS stale_hit_rate FROM r GROUP BY event_type
+SELECT event_type, round(count(*) FILTER (g IS NOT NULL AND served AND NOT g) / count(*) FILTER (g IS NOT NULL), 9) AS unsafe_served_rate, round(count(*) FILTER (served) / count(*), 9) AS answer_hit_rate,
+  round(count(*) FILTER (served AND NOT g) / count(*) FILTER (served AND g IS NOT NULL), 9) AS false_hit_rate, round(count(*) FILTER (served AND stale AND NOT g) / count(*) FILTER (served AND stale AND g IS NOT NULL), 9) AS stale_hit_rate FROM r GROUP BY event_type
 """,
     "select_stale": "SELECT event_id, CAST('0x' || sha1('42:' || event_id)[1:8] AS BIGINT) / 4294967295.0::DOUBLE < 0.3::DOUBLE AS stale FROM events",
     "cache_hit_metrics": """
 WITH r AS (SELECT event_type, value, CASE WHEN event_id % 5 = 0 THEN 'remote' WHEN event_id % 7 = 0 THEN 'miss' ELSE 'local' END AS kind FROM events)
-SELECT event_type, count(*) AS n_accesses, round(count_if(kind = 'local') / count(*), 6) AS local_ratio, round(count_if(kind = 'remote') / count(*), 6) AS remote_ratio, round(count_if(kind = 'miss') / count(*), 6) AS miss_ratio, round(avg(value) FILTER (kind = 'remote'), 6) AS avg_remote_fetch_ms, round(sum(value * 1024) FILTER (kind = 'remote'), 2) AS bytes_moved FROM r GROUP BY event_type
+SELECT event_type, count(*) AS n_accesses, round(count(*) FILTER (kind = 'local') / count(*), 6) AS local_ratio, round(count(*) FILTER (kind = 'remote') / count(*), 6) AS remote_ratio, round(count(*) FILTER (kind = 'miss') / count(*), 6) AS miss_ratio, round(avg(value) FILTER (kind = 'remote'), 6) AS avg_remote_fetch_ms, round(sum(value * 1024) FILTER (kind = 'remote'), 2) AS bytes_moved FROM r GROUP BY event_type
 """,
     "prompt_cache_summary": """
 WITH r AS (SELECT event_type, event_id % 900 + 100 AS prompt, CASE WHEN event_id % 6 <> 0 THEN event_id % 90 END AS cached FROM events)
-SELECT event_type, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, CAST(sum(cached) AS BIGINT) AS cached_tokens, round(sum(cached) / sum(prompt), 9) AS cached_ratio, round(avg((cached > 0)::INT), 9) AS request_rate, round(median(prompt - cached), 9) AS median_uncached, count_if(cached IS NULL) AS n_missing FROM r GROUP BY event_type
+SELECT event_type, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, CAST(sum(cached) AS BIGINT) AS cached_tokens, round(sum(cached) / sum(prompt), 9) AS cached_ratio, round(avg((cached > 0)::INT), 9) AS request_rate, round(median(prompt - cached), 9) AS median_uncached, count(*) FILTER (cached IS NULL) AS n_missing FROM r GROUP BY event_type
 """,
     "gauge_summary": "SELECT event_type, max(value) AS value_peak, round(avg(value), 4) AS value_avg, max_by(value, epoch_us(ts)) AS value_last, max(event_id) AS event_id_max, max_by(user_id, epoch_us(ts)) - min_by(user_id, epoch_us(ts)) AS energy FROM events GROUP BY event_type",
     "kv_footprint": "SELECT doc_id, n_chars * 81920 * [1, 2, 4][doc_id % 3 + 1] AS kv_bytes, n_chars * 23040 * [1, 2, 4][doc_id % 3 + 1] AS latent_bytes FROM documents",
@@ -203,10 +203,10 @@ SELECT CASE WHEN nl > 1 OR nr > 1 THEN 'DUPLICATE' WHEN nr = 0 THEN 'LEFT_ONLY'
     "keep_last": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus, count(*) - 1 AS n_dropped FROM orders GROUP BY o_custkey",
     "merge_scores": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN CAST(n_chars AS DOUBLE) ELSE coalesce(s, CAST(n_chars AS DOUBLE)) END AS score FROM documents LEFT JOIN (SELECT doc_id, CAST(max(quality) AS DOUBLE) AS s FROM labels GROUP BY doc_id) USING (doc_id)",
     "window_predicate": f"WITH {_PREDICATE} SELECT * FROM predicates",
-    "predicate_summary": f"WITH {_PREDICATE} SELECT dataset, count(*) AS n, coalesce(count_if(predicate), 0) AS n_true, coalesce(count_if(NOT predicate), 0) AS n_false, count_if(predicate IS NULL) AS n_null, round(count_if(predicate IS NULL) / count(*), 9) AS null_fraction FROM predicates GROUP BY dataset",
+    "predicate_summary": f"WITH {_PREDICATE} SELECT dataset, count(*) AS n, coalesce(count(*) FILTER (predicate), 0) AS n_true, coalesce(count(*) FILTER (NOT predicate), 0) AS n_false, count(*) FILTER (predicate IS NULL) AS n_null, round(count(*) FILTER (predicate IS NULL) / count(*), 9) AS null_fraction FROM predicates GROUP BY dataset",
     "quality_aggregate": f"""
 WITH {_SCORED}, u AS (SELECT quality, 'score' AS metric, CASE WHEN doc_id % 3 <> 0 THEN score END AS v FROM scored UNION ALL SELECT quality, 'toxic', toxic FROM scored)
-SELECT quality, metric, round(avg(v), 9) AS mean, count(v) AS n, count_if(v IS NULL) AS n_none FROM u GROUP BY ALL
+SELECT quality, metric, round(avg(v), 9) AS mean, count(v) AS n, count(*) FILTER (v IS NULL) AS n_none FROM u GROUP BY ALL
 """,
     "blinded_labels": "SELECT r_regionkey, r_name FROM region",
     "cell_violations": f"""
@@ -221,7 +221,7 @@ WITH {_CELLS} SELECT o_orderkey, concat_ws('|', {', '.join(ig.AXES)}, 'r' || {_G
     "baseline_cells": "SELECT s_suppkey, baseline, arm, retriever, reuse FROM (SELECT s_suppkey, 'B' || (s_suppkey % 12 + 1) AS baseline FROM supplier) JOIN (VALUES " + ", ".join(str(r) for r in ig.BASELINES) + ") b(baseline, arm, retriever, reuse) USING (baseline)",
     "family_map": "SELECT n_nationkey AS contrast_id, CASE WHEN n_regionkey = 0 THEN 'primary' ELSE 'secondary' END AS tier, metric, dataset, CASE WHEN n_regionkey = 0 THEN 'primary' ELSE 'secondary' END || ':' || n_nationkey || ':' || metric AS family_id FROM nation, (VALUES ('ttft_ms'), ('predicate')) m(metric), (VALUES ('squad_v2'), ('qasper')) d(dataset)",
     "gatekeeping": """
-WITH legs AS (SELECT n_regionkey AS chain_order, 'E' || n_regionkey AS endpoint, max(p) AS p, count(*) AS n_legs, count_if(p IS NULL) AS n_missing FROM (SELECT *, CASE WHEN n_nationkey <> 17 THEN (n_nationkey % 6) / 100.0::DOUBLE END AS p FROM nation) GROUP BY ALL),
+WITH legs AS (SELECT n_regionkey AS chain_order, 'E' || n_regionkey AS endpoint, max(p) AS p, count(*) AS n_legs, count(*) FILTER (p IS NULL) AS n_missing FROM (SELECT *, CASE WHEN n_nationkey <> 17 THEN (n_nationkey % 6) / 100.0::DOUBLE END AS p FROM nation) GROUP BY ALL),
 t AS (SELECT *, n_missing = 0 AND p < 0.05::DOUBLE AS passed FROM legs),
 o AS (SELECT *, coalesce(bool_and(passed) OVER (ORDER BY chain_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS open FROM t)
 SELECT chain_order, endpoint, n_legs, n_missing, CASE WHEN n_missing = 0 THEN p END AS p, CASE WHEN NOT open THEN 'NOT_TESTED' WHEN n_missing > 0 THEN 'MISSING_LEG' WHEN passed THEN 'REJECTED' ELSE 'NOT_REJECTED' END AS status FROM o
