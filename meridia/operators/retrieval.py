@@ -35,15 +35,23 @@ def corpus(passages: DataFrame, *, order: str, text: str = "text") -> DataFrame:
     return own.groupBy("doc_id").agg(F.min_by("text", "_order").alias("text"))
 
 
-def corpus_fingerprint(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def corpus_fingerprint(docs: DataFrame, doc_id: str = "doc_id", *, most: int = 10_000) -> DataFrame:
     """n_docs and a digest that doesn't depend on order.
 
-    Ids are folded by group first: the digest is over sorted digests of at most
-    4096 groups of sorted ids, so no task gathers all ids.
+    A tree of digests: sorted ids are folded by the leading digits of their hash,
+    these digests by fewer digits, and so on, 4096 to one. The more ids, the more
+    digits, so no task gathers more than about `most` ids.
     """
-    group = F.substring(F.sha1(F.col(doc_id).cast("string")), 1, 3)
-    folded = docs.groupBy(group.alias("g")).agg(F.sha1(F.array_join(F.sort_array(F.collect_list(F.col(doc_id).cast("string"))), "\n")).alias("h"), F.count("*").alias("n"))
-    return folded.agg(F.sum("n").alias("n_docs"), F.sha1(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "\n")).alias("fingerprint"))
+    digits, n = 3, docs.count()
+    while n > most * 16**digits:
+        digits += 3
+    own = docs.select(F.col(doc_id).cast("string").alias("x")).withColumn("g", F.substring(F.sha1("x"), 1, digits))
+    folded = own.groupBy("g").agg(F.sha1(F.array_join(F.sort_array(F.collect_list("x")), "\n")).alias("h"), F.count("*").alias("n"))
+    digest = F.sha1(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "\n"))
+    while digits > 3:
+        digits -= 3
+        folded = folded.groupBy(F.substring("g", 1, digits).alias("p")).agg(digest.alias("h"), F.sum("n").alias("n")).withColumnRenamed("p", "g")
+    return folded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), digest.alias("fingerprint"))
 
 
 def bm25_postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -90,6 +90,8 @@ def test_corpus_distractors_and_packing(spark):
     assert rt.corpus(pool, order="at").count() == 3
     first = rt.corpus_fingerprint(rt.corpus(pool, order="at")).first()
     assert first == rt.corpus_fingerprint(rt.corpus(pool, order="at").repartition(3)).first() and first["n_docs"] == 3
+    deep = [rt.corpus_fingerprint(pool.filter("text <> ''").repartition(k), "at", most=n).first() for k, n in ((1, 1), (4, 1))]
+    assert deep[0] == deep[1] and deep[0]["n_docs"] == 4
     picked = rt.distractors(pool, pool.filter("at = 3"), 5, order="at").collect()
     assert [r["text"] for r in picked] == ["a b", "f"]
     assert [r["total"] for r in rt.packed(pool, 6, order="at").orderBy("total").collect()] == [2, 6]
