@@ -40,7 +40,9 @@ OVERLAP = 1024
 #: A pre-token is sure if it ends so many characters before the end of an unfinished chunk.
 MARGIN = 3
 #: Pre-tokens whose ids are remembered.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
+#: Bytes of a pre-token whose pairs are scanned instead of kept in a heap; above all ranks.
+SHORT, NONE = 48, 1 << 40
 
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 CHUNKS = "row bigint, doc_id bigint, chunk int, last boolean, start bigint, text string"
@@ -67,6 +69,26 @@ class Encoder:
         """Merge the pair of least rank, the leftmost of equals, until none is left."""
         if piece in self.ranks:
             return [self.ranks[piece]]
+        return self._merge_short(piece) if len(piece) <= SHORT else self._merge_long(piece)
+
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """Scans all pairs for each merge: quickest for few bytes."""
+        n, get = len(piece), self.ranks.get
+        cuts, pairs = list(range(n + 1)), [get(piece[k : k + 2], NONE) for k in range(n - 1)]
+        while pairs:
+            least = min(pairs)
+            if least == NONE:
+                break
+            k = pairs.index(least)
+            del cuts[k + 1], pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(piece[cuts[k] : cuts[k + 2]], NONE)
+            if k:
+                pairs[k - 1] = get(piece[cuts[k - 1] : cuts[k + 1]], NONE)
+        return [self.ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """A heap of pairs: for pre-tokens of any length."""
         n, get = len(piece), self.ranks.get
         after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = []
@@ -108,8 +130,8 @@ class Encoder:
         return found
 
     def encode(self, text: str) -> bytes:
-        ids = self.ids
-        return b"".join([ids(piece) for piece in self.split(text)])
+        known, ids = self.known.get, self.ids
+        return b"".join([known(piece) or ids(piece) for piece in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join([self.tokens[k] for k in np.frombuffer(ids, "<u4").tolist()])
@@ -181,13 +203,14 @@ def chunks_of(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, str, b
 
 def pretokenised(encode: Encoder, start: int, text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Where a chunk's pre-tokens end, how many ids each has, and the ids."""
-    ends, counts, out = [], [], []
-    for m in encode.find(text):
-        ids = encode.ids(m[0])
-        ends.append(start + m.end())
-        counts.append(len(ids) // 4)
-        out.append(ids)
-    return np.array(ends, dtype=np.int64), np.array(counts, dtype=np.int64), b"".join(out)
+    pieces = encode.split(text)
+    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    if int(lengths.sum()) == len(text):
+        ends = start + np.cumsum(lengths)
+    else:  # the pattern skips some characters
+        ends = np.array([start + m.end() for m in encode.find(text)], dtype=np.int64)
+    out = [encode.known.get(piece) or encode.ids(piece) for piece in pieces]
+    return ends, np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4, b"".join(out)
 
 
 def _block(spark: SparkSession, ranks_path: str, pattern: str) -> Broadcast:

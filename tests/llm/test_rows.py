@@ -210,6 +210,13 @@ def test_bpe_equals_the_library(text):
     assert encode.decode(ids) == text.encode()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.binary(min_size=1, max_size=60))
+def test_both_merges_agree(piece):
+    encode = bpe._encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
+    assert encode._merge_short(piece) == encode._merge_long(piece)
+
+
 TEXTS = st.lists(st.sampled_from(["word", " ", "  ", "\n", "'s", "'", "re", "7", "é", "!?", "　", "'ll", "x" * 30]), max_size=80).map("".join)
 
 
