@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import text as tx
-from meridia.session import table
+from meridia.session import spread, table
 
 
 def abstain_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def sanitized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.size(tx.sentences("text")).cast("bigint").alias("n_claims"), F.sha1(F.array_join(tx.sentences("text"), "\n")).alias("claims_sha1"))
 
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from meridia.functions import text as tx
 from meridia.operators import retrieval as rt
-from meridia.session import table
+from meridia.session import spread, table
 
 K = 10
 
 
 def _search(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return rt.bm25_search(queries, table(spark, sf_dir, "documents").select("doc_id", "text"), k=k)
+    return rt.bm25_search(queries, spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k=k)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.bm25_terms(table(spark, sf_dir, "documents")).select("term", "df", F.round("idf", 9).alias("idf"))
+    return rt.bm25_terms(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared distinct terms, the k best documents."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.bm25_tokens("text"))).alias("term"))
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.bm25_tokens("text"))).alias("term"))
+    terms = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(tx.bm25_tokens("text"))).alias("term"))
     return rt.top_k(asked.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), K)
 
 

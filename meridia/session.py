@@ -30,3 +30,12 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over as many tasks as there are cores, where its files are too few for that.
+
+    A large table has more files than cores and stays as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
