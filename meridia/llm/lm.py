@@ -2,20 +2,23 @@
 
 Every token is masked in turn and predicted from the tokens on both sides; a
 document's score is the sum of these conditional log-probabilities. Tokens are
-words; the network's classes are the most frequent words of the whole corpus and,
-for all others, classes of hashed words, within which a word's probability is
-its share of the corpus counts.
+words. The corpus gives an exact count of every distinct word, a written table
+that no task holds whole. The network's classes grow with the number of distinct
+words: seven in eight are the most frequent words, the others hashed classes,
+within which a word's probability is its own share of the corpus counts, joined
+by word.
 
 The network sees the left and the right neighbour, so the counts of (left, token,
 right) over all documents hold all that a pass over every token would show it.
-They are summed over the corpus in two shuffles of partial counts (words, then
-triples: at most CLASSES ** 3 + HASHED rows), and full-batch training in numpy on
-them equals training on every token of every document. Results don't depend on
-how rows are dealt to tasks.
+They stay in tasks, dealt by context; a step of full-batch training is a job that
+returns gradients, and equals a step on every token of every document. Groups of
+contexts and sums follow the classes alone, and shares are summed as whole numbers,
+so results don't depend on how rows are dealt to tasks.
 
 Nulls and edges: a null or empty text has no tokens, log-probability 0 and a null
 mean; a document's edge is a class of its own; repeated rows count as often as
-they stand; an empty table yields an empty table; a null doc_id stays null.
+they stand; a word that the model never saw counts as seen once; an empty table
+yields an empty table; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -27,19 +30,25 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import as_bytes, item_words, slices
+from meridia.llm.common import as_bytes, item_words, slices, written
 
-#: Classes: 0 is a document's edge, then FREQUENT words, then hashed classes.
+#: Least classes: 0 is a document's edge, then FREQUENT words, then hashed classes.
 CLASSES, FREQUENT = 128, 112
-#: Counters of hashed words.
-HASHED = 1 << 16
+#: Classes over the fourth root of the number of distinct words.
+GROWTH = 8
+#: Words of at least one in so many tokens have their counts broadcast; the others are joined.
+HEAD = 1 << 16
+#: Contexts that are scored or trained on at once, and cells (context, token) of a group at which groups grow in number.
+CONTEXTS, CELLS, MOST_GROUPS = 2048, 1 << 22, 128
 WIDTH, STEPS, RATE, SEED = 24, 150, 0.05, 7
-#: Distinct words that a task holds before it sends their partial counts on.
-HELD = 500_000
+#: Distinct words, and tokens, that a task holds before it sends their partial counts on.
+HELD, HELD_TOKENS = 500_000, 1 << 22
+#: Shares are summed in units of 1 / UNIT.
+UNIT = 1 << 24
 
 SCORED = "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double"
 
@@ -48,8 +57,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
-    """The most frequent words of all documents, the lesser bytes first of equals."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: the exact count of every distinct word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -66,66 +75,116 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
                 yield sent()
         yield sent()
 
-    counted = _texts(docs).select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return _texts(docs).select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _most_frequent(words: DataFrame, most: int) -> list[bytes]:
+    return [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
+    """The most frequent words of all documents, the lesser bytes first of equals."""
+    return _most_frequent(word_counts(docs), most)
+
+
+def classes_for(distinct: int) -> int:
+    """How many classes so many distinct words have."""
+    return max(CLASSES, round(GROWTH * distinct**0.25))
+
+
+def own_classes(size: int) -> int:
+    """How many of the classes are words."""
+    return size * FREQUENT // CLASSES
 
 
 class Classes:
-    """Words to classes and counters."""
+    """Words to classes."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.frequent = {w: k + 1 for k, w in enumerate(frequent)}
-        self.known: dict[bytes, tuple[int, int]] = {w: (k, -1) for w, k in self.frequent.items()}
+    def __init__(self, frequent: list[bytes], size: int = CLASSES):
+        self.first = own_classes(size) + 1
+        self.hashed = size - self.first
+        self.frequent = {w: (k + 1, -1) for k, w in enumerate(frequent)}
+        self.known: dict[bytes, tuple[int, int]] = dict(self.frequent)
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Class and counter of every word; the counter of a frequent word is -1."""
+        """Class and hashed class of every word; the latter is -1 for a frequent word."""
         known, out = self.known, []
         if len(known) > HELD:
-            self.known = known = {w: (k, -1) for w, k in self.frequent.items()}
+            self.known = known = dict(self.frequent)
         for w in words:
             found = known.get(w)
             if found is None:
-                h = xxhash.xxh64_intdigest(w) % HASHED
-                found = known[w] = (FREQUENT + 1 + h % (CLASSES - FREQUENT - 1), h)
+                k = self.first + xxhash.xxh64_intdigest(w) % self.hashed
+                found = known[w] = (k, k)
             out.append(found)
         both = np.array(out, dtype=np.int64).reshape(-1, 2)
         return both[:, 0], both[:, 1]
 
 
-def triples(classes: np.ndarray) -> np.ndarray:
-    """(left, right, token) of every token as one number."""
+def contexts(classes: np.ndarray, size: int = CLASSES) -> np.ndarray:
+    """(left, right) of every token as one number."""
     padded = np.concatenate(([0], classes, [0]))
-    return (padded[:-2] * CLASSES + padded[2:]) * CLASSES + classes
+    return padded[:-2] * size + padded[2:]
 
 
 @cache
-def _classes(frequent: tuple) -> Classes:
-    return Classes(list(frequent))
+def _classes(frequent: tuple, size: int) -> Classes:
+    return Classes(list(frequent), size)
 
 
-def corpus_counts(docs: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all (left, right, token) and of all hashed words."""
+def _counted(docs: DataFrame, frequent: list[bytes], size: int) -> DataFrame:
+    """code, n: counts of all (left, right, token)."""
     block = docs.sparkSession.sparkContext.broadcast(tuple(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _classes(block.value)
-        total = np.zeros(CLASSES**3 + HASHED, dtype=np.int64)
+        own, codes, held = _classes(block.value, size), [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            at, n = np.unique(np.concatenate(codes), return_counts=True)
+            for k in range(0, len(at), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 17)]), pa.array(n[k : k + (1 << 17)].astype(np.int64))], names=["code", "n"])
+
         for batch in slices(batches):
-            codes = [np.zeros(0, dtype=np.int64)]
             for text in as_bytes(batch.column("text")):
                 if words := item_words(text):
-                    classes, counters = own.of(words)
-                    codes += [triples(classes), CLASSES**3 + counters[counters >= 0]]
-            at, n = np.unique(np.concatenate(codes), return_counts=True)
-            total[at] += n
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 17)]), pa.array(total[at[k : k + (1 << 17)]])], names=["code", "n"])
+                    classes, _ = own.of(words)
+                    codes.append(contexts(classes, size) * size + classes)
+                    held += len(words)
+                if held > HELD_TOKENS:
+                    yield from sent()
+                    codes, held = [], 0
+        if codes:
+            yield from sent()
+
+    return _texts(docs).select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
-    counted = _texts(docs).select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(CLASSES**3 + HASHED, dtype=np.int64)
+
+def corpus_counts(docs: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all (left, right, token) and of all hashed classes, as arrays of the least classes; `fit` does not gather them."""
+    counted = _counted(docs, frequent, CLASSES).toPandas()
+    total = np.zeros(CLASSES**3, dtype=np.int64)
     total[counted["code"].to_numpy()] = counted["n"].to_numpy()
-    return total[: CLASSES**3].reshape(CLASSES * CLASSES, CLASSES), total[CLASSES**3 :]
+    total = total.reshape(CLASSES * CLASSES, CLASSES)
+    hashed = total.sum(axis=0)
+    hashed[: FREQUENT + 1] = 0
+    return total, hashed
+
+
+class Descent:
+    """Adam's moments."""
+
+    def __init__(self, parts: list[np.ndarray], rate: float):
+        self.mean, self.square, self.rate, self.step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], rate, 0
+
+    def changed(self, parts: list[np.ndarray], grads: list[np.ndarray]) -> list[np.ndarray]:
+        self.step += 1
+        out = []
+        for k, grad in enumerate(grads):
+            self.mean[k] = 0.9 * self.mean[k] + 0.1 * grad
+            self.square[k] = 0.999 * self.square[k] + 0.001 * grad * grad
+            change = self.rate * (self.mean[k] / (1 - 0.9**self.step)) / (np.sqrt(self.square[k] / (1 - 0.999**self.step)) + 1e-8)
+            out.append((parts[k] - change).astype(np.float32))
+        return out
 
 
 class Network:
@@ -134,11 +193,15 @@ class Network:
     def __init__(self, parts: list[np.ndarray]):
         self.parts = parts
 
+    @property
+    def size(self) -> int:
+        return len(self.parts[0])
+
     @classmethod
-    def fresh(cls) -> Network:
+    def fresh(cls, size: int = CLASSES) -> Network:
         rng = np.random.Generator(np.random.PCG64(SEED))
         draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-        return cls([draw(CLASSES, WIDTH), draw(CLASSES, WIDTH), np.zeros(WIDTH, np.float32), draw(WIDTH, CLASSES), np.zeros(CLASSES, np.float32)])
+        return cls([draw(size, WIDTH), draw(size, WIDTH), np.zeros(WIDTH, np.float32), draw(WIDTH, size), np.zeros(size, np.float32)])
 
     def hidden(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return np.tanh(self.parts[0][left] + self.parts[1][right] + self.parts[2])
@@ -149,82 +212,158 @@ class Network:
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
-    def train(self, counts: np.ndarray, steps: int = STEPS, rate: float = RATE) -> list[float]:
-        """Full-batch Adam on the counts; the mean loss before every tenth step."""
-        tokens = float(counts.sum(dtype=np.float64))
-        if not tokens:
-            return []
-        target = (counts / tokens).astype(np.float32)
-        weight = target.sum(axis=1, keepdims=True)
-        at = np.arange(CLASSES * CLASSES)
-        left, right = at // CLASSES, at % CLASSES
-        mean, square, losses = [np.zeros_like(p) for p in self.parts], [np.zeros_like(p) for p in self.parts], []
-        for step in range(1, steps + 1):
+    def gradient(self, codes: np.ndarray, n: np.ndarray, tokens: float) -> tuple[float, list[np.ndarray]]:
+        """Share of the mean loss, and gradients, of the counts of sorted (left, right, token)."""
+        size, loss = self.size, 0.0
+        grads = [np.zeros_like(p) for p in self.parts]
+        at, first = np.unique(codes // size, return_index=True)
+        ends = np.append(first, len(codes))
+        for k in range(0, len(at), CONTEXTS):
+            own = at[k : k + CONTEXTS]
+            rows = slice(ends[k], ends[min(k + CONTEXTS, len(at))])
+            left, right, row, token = own // size, own % size, np.searchsorted(own, codes[rows] // size), codes[rows] % size
+            target = np.zeros((len(own), size), dtype=np.float32)
+            target[row, token] = n[rows] / tokens
             hidden = self.hidden(left, right)
             log_probs = self.log_probs(hidden)
-            if step % 10 == 1:
-                losses.append(-float((target[:, 1:] * log_probs[:, 1:]).sum(dtype=np.float64)))
+            loss -= float((target[:, 1:] * log_probs[:, 1:]).sum(dtype=np.float64))
             error = np.exp(log_probs, out=log_probs)
-            error *= weight
+            error *= target.sum(axis=1, keepdims=True)
             error -= target
             back = (error @ self.parts[3].T) * (1 - hidden * hidden)
-            grid = back.reshape(CLASSES, CLASSES, WIDTH)
-            for k, grad in enumerate((grid.sum(axis=1), grid.sum(axis=0), back.sum(axis=0), hidden.T @ error, error.sum(axis=0))):
-                mean[k] = 0.9 * mean[k] + 0.1 * grad
-                square[k] = 0.999 * square[k] + 0.001 * grad * grad
-                change = rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
-                self.parts[k] = (self.parts[k] - change).astype(np.float32)
+            np.add.at(grads[0], left, back)
+            np.add.at(grads[1], right, back)
+            grads[2] += back.sum(axis=0)
+            grads[3] += hidden.T @ error
+            grads[4] += error.sum(axis=0)
+        return loss, grads
+
+    def train(self, counts: np.ndarray, steps: int = STEPS, rate: float = RATE) -> list[float]:
+        """Full-batch Adam on an array of all counts; the mean loss before every tenth step."""
+        codes = np.flatnonzero(counts)
+        return self._descend(lambda tokens: [self.gradient(codes, counts.ravel()[codes], tokens)], float(counts.sum(dtype=np.float64)), steps, rate)
+
+    def train_on(self, counted: DataFrame, steps: int = STEPS, rate: float = RATE) -> list[float]:
+        """The same on a table of code and n, which stays in tasks."""
+        size, spark = self.size, counted.sparkSession
+        tokens = float(counted.agg(F.sum("n")).first()[0] or 0)
+        groups = min(MOST_GROUPS, max(12, size**3 // CELLS))
+        wide = -(-size * size // groups) * size
+
+        def packed(key: tuple, rows: pa.Table) -> pa.Table:
+            codes, n = rows["code"].to_numpy(), rows["n"].to_numpy()
+            order = np.argsort(codes)
+            return pa.table({"grp": pa.array([key[0].as_py()], pa.int32()), "codes": pa.array([codes[order].tobytes()], pa.large_binary()), "n": pa.array([n[order].tobytes()], pa.large_binary())}).cast(pa.schema([("grp", pa.int32()), ("codes", pa.binary()), ("n", pa.binary())]))
+
+        dealt = written(counted.withColumn("grp", F.floor(F.col("code") / wide).cast("int")).groupBy("grp").applyInArrow(packed, "grp int, codes binary, n binary"), "lm-groups")
+        held = dealt.rdd.map(lambda r: (r["grp"], (bytes(r["codes"]), bytes(r["n"])))).partitionBy(groups, lambda g: g).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def gradients(tokens: float) -> list[tuple[float, list[np.ndarray]]]:
+            block = spark.sparkContext.broadcast(self.parts)
+            found = held.map(lambda x: (x[0], Network(block.value).gradient(np.frombuffer(x[1][0], np.int64), np.frombuffer(x[1][1], np.int64), tokens))).collect()
+            block.destroy()
+            return [g for _, g in sorted(found, key=lambda x: x[0])]
+
+        losses = self._descend(gradients, tokens, steps, rate)
+        held.unpersist()
         return losses
 
-    def table(self) -> np.ndarray:
-        """Log-probability of every (left, right, token)."""
-        at = np.arange(CLASSES * CLASSES)
-        return self.log_probs(self.hidden(at // CLASSES, at % CLASSES)).ravel()
+    def _descend(self, gradients, tokens: float, steps: int, rate: float) -> list[float]:
+        descent, losses = Descent(self.parts, rate), []
+        for step in range(steps if tokens else 0):
+            found = gradients(tokens)
+            if step % 10 == 0:
+                losses.append(sum(loss for loss, _ in found))
+            self.parts = descent.changed(self.parts, [sum(g[k] for _, g in found) for k in range(len(self.parts))])
+        return losses
 
+    def normalisers(self) -> np.ndarray:
+        """The logarithm that every context's logits are lessened by."""
+        size, out = self.size, []
+        for k in range(0, size * size, CONTEXTS):
+            at = np.arange(k, min(size * size, k + CONTEXTS))
+            logits = (self.hidden(at // size, at % size) @ self.parts[3] + self.parts[4])[:, 1:]
+            most = logits.max(axis=1)
+            out.append(most + np.log(np.exp(logits - most[:, None]).sum(axis=1)))
+        return np.concatenate(out).astype(np.float64)
 
-def tail(hashed: np.ndarray) -> np.ndarray:
-    """Log-probability of a hashed word within its class."""
-    owner = np.arange(HASHED) % (CLASSES - FREQUENT - 1)
-    total = np.bincount(owner, weights=hashed, minlength=CLASSES - FREQUENT - 1)[owner]
-    return np.log(np.maximum(hashed, 1) / np.maximum(total, 1))
 
+class Scorer:
+    """What tasks need to score, all but the counts of rare words."""
 
-class Model:
-    """What tasks need to score: a few kilobytes of weights and HASHED numbers."""
+    def __init__(self, frequent: list[bytes], network: Network, tail_log: np.ndarray, head: dict[bytes, float]):
+        self.frequent, self.network, self.tail_log, self.head = tuple(frequent), network, tail_log, head
+        self.normalisers, self._classes = network.normalisers(), None
 
-    def __init__(self, frequent: list[bytes], network: Network, tail_log: np.ndarray):
-        self.frequent, self.network, self.tail_log, self._table, self._classes = tuple(frequent), network, tail_log, None, None
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_classes": None}
 
-    def log_prob(self, words: list[bytes]) -> float:
-        """Summed log-probability of every word, given its neighbours."""
+    def log_prob(self, words: list[bytes]) -> tuple[float, Counter]:
+        """Summed log-probability of every word, given its neighbours, but for the logarithms of rare words' counts; these words."""
         if not words:
-            return 0.0
-        if self._table is None:
-            self._table, self._classes = self.network.table().astype(np.float64), Classes(list(self.frequent))
-        classes, counters = self._classes.of(words)
-        return float(self._table[triples(classes)].sum() + self.tail_log[counters[counters >= 0]].sum())
+            return 0.0, Counter()
+        size, (*_, out, bias) = self.network.size, self.network.parts
+        if self._classes is None:
+            self._classes = Classes(list(self.frequent), size)
+        classes, hashed = self._classes.of(words)
+        at, total, columns = contexts(classes, size), 0.0, out.T
+        for k in range(0, len(at), 1 << 16):
+            own, token = at[k : k + (1 << 16)], classes[k : k + (1 << 16)]
+            logits = np.einsum("ij,ij->i", self.network.hidden(own // size, own % size), columns[token], dtype=np.float64) + bias[token]
+            total += float((logits - self.normalisers[own]).sum())
+        rare: Counter = Counter()
+        tails = np.flatnonzero(hashed >= 0)
+        total += float(self.tail_log[hashed[tails]].sum())
+        for k in tails.tolist():
+            known = self.head.get(words[k])
+            if known is None:
+                rare[words[k]] += 1
+            else:
+                total += known
+        return total, rare
+
+
+class Model:
+    """The scorer's parts, and the table of all words' counts."""
+
+    def __init__(self, scorer: Scorer, words: DataFrame):
+        self.scorer, self.words = scorer, words
+        self.frequent, self.network, self.tail_log = scorer.frequent, scorer.network, scorer.tail_log
 
 
 def fit(docs: DataFrame) -> Model:
     """Counts over all documents, then the network."""
-    frequent = frequent_words(docs)
-    counts, hashed = corpus_counts(docs, frequent)
-    network = Network.fresh()
-    network.train(counts)
-    return Model(frequent, network, tail(hashed))
+    words = written(word_counts(docs), "lm-words")
+    sums = words.agg(F.count("*").alias("distinct"), F.sum("n").alias("tokens")).first()
+    size = classes_for(sums["distinct"])
+    frequent = _most_frequent(words, own_classes(size))
+    # at most HEAD words are one in HEAD tokens each
+    head = {bytes(r["word"]): float(np.log(r["n"])) for r in words.filter(F.col("n") * HEAD >= (sums["tokens"] or 0)).collect()}
+    counted = written(_counted(docs, frequent, size), "lm-counts")
+    network = Network.fresh(size)
+    network.train_on(counted)
+    hashed = np.ones(size)
+    for r in counted.groupBy((F.col("code") % size).alias("token")).agg(F.sum("n").alias("n")).collect():
+        hashed[r["token"]] = r["n"]
+    return Model(Scorer(frequent, network, -np.log(hashed), head), words)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """SCORED for every row."""
-    block: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    block: Broadcast = docs.sparkSession.sparkContext.broadcast(model.scorer)
+    entry = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = [item_words(t) for t in as_bytes(batch.column("text"))]
-            total = [block.value.log_prob(w) for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(total, pa.float64()), pa.array([t / len(w) if w else None for t, w in zip(total, words)], pa.float64())],
-                names=[x.split()[0] for x in SCORED.split(", ")],
-            )
-
-    return _texts(docs).mapInArrow(run, SCORED)
+            found = [block.value.log_prob(w) for w in words]
+            rare = [[{"word": w, "times": n} for w, n in x.items()] for _, x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([x for x, _ in found], pa.float64()), pa.array(rare, entry)], names=["doc_id", "n_tokens", "base", "rare"])
+
+    made = _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, base double, rare array<struct<word:binary,times:bigint>>")
+    made = written(made.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    met = made.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times").join(model.words, "word", "left")
+    shares = met.groupBy("row").agg(F.sum(F.col("times") * F.round(F.log(F.coalesce("n", F.lit(1)).cast("double")) * UNIT).cast("bigint")).alias("share"))
+    total = F.col("base") + F.coalesce("share", F.lit(0)) / F.lit(float(UNIT))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return made.drop("rare").join(shares, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))

@@ -1,0 +1,52 @@
+"""LM scoring's classes and counts follow the corpus."""
+
+import math
+from collections import Counter
+
+import numpy as np
+
+from meridia.llm import lm
+from tests.llm.helpers import docs
+
+
+def test_classes_follow_the_distinct_words():
+    sizes = [lm.classes_for(n) for n in (0, 1000, 10**6, 10**8, 10**10)]
+    assert sizes == sorted(sizes) and sizes[0] == lm.CLASSES and len(set(sizes[1:])) == 4
+
+
+def test_training_in_tasks_equals_training_on_the_array(spark):
+    table = docs(spark, {k: f"red fox runs {'far' if k % 3 else 'near'} w{k} x{k % 7}" for k in range(60)}).repartition(3)
+    frequent = lm.frequent_words(table)
+    own, dealt = lm.Network.fresh(), lm.Network.fresh()
+    losses = own.train(lm.corpus_counts(table, frequent)[0], steps=4)
+    assert np.allclose(losses, dealt.train_on(lm._counted(table, frequent, lm.CLASSES), steps=4), rtol=1e-4)
+    for a, b in zip(own.parts, dealt.parts):
+        assert np.allclose(a, b, atol=1e-3)
+
+
+def test_every_word_has_its_own_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 1)
+    monkeypatch.setattr(lm, "HEAD", 64)  # words of fewer than 1 in 64 tokens are joined
+    monkeypatch.setattr(lm.Network, "train_on", lambda self, counted: [])
+    frequent = " ".join(f"f{k}" for k in range(lm.FREQUENT)) + " "
+    texts = {k: frequent * 3 for k in range(3)}
+    rare = [f"rare{k}" for k in range(400)]
+    texts |= {100 + k: " ".join([w] * (1 + k % 2)) for k, w in enumerate(rare)}
+    table = docs(spark, texts).repartition(3)
+    model = lm.fit(table)
+    every = Counter(w for t in texts.values() for w in t.split())
+    assert {bytes(r["word"]).decode(): r["n"] for r in model.words.collect()} == every
+    found = {r["doc_id"]: r["log_prob"] for r in lm.scored(table, model).collect()}
+    classes = lm.Classes(list(model.frequent))
+    of = {w: int(classes.of([w.encode()])[0][0]) for w in every}
+    total = Counter()
+    for w, n in every.items():
+        total[of[w]] += n
+    for k, w in enumerate(rare):
+        ids = [of[w]] * (1 + k % 2)
+        want = 0.0
+        for j, token in enumerate(ids):
+            left, right = ids[j - 1] if j else 0, ids[j + 1] if j + 1 < len(ids) else 0
+            want += float(model.network.log_probs(model.network.hidden(np.array([left]), np.array([right])))[0][token])
+            want += math.log(every[w] / total[token])
+        assert math.isclose(found[100 + k], want, rel_tol=1e-4), w
