@@ -187,6 +187,37 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     return PSEUDONYM[kind](text, key)
 
 
+def _taken(kind: str, text: str, m: re.Match, key: bytes) -> tuple[int, str] | None:
+    """Where the candidate ends, and its pseudonym; None if it fails its check.
+
+    A phone that runs into another value ends before it, if it is one without.
+    """
+    start, longest = m.start(), None
+    cuts = [k for k in range(m.end() - 1, start, -1) if text[k] in " -"] if kind == "phone" else []
+    for end in (m.end(), *cuts):
+        if end < m.end() and not _ALONE[kind].fullmatch(text, start, end):
+            continue
+        new = pseudonym(kind, text[start:end], key)
+        if new is None:
+            if end == m.end() and kind != "phone":
+                return None
+            continue
+        if kind != "phone" or not _runs_into(text, start, end, key):
+            return end, new
+        longest = longest or (end, new)
+    return longest
+
+
+def _runs_into(text: str, start: int, end: int, key: bytes) -> bool:
+    """Whether a value of another kind begins at a blank within the phone, after what is a phone already, and ends after it."""
+    for k in range(start, end):
+        if text[k] == " " and _ALONE["phone"].fullmatch(text, start, k) and pseudonym("phone", text[start:k], key) is not None:
+            for other, pattern in _ALONE.items():
+                if other != "phone" and (m := pattern.match(text, k + 1)) and (found := _taken(other, text, m, key)) and found[0] > end:
+                    return True
+    return False
+
+
 def replace(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind it had."""
     counts: dict[str, int] = {}
@@ -195,19 +226,19 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
     out, at, copied = [], 0, 0
     while m := _FINDER.search(text, at):
         kind = m.lastgroup
-        new = pseudonym(kind, m[0], key)
-        if new is None:  # what fails its check may still begin or hold another kind
+        found = _taken(kind, text, m, key)
+        if found is None:  # what fails its check may still begin or hold another kind
             for other in list(KINDS)[list(KINDS).index(kind) + 1 :]:
-                if (again := _ALONE[other].match(text, m.start())) and (new := pseudonym(other, again[0], key)) is not None:
+                if (again := _ALONE[other].match(text, m.start())) and (found := _taken(other, text, again, key)) is not None:
                     kind, m = other, again
                     break
-        if new is None:
+        if found is None:
             at = m.start() + 1
             while at < m.end() and text[at].isalnum() and text[at - 1].isalnum():
                 at += 1
             continue
-        out += (text[copied : m.start()], new)
-        copied = at = m.end()
+        out += (text[copied : m.start()], found[1])
+        copied = at = found[0]
         counts[kind] = counts.get(kind, 0) + 1
     return "".join(out) + text[copied:], counts
 
