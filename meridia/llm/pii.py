@@ -190,17 +190,15 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
 def _taken(kind: str, text: str, m: re.Match, key: bytes) -> tuple[int, str] | None:
     """Where the candidate ends, and its pseudonym; None if it fails its check.
 
-    A phone that runs into another value ends before it, if it is one without.
+    The longest run that passes counts, shorter ones ending before a blank or a
+    hyphen; a phone that runs into another value ends before it, if it is one without.
     """
     start, longest = m.start(), None
-    cuts = [k for k in range(m.end() - 1, start, -1) if text[k] in " -"] if kind == "phone" else []
-    for end in (m.end(), *cuts):
+    for end in (m.end(), *(k for k in range(m.end() - 1, start, -1) if text[k] in " -")):
         if end < m.end() and not _ALONE[kind].fullmatch(text, start, end):
             continue
         new = pseudonym(kind, text[start:end], key)
         if new is None:
-            if end == m.end() and kind != "phone":
-                return None
             continue
         if kind != "phone" or not _runs_into(text, start, end, key):
             return end, new
