@@ -43,7 +43,11 @@ SEPARATOR = "^(?:[|>/~]+|»|·|•|→|::)$"
 #: Notices that sites repeat on every page; lower case.
 BOILERPLATE = "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|accept cookies|enable javascript|lorem ipsum|click here|read more|sign up for|subscribe to our|share this|back to top|log in|skip to content"
 
-_ENDS, _NOISY, _SEPARATOR, _BOILERPLATE = (re.compile(x.encode()) for x in (ENDS, NOISY, SEPARATOR, BOILERPLATE))
+#: A line is boilerplate if one in so many of its words, or more, stand in such phrases.
+BOILERPLATE_SHARE = 4
+
+_ENDS, _NOISY, _SEPARATOR = (re.compile(x.encode()) for x in (ENDS, NOISY, SEPARATOR))
+_BOILERPLATE = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + BOILERPLATE.encode() + rb")(?![0-9a-z\x80-\xff])")
 
 SCHEMA = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_punctuation", "n_navigation", "n_boilerplate", "lost_chars")]
@@ -83,7 +87,7 @@ def line_rule(line: bytes, words: list[bytes]) -> str | None:
     separators = sum(1 for w in words if len(w) <= 3 and _SEPARATOR.search(w))
     if separators >= 2 and 4 * separators >= len(words):
         return "navigation"
-    if _BOILERPLATE.search(lower_ascii(line)):
+    if BOILERPLATE_SHARE * sum(len(m[0].split()) for m in _BOILERPLATE.finditer(lower_ascii(line))) >= len(words):
         return "boilerplate"
     if not _ENDS.search(line) or 2 * sum(1 for w in words if w[-1] in b"!?#*$%&|<>" and _NOISY.search(w)) > len(words):
         return "punctuation"
