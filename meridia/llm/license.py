@@ -46,6 +46,9 @@ NOTICES = (
     ("released into the public domain", "public-domain"),
     ("all rights reserved", "all-rights-reserved"),
 )
+# What tells a notice's license from others: words that the notice is not found without. Of
+# three letters or more, one may be wrong; shorter ones stand as they are.
+NAMES = ("mit", "apache", "gnu", "lesser", "mozilla", "cc", "nc", "sa", "creative", "commons", "public", "domain", "all")
 #: One error is allowed for so many characters of a notice, and 4 at most.
 CHARS_PER_ERROR = 9
 MOST_ERRORS = 4
@@ -70,7 +73,12 @@ def _scanner(notices: tuple) -> tuple:
     owners: dict[str, list[tuple[int, int]]] = {}
     for k, (notice, label) in enumerate(notices):
         errors = errors_of(notice)
-        patterns.append((regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={errors}}}"), errors, len(notice), label))
+        names, offset = [], 0
+        for word in notice.split(" "):
+            if word in NAMES:
+                names.append((regex.compile(rf"(?:{word}){{e<={int(len(word) > 2)}}}"), offset, offset + len(word)))
+            offset += len(word) + 1
+        patterns.append((regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={errors}}}"), errors, len(notice), label, names))
         for offset, piece in pieces(notice, errors):
             owners.setdefault(piece, []).append((k, offset))
     for piece, places in owners.items():
@@ -90,24 +98,21 @@ def normal(text: bytes | None) -> str:
 def fuzzy(words: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int, float]]:
     """(label, start, end, errors, similarity) of every notice found, in characters."""
     automaton, patterns = _scanner(notices)
-    windows: dict[int, list[list[int]]] = {}
+    # every seed's own window: neighbouring notices have windows of their own
+    windows: set[tuple[int, int, int]] = set()
     for end, (size, places) in automaton.iter(words):
         for k, offset in places:
-            _, errors, length, _ = patterns[k]
+            _, errors, length, _, _ = patterns[k]
             start = end - size + 1 - offset
-            lo, hi = max(0, start - errors), min(len(words), start + length + errors)
-            known = windows.setdefault(k, [])
-            if known and known[-1][1] >= lo and known[-1][0] <= hi:
-                known[-1][0], known[-1][1] = min(known[-1][0], lo), max(known[-1][1], hi)
-            else:
-                known.append([lo, hi])
-    found = []
-    for k, known in windows.items():
-        pattern, errors, length, label = patterns[k]
-        for lo, hi in known:
-            for match in pattern.finditer(words, lo, hi):
+            windows.add((k, max(0, start - errors), min(len(words), start + length + errors)))
+    found = set()
+    for k, lo, hi in windows:
+        pattern, errors, length, label, names = patterns[k]
+        for match in pattern.finditer(words, lo, hi):
+            # a name lies where the notice has it, but for the errors before it
+            if all(name.search(words, max(match.start(), match.start() + a - errors), min(match.end(), match.start() + b + errors)) for name, a, b in names):
                 wrong = sum(match.fuzzy_counts)
-                found.append((label, match.start(), match.end(), wrong, 1 - wrong / length))
+                found.add((label, match.start(), match.end(), wrong, 1 - wrong / length))
     # notices resemble each other: of those that overlap the nearest counts, the longest of equals
     kept: list[tuple[str, int, int, int, float]] = []
     taken: list[tuple[int, int]] = []
