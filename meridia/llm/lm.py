@@ -1,56 +1,58 @@
 """LM scoring: masked pseudo-likelihood by a bidirectional window network.
 
-Every token is masked in turn and predicted from the tokens on both sides; a
-document's score is the sum of these conditional log-probabilities. Tokens are
+Every token is masked in turn and predicted from the SIDE tokens on either side;
+a document's score is the sum of these conditional log-probabilities. Tokens are
 words. The corpus gives an exact count of every distinct word, a written table
-that no task holds whole. The network's classes grow with the number of distinct
-words: seven in eight are the most frequent words, the others hashed classes,
-within which a word's probability is its own share of the corpus counts, joined
-by word.
-
-The network sees the left and the right neighbour, so the counts of (left, token,
-right) over all documents hold all that a pass over every token would show it.
-They stay in tasks, dealt by context; a step of full-batch training is a job that
-returns gradients, and equals a step on every token of every document. Groups of
-contexts and sums follow the classes alone, and shares are summed as whole numbers,
-so results don't depend on how rows are dealt to tasks.
+that no task holds whole. The network's classes grow with the square root of the
+number of distinct words: the most frequent words, and an eighth as many hashed
+classes for all others, within which a word's probability is its own share of the
+corpus counts, joined by word. A softmax over groups of classes and one within
+the token's group cost the root of the classes each.
+
+Training passes once over every token of every document, in numpy, in tasks: a
+round takes every ROUNDS-th row, every task descends through its own of them from
+the common parameters, and the tasks' parameters are averaged by tokens, in parts
+that stream through tasks of their own. Only the average, which is as large as
+the network, reaches the driver. A lost task begins its round anew from the
+broadcast parameters.
 
 Nulls and edges: a null or empty text has no tokens, log-probability 0 and a null
-mean; a document's edge is a class of its own; repeated rows count as often as
-they stand; a word that the model never saw counts as seen once; an empty table
-yields an empty table; a null doc_id stays null.
+mean; places beyond a document's edge are a class of their own; repeated rows
+count as often as they stand; a word that the model never saw counts as seen
+once; an empty table yields an empty table; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast, StorageLevel
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm.common import as_bytes, item_words, slices, written
 
-#: Least classes: 0 is a document's edge, then FREQUENT words, then hashed classes.
-CLASSES, FREQUENT = 128, 112
-#: Classes over the fourth root of the number of distinct words.
-GROWTH = 8
+#: Least classes that are words, and how many of those one hashed class stands beside.
+FREQUENT, PER_HASHED = 256, 8
 #: Words of at least one in so many tokens have their counts broadcast; the others are joined.
-HEAD = 1 << 16
-#: Contexts that are scored or trained on at once, and cells (context, token) of a group at which groups grow in number.
-CONTEXTS, CELLS, MOST_GROUPS = 2048, 1 << 22, 128
-WIDTH, STEPS, RATE, SEED = 24, 150, 0.05, 7
-#: Distinct words, and tokens, that a task holds before it sends their partial counts on.
-HELD, HELD_TOKENS = 500_000, 1 << 22
-#: Shares are summed in units of 1 / UNIT.
-UNIT = 1 << 24
+HEAD = 1 << 20
+#: Tokens seen to either side; numbers of a hidden state.
+SIDE, WIDTH = 3, 16
+#: Rounds of averaging, tokens of a step, Adagrad's rate.
+ROUNDS, BATCH, RATE, SEED = 4, 8192, 0.1, 7
+#: Training tasks for each core: as many copies of the parameters are sent in a round.
+SHARDS = 4
+#: Distinct words that a task holds before it sends their partial counts on.
+HELD = 500_000
+#: Shares are summed in units of 1 / UNIT; parameters are averaged in parts of PART numbers.
+UNIT, PART = 1 << 24, 1 << 16
 
-SCORED = "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double"
+OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -78,287 +80,305 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _texts(docs).select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _most_frequent(words: DataFrame, most: int) -> list[bytes]:
-    return [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
-
-
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
-    """The most frequent words of all documents, the lesser bytes first of equals."""
-    return _most_frequent(word_counts(docs), most)
-
-
-def classes_for(distinct: int) -> int:
-    """How many classes so many distinct words have."""
-    return max(CLASSES, round(GROWTH * distinct**0.25))
-
-
-def own_classes(size: int) -> int:
-    """How many of the classes are words."""
-    return size * FREQUENT // CLASSES
+def words_for(distinct: int) -> int:
+    """How many words have a class of their own among so many distinct ones."""
+    return max(FREQUENT, math.isqrt(distinct))
 
 
 class Classes:
-    """Words to classes."""
-
-    def __init__(self, frequent: list[bytes], size: int = CLASSES):
-        self.first = own_classes(size) + 1
-        self.hashed = size - self.first
-        self.frequent = {w: (k + 1, -1) for k, w in enumerate(frequent)}
-        self.known: dict[bytes, tuple[int, int]] = dict(self.frequent)
+    """Words to classes: 0 is beyond a document's edge, then the frequent words, then hashed classes."""
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Class and hashed class of every word; the latter is -1 for a frequent word."""
-        known, out = self.known, []
-        if len(known) > HELD:
-            self.known = known = dict(self.frequent)
-        for w in words:
-            found = known.get(w)
-            if found is None:
-                k = self.first + xxhash.xxh64_intdigest(w) % self.hashed
-                found = known[w] = (k, k)
-            out.append(found)
-        both = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+    def __init__(self, frequent: list[bytes], words: int):
+        self.first, self.hashed = words + 1, max(1, words // PER_HASHED)
+        self.frequent = {w: k + 1 for k, w in enumerate(frequent)}
+        self.known = dict(self.frequent)
 
+    @property
+    def size(self) -> int:
+        """Classes, the edge among them."""
+        return self.first + self.hashed
 
-def contexts(classes: np.ndarray, size: int = CLASSES) -> np.ndarray:
-    """(left, right) of every token as one number."""
-    padded = np.concatenate(([0], classes, [0]))
-    return padded[:-2] * size + padded[2:]
-
+    def one(self, word: bytes) -> int:
+        found = self.frequent.get(word)
+        return self.first + xxhash.xxh64_intdigest(word) % self.hashed if found is None else found
 
-@cache
-def _classes(frequent: tuple, size: int) -> Classes:
-    return Classes(list(frequent), size)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        out = [known.get(w) for w in words]
+        if None in out:
+            if len(known) > HELD:
+                self.known = known = dict(self.frequent)
+            for k, found in enumerate(out):
+                if found is None:
+                    out[k] = known[words[k]] = self.one(words[k])
+        return np.array(out, dtype=np.int32)
 
 
-def _counted(docs: DataFrame, frequent: list[bytes], size: int) -> DataFrame:
-    """code, n: counts of all (left, right, token)."""
-    block = docs.sparkSession.sparkContext.broadcast(tuple(frequent))
+def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' classes in a row with SIDE edges around each, and where each begins."""
+    gap = np.zeros(SIDE, dtype=np.int32)
+    starts = np.cumsum([SIDE] + [len(t) + SIDE for t in texts[:-1]]) if texts else np.zeros(0, dtype=np.int64)
+    return np.concatenate([gap, *(x for t in texts for x in (t, gap))]), starts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, codes, held = _classes(block.value, size), [], 0
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            at, n = np.unique(np.concatenate(codes), return_counts=True)
-            for k in range(0, len(at), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 17)]), pa.array(n[k : k + (1 << 17)].astype(np.int64))], names=["code", "n"])
-
-        for batch in slices(batches):
-            for text in as_bytes(batch.column("text")):
-                if words := item_words(text):
-                    classes, _ = own.of(words)
-                    codes.append(contexts(classes, size) * size + classes)
-                    held += len(words)
-                if held > HELD_TOKENS:
-                    yield from sent()
-                    codes, held = [], 0
-        if codes:
-            yield from sent()
-
-    return _texts(docs).select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def corpus_counts(docs: DataFrame, frequent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all (left, right, token) and of all hashed classes, as arrays of the least classes; `fit` does not gather them."""
-    counted = _counted(docs, frequent, CLASSES).toPandas()
-    total = np.zeros(CLASSES**3, dtype=np.int64)
-    total[counted["code"].to_numpy()] = counted["n"].to_numpy()
-    total = total.reshape(CLASSES * CLASSES, CLASSES)
-    hashed = total.sum(axis=0)
-    hashed[: FREQUENT + 1] = 0
-    return total, hashed
-
-
-class Descent:
-    """Adam's moments."""
-
-    def __init__(self, parts: list[np.ndarray], rate: float):
-        self.mean, self.square, self.rate, self.step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], rate, 0
-
-    def changed(self, parts: list[np.ndarray], grads: list[np.ndarray]) -> list[np.ndarray]:
-        self.step += 1
-        out = []
-        for k, grad in enumerate(grads):
-            self.mean[k] = 0.9 * self.mean[k] + 0.1 * grad
-            self.square[k] = 0.999 * self.square[k] + 0.001 * grad * grad
-            change = self.rate * (self.mean[k] / (1 - 0.9**self.step)) / (np.sqrt(self.square[k] / (1 - 0.999**self.step)) + 1e-8)
-            out.append((parts[k] - change).astype(np.float32))
-        return out
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Logarithms of probabilities, in place."""
+    logits -= logits.max(axis=1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
 
 
 class Network:
-    """tanh(left + right + bias) to a softmax over the classes but the edge."""
+    """tanh of the neighbours' vectors, to a softmax over groups and one within the group.
+
+    parts: neighbours (place, class, WIDTH), bias, groups (group, WIDTH) and their
+    biases, members (group, member, WIDTH) and their biases; then Adagrad's sums,
+    one for each row of those.
+    """
 
     def __init__(self, parts: list[np.ndarray]):
         self.parts = parts
 
-    @property
-    def size(self) -> int:
-        return len(self.parts[0])
+    @classmethod
+    def fresh(cls, counts: np.ndarray) -> Network:
+        """Random vectors, and biases that say how often classes occur; counts: of every class, the edge's first."""
+        rng, n = np.random.Generator(np.random.PCG64(SEED)), len(counts) - 1
+        groups = math.isqrt(max(1, n - 1)) + 1
+        members = -(-n // groups)
+        own = np.zeros(groups * members)
+        own[:n] = counts[1:] + 0.5
+        own = own.reshape(groups, members)
+        with np.errstate(divide="ignore"):
+            biases = [np.log(own.sum(axis=1)), np.maximum(np.log(own), -60.0)]
+        draw = lambda *shape: rng.standard_normal(shape) * 0.1
+        parts = [draw(len(OFFSETS), n + 1, WIDTH), np.zeros(WIDTH), draw(groups, WIDTH), np.maximum(biases[0], -60.0), draw(groups, members, WIDTH), biases[1]]
+        sums = [np.full(p.shape[:-1] if p.ndim > 1 and k != 5 else p.shape, 1e-4) for k, p in enumerate(parts)]
+        return cls([p.astype(np.float32) for p in (*parts, *sums)])
 
     @classmethod
-    def fresh(cls, size: int = CLASSES) -> Network:
-        rng = np.random.Generator(np.random.PCG64(SEED))
-        draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-        return cls([draw(size, WIDTH), draw(size, WIDTH), np.zeros(WIDTH, np.float32), draw(WIDTH, size), np.zeros(size, np.float32)])
-
-    def hidden(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return np.tanh(self.parts[0][left] + self.parts[1][right] + self.parts[2])
-
-    def log_probs(self, hidden: np.ndarray) -> np.ndarray:
-        logits = hidden @ self.parts[3] + self.parts[4]
-        logits[:, 0] = -np.inf
-        logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-
-    def gradient(self, codes: np.ndarray, n: np.ndarray, tokens: float) -> tuple[float, list[np.ndarray]]:
-        """Share of the mean loss, and gradients, of the counts of sorted (left, right, token)."""
-        size, loss = self.size, 0.0
-        grads = [np.zeros_like(p) for p in self.parts]
-        at, first = np.unique(codes // size, return_index=True)
-        ends = np.append(first, len(codes))
-        for k in range(0, len(at), CONTEXTS):
-            own = at[k : k + CONTEXTS]
-            rows = slice(ends[k], ends[min(k + CONTEXTS, len(at))])
-            left, right, row, token = own // size, own % size, np.searchsorted(own, codes[rows] // size), codes[rows] % size
-            target = np.zeros((len(own), size), dtype=np.float32)
-            target[row, token] = n[rows] / tokens
-            hidden = self.hidden(left, right)
-            log_probs = self.log_probs(hidden)
-            loss -= float((target[:, 1:] * log_probs[:, 1:]).sum(dtype=np.float64))
-            error = np.exp(log_probs, out=log_probs)
-            error *= target.sum(axis=1, keepdims=True)
-            error -= target
-            back = (error @ self.parts[3].T) * (1 - hidden * hidden)
-            np.add.at(grads[0], left, back)
-            np.add.at(grads[1], right, back)
-            grads[2] += back.sum(axis=0)
-            grads[3] += hidden.T @ error
-            grads[4] += error.sum(axis=0)
-        return loss, grads
-
-    def train(self, counts: np.ndarray, steps: int = STEPS, rate: float = RATE) -> list[float]:
-        """Full-batch Adam on an array of all counts; the mean loss before every tenth step."""
-        codes = np.flatnonzero(counts)
-        return self._descend(lambda tokens: [self.gradient(codes, counts.ravel()[codes], tokens)], float(counts.sum(dtype=np.float64)), steps, rate)
-
-    def train_on(self, counted: DataFrame, steps: int = STEPS, rate: float = RATE) -> list[float]:
-        """The same on a table of code and n, which stays in tasks."""
-        size, spark = self.size, counted.sparkSession
-        tokens = float(counted.agg(F.sum("n")).first()[0] or 0)
-        groups = min(MOST_GROUPS, max(12, size**3 // CELLS))
-        wide = -(-size * size // groups) * size
-
-        def packed(key: tuple, rows: pa.Table) -> pa.Table:
-            codes, n = rows["code"].to_numpy(), rows["n"].to_numpy()
-            order = np.argsort(codes)
-            return pa.table({"grp": pa.array([key[0].as_py()], pa.int32()), "codes": pa.array([codes[order].tobytes()], pa.large_binary()), "n": pa.array([n[order].tobytes()], pa.large_binary())}).cast(pa.schema([("grp", pa.int32()), ("codes", pa.binary()), ("n", pa.binary())]))
-
-        dealt = written(counted.withColumn("grp", F.floor(F.col("code") / wide).cast("int")).groupBy("grp").applyInArrow(packed, "grp int, codes binary, n binary"), "lm-groups")
-        held = dealt.rdd.map(lambda r: (r["grp"], (bytes(r["codes"]), bytes(r["n"])))).partitionBy(groups, lambda g: g).persist(StorageLevel.MEMORY_AND_DISK)
-
-        def gradients(tokens: float) -> list[tuple[float, list[np.ndarray]]]:
-            block = spark.sparkContext.broadcast(self.parts)
-            found = held.map(lambda x: (x[0], Network(block.value).gradient(np.frombuffer(x[1][0], np.int64), np.frombuffer(x[1][1], np.int64), tokens))).collect()
-            block.destroy()
-            return [g for _, g in sorted(found, key=lambda x: x[0])]
-
-        losses = self._descend(gradients, tokens, steps, rate)
-        held.unpersist()
-        return losses
-
-    def _descend(self, gradients, tokens: float, steps: int, rate: float) -> list[float]:
-        descent, losses = Descent(self.parts, rate), []
-        for step in range(steps if tokens else 0):
-            found = gradients(tokens)
-            if step % 10 == 0:
-                losses.append(sum(loss for loss, _ in found))
-            self.parts = descent.changed(self.parts, [sum(g[k] for _, g in found) for k in range(len(self.parts))])
-        return losses
-
-    def normalisers(self) -> np.ndarray:
-        """The logarithm that every context's logits are lessened by."""
-        size, out = self.size, []
-        for k in range(0, size * size, CONTEXTS):
-            at = np.arange(k, min(size * size, k + CONTEXTS))
-            logits = (self.hidden(at // size, at % size) @ self.parts[3] + self.parts[4])[:, 1:]
-            most = logits.max(axis=1)
-            out.append(most + np.log(np.exp(logits - most[:, None]).sum(axis=1)))
-        return np.concatenate(out).astype(np.float64)
+    def empty_like(cls, shapes: list[tuple[int, ...]], numbers: np.ndarray) -> Network:
+        cuts = np.cumsum([math.prod(s) for s in shapes])[:-1]
+        return cls([x.reshape(s).copy() for x, s in zip(np.split(numbers, cuts), shapes)])
+
+    def numbers(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parts])
+
+    def _hidden(self, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which places of a cut (with SIDE more on both sides) hold tokens, and their hidden states."""
+        at = np.flatnonzero(cut[SIDE : len(cut) - SIDE])
+        total = np.broadcast_to(self.parts[1], (len(at), WIDTH)).copy()
+        for k, offset in enumerate(OFFSETS):
+            total += self.parts[0][k][cut[at + SIDE + offset]]
+        return at, np.tanh(total)
+
+    def _groups(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Group by group: its number, the rows of it, their members."""
+        members = self.parts[4].shape[1]
+        group, member = np.divmod(token, members)
+        order = np.argsort(group, kind="stable")
+        found, first = np.unique(group[order], return_index=True)
+        for number, rows in zip(found.tolist(), np.split(order, first[1:])):
+            yield number, rows, member[rows]
+
+    def log_probs(self, cut: np.ndarray) -> np.ndarray:
+        """Of every token in a cut, the log-probability of its class."""
+        at, hidden = self._hidden(cut)
+        token = cut[at + SIDE] - 1
+        _, _, groups, group_bias, members, member_bias = self.parts[:6]
+        out = _softmax(hidden @ groups.T + group_bias)[np.arange(len(at)), token // members.shape[1]].astype(np.float64)
+        for number, rows, member in self._groups(token):
+            out[rows] += _softmax(hidden[rows] @ members[number].T + member_bias[number])[np.arange(len(rows)), member]
+        return out
+
+    def step(self, cut: np.ndarray) -> tuple[float, int]:
+        """One step of Adagrad on the tokens of a cut: their summed loss, and how many they are."""
+        at, hidden = self._hidden(cut)
+        if not len(at):
+            return 0.0, 0
+        near, bias, groups, group_bias, members, member_bias = self.parts[:6]
+        token, rows = cut[at + SIDE] - 1, np.arange(len(at))
+        own = token // members.shape[1]
+        error = _softmax(hidden @ groups.T + group_bias)
+        loss = -float(error[rows, own].sum(dtype=np.float64))
+        np.exp(error, out=error)
+        error[rows, own] -= 1
+        back = error @ groups
+        group_grads = error.T @ hidden, error.sum(axis=0)
+        for number, rows, member in self._groups(token):
+            state = hidden[rows]
+            error = _softmax(state @ members[number].T + member_bias[number])
+            each = np.arange(len(rows))
+            loss -= float(error[each, member].sum(dtype=np.float64))
+            np.exp(error, out=error)
+            error[each, member] -= 1
+            back[rows] += error @ members[number]
+            self._change(4, number, error.T @ state)
+            self._change(5, number, error.sum(axis=0))
+        self._change(2, slice(None), group_grads[0])
+        self._change(3, slice(None), group_grads[1])
+        back *= 1 - hidden * hidden
+        self._change(1, slice(None), back.sum(axis=0))
+        # a place's vector gets the errors of the tokens that see it there
+        wide = np.zeros((len(cut) + 2 * SIDE, WIDTH), dtype=np.float32)
+        wide[at + 2 * SIDE] = back
+        order = np.argsort(cut, kind="stable")
+        found, first = np.unique(cut[order], return_index=True)
+        for k, offset in enumerate(OFFSETS):
+            self._change(0, (k, found), np.add.reduceat(wide[order + SIDE - offset], first, axis=0))
+        return loss, len(at)
+
+    def _change(self, part: int, at, grad: np.ndarray) -> None:
+        values, sums = self.parts[part], self.parts[part + 6]
+        rows = values.ndim > 1 and part != 5
+        sums[at] += (grad * grad).mean(axis=-1) if rows else grad * grad
+        scale = RATE / np.sqrt(sums[at])
+        values[at] -= grad * (scale[..., None] if rows else scale)
+
+
+def cuts(classes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """A stream in cuts of at most `size` places, with SIDE more on both sides."""
+    for k in range(SIDE, len(classes) - SIDE, size):
+        yield classes[k - SIDE : min(len(classes) - SIDE, k + size) + SIDE]
+
+
+def _averaged(docs: DataFrame, frequent: Broadcast, words: int, network: Network, turn: int) -> tuple[Network, float, int]:
+    """The network after a round, the round's mean loss, and its tokens."""
+    spark = docs.sparkSession
+    shapes = [p.shape for p in network.parts]
+    block = spark.sparkContext.broadcast((shapes, network.numbers()))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, classes, loss, tokens = Network.empty_like(*block.value), Classes(frequent.value, words), 0.0, 0
+        held, size = [], 0
+        for batch in slices(batches, 64):
+            for text in as_bytes(batch.column("text")):
+                if found := item_words(text):
+                    held.append(classes.of(found))
+                    size += len(found)
+            if size >= 16 * BATCH:
+                for cut in cuts(stream(held)[0], BATCH):
+                    lost, n = own.step(cut)
+                    loss, tokens = loss + lost, tokens + n
+                held, size = [], 0
+        for cut in cuts(stream(held)[0], BATCH) if held else ():
+            lost, n = own.step(cut)
+            loss, tokens = loss + lost, tokens + n
+        if tokens:
+            numbers = own.numbers()
+            for k in range(0, len(numbers), PART):
+                yield pa.RecordBatch.from_arrays([pa.array([k // PART], pa.int32()), pa.array([tokens], pa.int64()), pa.array([loss]), pa.array([numbers[k : k + PART].tobytes()], pa.binary())], names=["part", "tokens", "loss", "numbers"])
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for part, tokens, loss, numbers in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                sums = total.setdefault(part, [0, 0.0, 0.0])
+                sums[0] += tokens
+                sums[1] += loss
+                sums[2] = sums[2] + np.frombuffer(numbers, dtype=np.float32).astype(np.float64) * tokens
+        for part, (tokens, loss, sums) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens], pa.int64()), pa.array([loss]), pa.array([(sums / tokens).astype(np.float32).tobytes()], pa.binary())], names=["part", "tokens", "loss", "numbers"])
+
+    rows = docs.filter(F.pmod(F.monotonically_increasing_id(), F.lit(ROUNDS)) == turn).select("text")
+    rows = rows.coalesce(SHARDS * spark.sparkContext.defaultParallelism)
+    schema = "part int, tokens bigint, loss double, numbers binary"
+    found = rows.mapInArrow(train, schema).repartition("part").mapInArrow(average, schema).collect()
+    block.unpersist()
+    if not found:
+        return network, 0.0, 0
+    numbers = np.concatenate([np.frombuffer(r["numbers"], dtype=np.float32) for r in sorted(found, key=lambda r: r["part"])])
+    return Network.empty_like(shapes, numbers), found[0]["loss"] / found[0]["tokens"], found[0]["tokens"]
 
 
 class Scorer:
     """What tasks need to score, all but the counts of rare words."""
 
-    def __init__(self, frequent: list[bytes], network: Network, tail_log: np.ndarray, head: dict[bytes, float]):
-        self.frequent, self.network, self.tail_log, self.head = tuple(frequent), network, tail_log, head
-        self.normalisers, self._classes = network.normalisers(), None
+    def __init__(self, frequent: list[bytes], words: int, network: Network, totals: np.ndarray, head: dict[bytes, int]):
+        self.frequent, self.words, self.network, self.totals, self.head = frequent, words, network, totals, head
+        self._classes = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_classes": None}
 
-    def log_prob(self, words: list[bytes]) -> tuple[float, Counter]:
-        """Summed log-probability of every word, given its neighbours, but for the logarithms of rare words' counts; these words."""
-        if not words:
-            return 0.0, Counter()
-        size, (*_, out, bias) = self.network.size, self.network.parts
+    def log_probs(self, texts: list[list[bytes]]) -> tuple[list[float], list[Counter]]:
+        """Of each text, the summed log-probability but for the logarithms of rare words' counts; these words."""
         if self._classes is None:
-            self._classes = Classes(list(self.frequent), size)
-        classes, hashed = self._classes.of(words)
-        at, total, columns = contexts(classes, size), 0.0, out.T
-        for k in range(0, len(at), 1 << 16):
-            own, token = at[k : k + (1 << 16)], classes[k : k + (1 << 16)]
-            logits = np.einsum("ij,ij->i", self.network.hidden(own // size, own % size), columns[token], dtype=np.float64) + bias[token]
-            total += float((logits - self.normalisers[own]).sum())
-        rare: Counter = Counter()
-        tails = np.flatnonzero(hashed >= 0)
-        total += float(self.tail_log[hashed[tails]].sum())
-        for k in tails.tolist():
-            known = self.head.get(words[k])
-            if known is None:
-                rare[words[k]] += 1
-            else:
-                total += known
-        return total, rare
+            self._classes = Classes(self.frequent, self.words)
+        classes = [self._classes.of(t) for t in texts]
+        row, starts = stream(classes)
+        each = np.zeros(len(row) + 1)
+        at = SIDE
+        for cut in cuts(row, 8 * BATCH):
+            places = at + np.flatnonzero(cut[SIDE : len(cut) - SIDE])
+            each[places] = self.network.log_probs(cut)
+            at += 8 * BATCH
+        first, out, rare = self._classes.first, [], []
+        for words, own, start in zip(texts, classes, starts.tolist()):
+            tails = np.flatnonzero(own >= first)
+            total, unknown = float(each[start : start + len(own)].sum()) - float(self.totals[own[tails]].sum()), Counter()
+            for word, n in Counter([words[k] for k in tails.tolist()]).items():
+                if (known := self.head.get(word)) is None:
+                    unknown[word] = n
+                else:
+                    total += n * math.log(known)
+            out.append(total)
+            rare.append(unknown)
+        return out, rare
 
 
 class Model:
-    """The scorer's parts, and the table of all words' counts."""
+    """The scorer, the table of all words' counts, and the mean loss of every round."""
+
+    def __init__(self, scorer: Scorer, words: DataFrame, losses: list[float]):
+        self.scorer, self.words, self.losses = scorer, words, losses
 
-    def __init__(self, scorer: Scorer, words: DataFrame):
-        self.scorer, self.words = scorer, words
-        self.frequent, self.network, self.tail_log = scorer.frequent, scorer.network, scorer.tail_log
+
+def _totals(words: DataFrame, frequent: Broadcast, own: int) -> np.ndarray:
+    """Tokens of every class, from the counts of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(frequent.value, own)
+        total = np.zeros(classes.size, dtype=np.int64)
+        for batch in batches:
+            np.add.at(total, [classes.one(w) for w in batch.column("word").to_pylist()], batch.column("n").to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["class", "n"])
+
+    out = np.zeros(Classes(frequent.value, own).size)
+    for r in words.select("word", "n").mapInArrow(run, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        out[r["class"]] = r["n"]
+    return out
 
 
 def fit(docs: DataFrame) -> Model:
     """Counts over all documents, then the network."""
+    texts, spark = _texts(docs), docs.sparkSession
     words = written(word_counts(docs), "lm-words")
     sums = words.agg(F.count("*").alias("distinct"), F.sum("n").alias("tokens")).first()
-    size = classes_for(sums["distinct"])
-    frequent = _most_frequent(words, own_classes(size))
+    own = words_for(sums["distinct"])
+    frequent = [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(own).collect()]
     # at most HEAD words are one in HEAD tokens each
-    head = {bytes(r["word"]): float(np.log(r["n"])) for r in words.filter(F.col("n") * HEAD >= (sums["tokens"] or 0)).collect()}
-    counted = written(_counted(docs, frequent, size), "lm-counts")
-    network = Network.fresh(size)
-    network.train_on(counted)
-    hashed = np.ones(size)
-    for r in counted.groupBy((F.col("code") % size).alias("token")).agg(F.sum("n").alias("n")).collect():
-        hashed[r["token"]] = r["n"]
-    return Model(Scorer(frequent, network, -np.log(hashed), head), words)
+    head = {bytes(r["word"]): r["n"] for r in words.filter(F.col("n") * HEAD >= (sums["tokens"] or 0)).collect()}
+    block = spark.sparkContext.broadcast(frequent)
+    totals, losses = _totals(words, block, own), []
+    network = Network.fresh(totals)
+    for turn in range(ROUNDS):
+        network, loss, _ = _averaged(texts, block, own, network, turn)
+        losses.append(loss)
+    return Model(Scorer(frequent, own, network, np.log(np.maximum(totals, 1)), head), words, losses)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """SCORED for every row."""
+    """doc_id, n_tokens, log_prob, mean_log_prob of every row."""
     block: Broadcast = docs.sparkSession.sparkContext.broadcast(model.scorer)
     entry = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 256):
             words = [item_words(t) for t in as_bytes(batch.column("text"))]
-            found = [block.value.log_prob(w) for w in words]
-            rare = [[{"word": w, "times": n} for w, n in x.items()] for _, x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([x for x, _ in found], pa.float64()), pa.array(rare, entry)], names=["doc_id", "n_tokens", "base", "rare"])
+            base, unknown = block.value.log_probs(words)
+            rare = [[{"word": w, "times": n} for w, n in x.items()] for x in unknown]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(base, pa.float64()), pa.array(rare, entry)], names=["doc_id", "n_tokens", "base", "rare"])
 
     made = _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, base double, rare array<struct<word:binary,times:bigint>>")
     made = written(made.withColumn("row", F.monotonically_increasing_id()), "lm-scored")

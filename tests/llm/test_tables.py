@@ -1,6 +1,5 @@
 """Operators over whole tables: url filters, sharding, LM scoring, the pipeline."""
 
-import math
 import zlib
 from collections import Counter
 
@@ -9,7 +8,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from meridia.llm import bpe, decontaminate, lm, neardup, pii, quality, sharding, urls
+from meridia.llm import bpe, decontaminate, neardup, pii, quality, sharding, urls
 from meridia.llm import catalog
 from tests.llm.helpers import docs, prose, rows
 
@@ -82,49 +81,6 @@ def test_ring_owner_and_limited_movement(spark):
     assert set(owners[np.isin(places, sharding.ring(11, 64)[0])]) == set(range(10))  # nodes of old shards stay
 
 
-# --- LM scoring
-
-
-def test_lm_counts_are_those_of_every_token(spark):
-    texts = {1: "a b a", 2: "b a", 3: None, 4: "", 5: " ".join(prose(1, 3000)), 6: "a b a"}
-    table = docs(spark, texts).repartition(3)
-    frequent = lm.frequent_words(table, 2)
-    words = {k: (v or "").split() for k, v in texts.items()}
-    every = Counter(w for x in words.values() for w in x)
-    assert [w.decode() for w in frequent] == [w for w, _ in sorted(every.items(), key=lambda x: (-x[1], x[0]))[:2]]
-    counts, hashed = lm.corpus_counts(table, frequent)
-    assert counts.sum() == sum(every.values())
-    classes = lm.Classes(frequent)
-    want = Counter()
-    for x in words.values():
-        ids = [0, *classes.of([w.encode() for w in x])[0].tolist(), 0]
-        want.update((ids[k - 1], ids[k + 1], ids[k]) for k in range(1, len(ids) - 1))
-    assert {(int(c) // lm.CLASSES, int(c) % lm.CLASSES, int(t)): int(counts[c, t]) for c, t in zip(*np.nonzero(counts))} == want
-    assert hashed.sum() == sum(n for w, n in every.items() if w.encode() not in frequent)
-
-
-def test_lm_gradient_descends_and_scores_add_up(spark):
-    pattern = " ".join(["red fox runs"] * 400)
-    texts = {1: pattern, 2: " ".join(prose(3, 400, 50)), 3: None, 4: "fox red runs " * 40}
-    table = docs(spark, [*texts.items(), (1, pattern), (None, "red fox")])
-    model = lm.fit(table)
-    counts, _ = lm.corpus_counts(table, lm.frequent_words(table))
-    losses = lm.Network.fresh().train(counts)
-    assert losses[-1] < losses[0] / 2
-    found = {r["doc_id"]: r for r in lm.scored(table, model).collect()}
-    assert found[1]["mean_log_prob"] > found[4]["mean_log_prob"] and found[3]["n_tokens"] == 0 and found[3]["mean_log_prob"] is None
-    classes, total = lm.Classes(list(model.frequent)), 0.0
-    words = ["red", "fox"]
-    ids, counters = classes.of([w.encode() for w in words])
-    for k, token in enumerate(ids):
-        left, right = ids[k - 1] if k else 0, ids[k + 1] if k + 1 < len(ids) else 0
-        log_probs = model.network.log_probs(model.network.hidden(np.array([left]), np.array([right])))[0]
-        assert math.isclose(np.exp(log_probs[1:]).sum(), 1, rel_tol=1e-4)
-        total += log_probs[token] + (model.tail_log[counters[k]] if counters[k] >= 0 else 0)
-    assert math.isclose(found[None]["log_prob"], total, rel_tol=1e-4)
-    assert lm.scored(table.limit(0), lm.fit(table.limit(0))).count() == 0
-
-
 # --- the pipeline
 
 SENTENCE = "Number {} of many sentences says {} and {} before it ends."
