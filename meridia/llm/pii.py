@@ -6,6 +6,9 @@ until the result passes the same check. Equal values get equal pseudonyms in all
 documents, different values different ones, and without the key none can be
 traced back. One pass over the rows, no shuffle, nothing shared between tasks.
 
+Digits are 0-9: those of other scripts begin, make up and end no value but an
+email's local part, where they count as letters do.
+
 Nulls and edges: a null text stays null with no finds; values that fail their
 check stay; overlapping candidates are taken from the left, the first kind of
 KINDS first; an empty table yields an empty table; all other columns are kept.
@@ -17,6 +20,7 @@ import datetime
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,13 +43,13 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 KINDS = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)+",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w]|-\d)",
+    "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
+    "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9])",
+    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?!\w)",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9])",
 }
 _FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 _TRIGGER = re.compile(r"[0-9@]|[0-9A-Fa-f]{32}")
@@ -86,15 +90,28 @@ def _refill(shape: str, keep: Callable[[str], bool], chars: str) -> str:
     return "".join(next(rest) if keep(c) else c for c in shape)
 
 
-def _letters(text: str, key: bytes, tweak: str) -> str:
-    """Every character of a known alphabet replaced within it, as one number."""
+@lru_cache(maxsize=1 << 14)
+def _alphabet(c: str) -> str | None:
+    """The characters that stand for c: its alphabet, or the letters (or numbers) of its kind among 256 code points; None for marks."""
+    if c in _ALPHABET:
+        return _ALPHABET[c]
+    kind, start = unicodedata.category(c), ord(c) & ~0xFF
+    if kind[0] not in "LN":
+        return None
+    return "".join(x for x in map(chr, range(start, start + 256)) if x not in _ALPHABET and unicodedata.category(x) == kind)
+
+
+def _letters(text: str, key: bytes, tweak: str) -> str | None:
+    """Every letter and number replaced within its alphabet, as one number; None if there is nothing to choose from."""
     value, size = 0, 1
     for c in text:
-        if (alphabet := _ALPHABET.get(c)) is not None:
+        if (alphabet := _alphabet(c)) is not None:
             value, size = value * len(alphabet) + alphabet.index(c), size * len(alphabet)
+    if size == 1:
+        return None
     value, out = permute(value, size, key, tweak), []
     for c in reversed(text):
-        if (alphabet := _ALPHABET.get(c)) is not None:
+        if (alphabet := _alphabet(c)) is not None:
             value, k = divmod(value, len(alphabet))
             c = alphabet[k]
         out.append(c)
@@ -112,8 +129,10 @@ def _digits(text: str, key: bytes, tweak: str, accept: Callable[[str], bool] = l
 
 
 def email(text: str, key: bytes) -> str | None:
+    """The domain stays; a local part of marks alone, such as `_@x.org`, names nobody and stays too."""
     local, at, domain = text.rpartition("@")
-    return _letters(local, key, "email") + at + domain
+    new = _letters(local, key, "email")
+    return None if new is None else new + at + domain
 
 
 def card(text: str, key: bytes) -> str | None:
@@ -122,7 +141,7 @@ def card(text: str, key: bytes) -> str | None:
 
 def phone(text: str, key: bytes) -> str | None:
     """The country code stays."""
-    code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)[0]
+    code = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+[0-9]", text)[0]
     digits = sum("0" <= c <= "9" for c in text)
     return code + _digits(text[len(code) :], key, "phone" + code) if 8 <= digits <= 15 else None
 
