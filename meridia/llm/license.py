@@ -15,8 +15,9 @@ table yields an empty table; other columns are not read.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -52,6 +53,8 @@ NAMES = ("mit", "apache", "gnu", "lesser", "mozilla", "cc", "nc", "sa", "creativ
 #: One error is allowed for so many characters of a notice, and 4 at most.
 CHARS_PER_ERROR = 9
 MOST_ERRORS = 4
+#: Characters of the runs that a window must mostly have before it is matched.
+GRAM = 3
 
 COLUMNS = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,first_word:int,last_word:int,errors:int>>"
 
@@ -78,7 +81,7 @@ def _scanner(notices: tuple) -> tuple:
             if word in NAMES:
                 names.append((regex.compile(rf"(?:{word}){{e<={int(len(word) > 2)}}}"), offset, offset + len(word)))
             offset += len(word) + 1
-        patterns.append((regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={errors}}}"), errors, len(notice), label, names))
+        patterns.append((regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={errors}}}"), errors, len(notice), label, names, sorted({notice[j : j + GRAM] for j in range(len(notice) - GRAM + 1)})))
         for offset, piece in pieces(notice, errors):
             owners.setdefault(piece, []).append((k, offset))
     for piece, places in owners.items():
@@ -95,6 +98,24 @@ def normal(text: bytes | None) -> str:
     return words.strip(b" ").decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1 << 14)
+def _matches(notices: tuple, k: int, window: str) -> list[tuple[int, int, int]]:
+    """(start, end, errors) of the k-th notice within a window of its length and its errors on both sides."""
+    pattern, errors, length, _, names, grams = _scanner(notices)[1][k]
+    start = window.find(notices[k][0])
+    if start >= 0:  # nothing in the window is nearer
+        return [(start, start + length, 0)]
+    # an error breaks at most GRAM of the notice's runs of GRAM characters
+    if sum(x in window for x in grams) < len(grams) - GRAM * errors:
+        return []
+    return [
+        (match.start(), match.end(), sum(match.fuzzy_counts))
+        for match in pattern.finditer(window)
+        # a name lies where the notice has it, but for the errors before it
+        if all(name.search(window, max(match.start(), match.start() + a - errors), min(match.end(), match.start() + b + errors)) for name, a, b in names)
+    ]
+
+
 def fuzzy(words: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int, float]]:
     """(label, start, end, errors, similarity) of every notice found, in characters."""
     automaton, patterns = _scanner(notices)
@@ -102,17 +123,14 @@ def fuzzy(words: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int
     windows: set[tuple[int, int, int]] = set()
     for end, (size, places) in automaton.iter(words):
         for k, offset in places:
-            _, errors, length, _, _ = patterns[k]
+            _, errors, length, *_ = patterns[k]
             start = end - size + 1 - offset
             windows.add((k, max(0, start - errors), min(len(words), start + length + errors)))
     found = set()
     for k, lo, hi in windows:
-        pattern, errors, length, label, names = patterns[k]
-        for match in pattern.finditer(words, lo, hi):
-            # a name lies where the notice has it, but for the errors before it
-            if all(name.search(words, max(match.start(), match.start() + a - errors), min(match.end(), match.start() + b + errors)) for name, a, b in names):
-                wrong = sum(match.fuzzy_counts)
-                found.add((label, match.start(), match.end(), wrong, 1 - wrong / length))
+        label, length = patterns[k][3], patterns[k][2]
+        for start, end, wrong in _matches(notices, k, words[lo:hi]):
+            found.add((label, lo + start, lo + end, wrong, 1 - wrong / length))
     # notices resemble each other: of those that overlap the nearest counts, the longest of equals
     kept: list[tuple[str, int, int, int, float]] = []
     taken: list[tuple[int, int]] = []
@@ -141,7 +159,9 @@ def scan(text: bytes | None) -> dict:
     words = normal(text)
     base, near = base_places(words), fuzzy(words)
     labels = {x[1] for x in base}
-    spans = [{"label": a, "first_word": words.count(" ", 0, s + (words[s : s + 1] == " ")), "last_word": words.count(" ", 0, max(s, e - 1)), "errors": w} for a, s, e, w, _ in near]
+    blanks = [m.start() for m in re.finditer(" ", words)] if near else []
+    # a place that begins with a blank begins with the word after it
+    spans = [{"label": a, "first_word": bisect.bisect_right(blanks, s), "last_word": bisect.bisect_left(blanks, max(s, e - 1)), "errors": w} for a, s, e, w, _ in near]
     return {
         "n_words": words.count(" ") + 1 if words else 0, "n_base": len(base),
         "first_word": min((x[0] for x in base), default=None), "last_word": max((x[0] for x in base), default=None),
