@@ -12,8 +12,10 @@ all that is held, so a conversation may be of any length. (A hash over one text
 is sequential; that is why a conversation isn't split.)
 
 Nulls and edges: a null role or text is empty; null conversation ids form one
-conversation; equal turn numbers are ordered by role, then text (null turns
-first); an empty table yields no rows; extra columns are ignored.
+conversation; equal turn numbers are ordered by role, then text as it is read
+back (null turns first); with `typed`, what is no list of parts is one text, and
+malformed parts are read as `PartVisitor` says; an empty table yields no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ _RAW = re.compile(r"\\(.)", re.S)
 
 #: Tokens that a unit of an attachment expands to: an image tile, a second of sound, a page.
 TOKENS = {"image": (85, 170), "audio": (4, 25), "document": (8, 500)}
+MOST_UNITS = 10**9
 
 
 def escape(text: str) -> str:
@@ -45,8 +48,24 @@ def unescape(text: str) -> str:
     return _RAW.sub(lambda m: m[1], text)
 
 
+def _text(value) -> str:
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+
+
+def _units(value, missing: int) -> float:
+    """A number of units, or `missing` if it is none."""
+    plain = isinstance(value, (int, float)) and not isinstance(value, bool) and 0 <= value <= MOST_UNITS
+    return value if plain else missing
+
+
 class PartVisitor:
-    """Flattens typed parts in order. Unknown types are kept as placeholders that expand to nothing."""
+    """Flattens typed parts in order.
+
+    Unknown types are kept as placeholders that expand to nothing. A text that is
+    no string is written as JSON; a null one is empty. A number of units that is
+    no number from 0 to MOST_UNITS counts as missing: an image has one tile then,
+    a document one page, a sound no second.
+    """
 
     def __init__(self) -> None:
         self.out: list[str] = []
@@ -56,16 +75,16 @@ class PartVisitor:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.out.append(escape(_text(part.get("text"))))
 
     def visit_image(self, part: dict) -> None:
-        self._attach("image", part, part.get("tiles") or 1)
+        self._attach("image", part, _units(part.get("tiles"), 1))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, part.get("seconds") or 0)
+        self._attach("audio", part, _units(part.get("seconds"), 0))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, part.get("pages") or 1)
+        self._attach("document", part, _units(part.get("pages"), 1))
 
     def visit_other(self, part: dict) -> None:
         self._attach(re.sub(r"\W", "_", str(part["type"])), part, 0)
@@ -73,7 +92,7 @@ class PartVisitor:
     def _attach(self, kind: str, part: dict, units: int) -> None:
         fixed, each = TOKENS.get(kind, (0, 0))
         k = len(self.attachments)
-        self.attachments.append({"index": k, "kind": kind, "ref": str(part.get("ref") or ""), "tokens": int(fixed + each * units)})
+        self.attachments.append({"index": k, "kind": kind, "ref": _text(part.get("ref")), "tokens": int(fixed + each * units)})
         self.out.append(f"<|{kind}:{k}|>")
 
 
@@ -118,8 +137,25 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str, int, int]]:
         at = turn.end()
 
 
-SEGMENT = "conv_id bigint, turn bigint, role string, segment string, body_start int, body_end int, attachments array<struct<index:int,kind:string,ref:string,tokens:int>>"
-_ATTACHMENTS = pa.list_(pa.struct([("index", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))
+_PLACEHOLDER = re.compile(r"<\|(\w+):(\d+)\|>")
+
+
+def read_parts(body: str) -> list[tuple[str, str]]:
+    """A formatted body's parts in order: ("text", unescaped text) or (kind, number of the attachment).
+
+    A placeholder that was said as text has a backslash within, so it is read back as text.
+    """
+    out, at = [], 0
+    for found in _PLACEHOLDER.finditer(body):
+        if found.start() > at:
+            out.append(("text", unescape(body[at : found.start()])))
+        out.append((found[1], found[2]))
+        at = found.end()
+    return out + [("text", unescape(body[at:]))] * (at < len(body))
+
+
+SEGMENT = "conv_id bigint, turn bigint, role string, segment string, body_start int, body_end int, attachments array<struct<index:int,kind:string,ref:string,tokens:bigint>>"
+_ATTACHMENTS = pa.list_(pa.struct([("index", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
 
 
 def segments(rows: DataFrame, *, typed: bool = False) -> DataFrame:
@@ -176,7 +212,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def digest(rows: DataFrame, *, typed: bool = False) -> DataFrame:
     """The contract's row per conversation, read back from the formatted text."""
-    made = segments(rows, typed=typed).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
+    # ties go by the text as it is read back, not by its escaped form
+    body = F.substring("segment", F.col("body_start") + 1, F.col("body_end") - F.col("body_start"))
+    said = F.regexp_replace(body, r"(?s)\\(.)", "$1")
+    made = segments(rows, typed=typed).repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")), said)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []
