@@ -5,7 +5,8 @@ test item is searched in it by bisection. That yields the longest verbatim
 matches with their places, and the words of each document that stand in an
 occurrence of a test window. The documents never move: a shard is a run of
 rows of one task, so there is no shuffle and no hot key. Test items are sent in
-blocks of at most `block_bytes`; more items mean more passes, not more memory.
+blocks of about `block_words` words; each block is a pass whose result is written
+before the next one begins, so more items mean more passes, not more memory.
 
 Nulls and edges: a null or empty text has no words, no hits and is clean; an
 item without words has no window; an item with fewer words than a window is one
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meridia.llm.common import as_bytes, free_name, item_words, slices
+from meridia.llm.common import as_bytes, free_name, item_words, slices, written
 from meridia.llm.suffix import SuffixArray
 
 WINDOW = 13
 #: A document is contaminated if 1 of so many of its words is hit.
 SHARE = 20
-#: Most bytes of test text in one broadcast block.
-BLOCK_BYTES = 32 << 20
+#: About so many words of test items are in one broadcast block (some 50 MB in a task, vocabulary included).
+BLOCK_WORDS = 1 << 20
 #: Text bytes of one shard; a longer document is a shard of its own.
 SHARD_BYTES = 3 << 20
 
@@ -45,30 +46,48 @@ class Items:
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int):
         self.vocab: dict[bytes, int] = {}
-        self.ids, self.starts, self.lengths, words = [], [], [], []
+        self.ids, starts, lengths, words = [], [], [], []
         for item, text in items:
             found = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in item_words(text)]
             if found:
                 self.ids.append(item)
-                self.starts.append(len(words))
-                self.lengths.append(len(found))
+                starts.append(len(words))
+                lengths.append(len(found))
                 words += found
-        self.words = np.array(words, dtype=np.int64)
-        owners: dict[bytes, set[int]] = {}
-        for k, (start, length) in enumerate(zip(self.starts, self.lengths)):
-            size = min(window, length)
-            for at in range(start, start + length - size + 1):
-                owners.setdefault(self.words[at : at + size].tobytes(), set()).add(k)
-        self.windows = np.frombuffer(b"".join(owners), dtype=np.int64)
-        self.window_lengths = np.array([len(k) // 8 for k in owners], dtype=np.int64)
-        self.window_starts = np.cumsum(self.window_lengths) - self.window_lengths
-        self.owners = [sorted({self.ids[k] for k in found}) for found in owners.values()]
+        self.words, self.starts, self.lengths = np.array(words, dtype=np.int64), np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
+        # every place of an item where a window begins
+        sizes = np.minimum(self.lengths, window)
+        many = self.lengths - sizes + 1
+        owner = np.repeat(np.arange(len(self.ids)), many)
+        places = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + self.starts[owner]
+        # equal windows are one: its first place, its size and who has it
+        firsts, widths, heads, owners = [], [], [], []
+        known = 0
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes[owner] == size)
+            rows = np.lib.stride_tricks.sliding_window_view(self.words.astype(np.int32), size)[places[own]]
+            _, first, which = np.unique(rows.view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True)
+            firsts.append(places[own][first])
+            widths.append(np.full(len(first), size, dtype=np.int64))
+            pairs = np.unique((which.astype(np.int64) + known) * len(self.ids) + owner[own])
+            heads.append(pairs // len(self.ids))
+            owners.append((pairs % len(self.ids)).astype(np.int32))
+            known += len(first)
+        none = [np.zeros(0, dtype=np.int64)]
+        self.window_starts, self.window_lengths = np.concatenate(firsts or none), np.concatenate(widths or none)
+        self.owners = np.concatenate(owners or none)
+        self.owner_ends = np.searchsorted(np.concatenate(heads or none), np.arange(known), side="right")
+
+    def having(self, windows: np.ndarray) -> set[str]:
+        """The ids of the items that have any of the windows."""
+        ends, before = self.owner_ends[windows], np.where(windows > 0, self.owner_ends[windows - 1], 0)
+        return {self.ids[k] for k in np.unique(self.owners[_ranges(before, ends)[1]]).tolist()}
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every test suffix: its item's number, where it starts, how long it is."""
         item = np.repeat(np.arange(len(self.ids)), self.lengths)
         at = np.arange(len(self.words))
-        ends = np.repeat(np.array(self.starts) + np.array(self.lengths), self.lengths)
+        ends = np.repeat(self.starts + self.lengths, self.lengths)
         return item, at, ends - at
 
 
@@ -101,7 +120,7 @@ def shard_hits(texts: list[list[bytes]], items: Items) -> tuple[list[np.ndarray]
     if not len(items.window_lengths):
         return flags, found
     shard = Shard(texts, items, int(items.window_lengths.max()))
-    lo, hi = shard.suffixes.find(items.windows, items.window_starts, items.window_lengths)
+    lo, hi = shard.suffixes.find(items.words, items.window_starts, items.window_lengths)
     which, slots = _ranges(lo, hi)
     if not len(which):
         return flags, found
@@ -112,9 +131,10 @@ def shard_hits(texts: list[list[bytes]], items: Items) -> tuple[list[np.ndarray]
     hit = np.cumsum(edges)[:-1] > 0
     for k in np.unique(shard.document(np.flatnonzero(hit))):
         flags[k] = hit[shard.starts[k] : shard.starts[k] + len(texts[k])]
-    pairs = np.unique(np.stack([shard.document(places), which]), axis=1)
-    for k, window in pairs.T:
-        found[k].update(items.owners[window])
+    pairs = np.unique(shard.document(places) * len(items.window_lengths) + which)
+    document, window = np.divmod(pairs, len(items.window_lengths))
+    for k in np.unique(document).tolist():
+        found[k] = items.having(window[document == k])
     return flags, found
 
 
@@ -129,12 +149,13 @@ def _shards(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa
                 at, size = k + 1, 0
 
 
-def test_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[Broadcast]:
-    """The test items as broadcast blocks, none larger than about block_bytes."""
+def test_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_words: int) -> Iterator[Broadcast]:
+    """The test items as broadcast blocks of about block_words words."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_bytes))
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    total = items.agg(F.sum(words + 1).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // block_words))
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         rows = part.collect()
@@ -163,7 +184,7 @@ def _pass(block: Broadcast, column: str, schema: T.StructType, again: bool) -> C
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every document with n_words, n_hit, hit spans, items and the verdict.
 
     Adds `contamination` = struct(n_words, n_hit, spans array<int> of starts and
@@ -173,8 +194,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
     at = f"c{docs.columns.index(text)}"
     state = docs.select(*own).withColumn(at, F.col(at).cast("string"))
-    for k, block in enumerate(test_blocks(benchmark, item, item_text, window, block_bytes)):
+    for k, block in enumerate(test_blocks(benchmark, item, item_text, window, block_words)):
         schema = T.StructType(state.schema.fields[: len(own)] + _STATE.fields)
+        if k:  # a pass at a time: no task holds two blocks
+            state = written(state, "decontaminate")
         state = state.mapInArrow(_pass(block, at, schema, again=k > 0), schema)
     # spans alternate starts and ends
     signed = F.transform("_spans", lambda x, k: F.when(k % 2 == 0, -x).otherwise(x).cast("bigint"))
@@ -193,7 +216,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Dat
     return found.filter(~F.col(free_name(docs.columns, "contamination") + ".contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Of every test suffix and every shard, the longest verbatim match and all its places.
 
     A row: doc_id, item_id, item_word (where the suffix starts), n_words (the
@@ -216,14 +239,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc
                 places = shard.suffixes.order[slots]
                 owner = shard.document(places)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(owner)), pa.array([items.ids[k] for k in number[which]], pa.string()), pa.array((starts[which] - np.array(items.starts)[number[which]]).astype(np.int32)), pa.array(size[which].astype(np.int32)), pa.array((places - shard.starts[owner]).astype(np.int32))],
+                    [batch.column("doc_id").take(pa.array(owner)), pa.array([items.ids[k] for k in number[which]], pa.string()), pa.array((starts[which] - items.starts[number[which]]).astype(np.int32)), pa.array(size[which].astype(np.int32)), pa.array((places - shard.starts[owner]).astype(np.int32))],
                     names=["doc_id", "item_id", "item_word", "n_words", "doc_word"],
                 )
 
         return run
 
     found = None
-    for block in test_blocks(benchmark, item, item_text, least, block_bytes):
+    for block in test_blocks(benchmark, item, item_text, least, block_words):
         part = texts.mapInArrow(searching(block), MATCHES)
         found = part if found is None else found.unionByName(part)
     return found

@@ -42,7 +42,7 @@ def test_blocks_of_items_give_the_same(spark):
     texts, items = _case()
     bench = docs(spark, items, "item_id bigint, text string")
     one = dc.digest(dc.contamination(docs(spark, texts), bench))
-    many = dc.digest(dc.contamination(docs(spark, texts), bench, block_bytes=200))
+    many = dc.digest(dc.contamination(docs(spark, texts), bench, block_words=40))
     assert rows(one, *one.columns) == rows(many, *one.columns)
 
 
