@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meridia.llm import quality, urls
+from meridia.llm import urls
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -76,18 +76,25 @@ made AS (
   FROM said
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(role) + body + 23) AS BIGINT) AS formatted_chars,
   CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM made GROUP BY conv_id
 """.replace("\\\\", "\\")
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
+# The line rules, stated anew: nothing here is taken from the operator.
+_LOWER_LINE = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The line with every character that is no part of a word doubled, so that neighbouring phrases don't share one.
+_SPACED = rf"regexp_replace({_LOWER_LINE}, '([^0-9a-z\x{{80}}-\x{{10FFFF}}])', '\1\1', 'g')"
+_SAID_EVERYWHERE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "accept cookies", "enable javascript", "lorem ipsum",
+    "click here", "read more", "sign up for", "subscribe to our", "share this", "back to top", "log in", "skip to content",
+)
+_PHRASES = rf"(?:^|[^0-9a-z\x{{80}}-\x{{10FFFF}}])({'|'.join(p.replace(' ', '  ') for p in _SAID_EVERYWHERE)})(?:$|[^0-9a-z\x{{80}}-\x{{10FFFF}}])"
+_SENTENCE_END = "[.!?:;…。！？][\"'')\\]}}»”’“]*(?:[ \t\r\x0b\x0c]|$)".replace("}}", "}")
 
 OP7 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_BLANK_WORDS} AS words FROM documents),
@@ -98,16 +105,17 @@ line AS (
 own AS (SELECT * FROM line WHERE len(words) > 0),
 marked AS (
   SELECT doc_id, line, len(array_to_string(words, '')) AS chars,
-    len(list_filter(words, lambda w: regexp_matches(w, {_quoted(quality.SEPARATOR)}))) AS separators,
-    len(list_filter(words, lambda w: regexp_matches(w, {_quoted(quality.NOISY)}))) AS noisy,
+    len(list_filter(words, lambda w: regexp_full_match(w, '[|>/~]+|»|·|•|→|::') AND strlen(w) <= 3)) AS separators,
+    len(list_filter(words, lambda w: regexp_matches(w, '(?:[!?]{{2,}}|[#*$%&|<>])$'))) AS noisy,
+    regexp_extract_all({_SPACED}, '{_PHRASES}', 1) AS phrases,
     len(words) AS n
   FROM own
 ),
 judged AS (
   SELECT doc_id, chars,
     separators >= 2 AND 4 * separators >= n
-    OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quoted(quality.BOILERPLATE)})
-    OR NOT regexp_matches(line, {_quoted(quality.ENDS)})
+    OR 4 * coalesce(list_sum(list_transform(phrases, lambda p: (length(p) - length(replace(p, '  ', ''))) / 2 + 1)), 0) >= n
+    OR NOT regexp_matches(line, '{_SENTENCE_END}')
     OR 2 * noisy > n AS bad
   FROM marked
 ),
@@ -126,8 +134,8 @@ base AS (
   FROM d LEFT JOIN doubled USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
-  NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND 2 * lost <= word_chars AS kept
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * lost <= word_chars AS kept
 FROM base
 """
 
