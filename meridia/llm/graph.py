@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meridia.llm.common import written
 
 
-#: Links that one task may hold (32 MB as numbers); more go by rounds over all tasks.
+#: Links that one task contracts (32 MB as numbers).
 LOCAL = 2_000_000
 
 
@@ -34,17 +34,20 @@ def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         label = new
 
 
-def _locally(edges: DataFrame) -> DataFrame:
-    """Components of at most LOCAL links, in one task."""
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """The links, dealt over tasks; each task's own components as stars around their least node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = [(x.column("u").to_numpy(), x.column("v").to_numpy()) for x in batches]
         if sides:
             nodes, component = least_reached(*(np.concatenate(side) for side in zip(*sides)))
+            rays = nodes != component
+            nodes, component = nodes[rays], component[rays]
             for k in range(0, len(nodes), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + (1 << 16)]), pa.array(component[k : k + (1 << 16)])], names=["node", "component"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + (1 << 16)]), pa.array(component[k : k + (1 << 16)])], names=["u", "v"])
 
-    return edges.coalesce(1).mapInArrow(run, "node bigint, component bigint")
+    dealt = F.pmod(F.xxhash64("u", "v"), F.lit(tasks))
+    return edges.repartition(tasks, dealt).mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -56,16 +59,16 @@ def _with_least(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, name: str = "components", *, local: int = LOCAL) -> DataFrame:
     """(node, component): the least node that each linked node reaches. links: a bigint, b bigint.
 
-    Up to `local` links are few enough for one task. Beyond, it alternates two steps until
-    nothing changes: every node hands its larger neighbours to the least one (large star), then its smaller ones (small
-    star). A node's neighbours are never gathered: the least is a partial
-    aggregate and comes back by a join, which splits a hot node's rows. Every
-    round is written to the shared folder.
+    First every task of at most `local` links contracts its own to stars, which
+    leaves little to do. Then two steps alternate until nothing changes: every
+    node hands its larger neighbours to the least one (large star), then its
+    smaller ones (small star). A node's neighbours are never gathered: the least
+    is a partial aggregate and comes back by a join, which splits a hot node's
+    rows. Every round is written to the shared folder.
     """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    edges = written(_contracted(edges, max(1, -(-edges.count() // max(1, local)))), name)
     state = _state(edges)
-    if state[0] <= local:
-        return _locally(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()

@@ -9,21 +9,27 @@
 3. Within a list, sorted by set size, a class is held against those whose size
    allows a link; the rest is skipped. Collisions are counted on two bits of
    every coordinate. Of the pairs above the match threshold a list returns a
-   spanning forest, not all pairs.
+   spanning forest, not all pairs. In a list that may be long a class is held
+   against those only that share a second pair with it: of the first K - T + 2
+   pairs linked classes share two.
 4. The forests' components are groups of near copies. Each class's text travels
    once to its group, where links are confirmed on full sets, again without all
    pairs: what a class already reaches need not be compared.
 5. The confirmed links' components are the result.
 
 A list or group that is too large for a task is cut into blocks, and every two
-blocks meet in a task of their own, so nothing is capped. Written tables in the
-shared folder cut the lineage.
+blocks meet in a task of their own, so nothing is capped. Lists are counted
+exactly where they may be too large. Written tables in the shared folder cut the
+lineage; the rows are written first and numbered, and texts are found by that
+number, so results don't hang on doc_ids.
 
 Nulls and edges: a null text, or one without words, is empty, linked with
 nothing, and its own component; a text of fewer words than a shingle is one
-shingle; a null doc_id is linked through an equal set only; rows that share a
-doc_id but not their set are judged apart; an empty table yields an empty table;
-extra columns are kept by `keep_one`.
+shingle; rows that share a doc_id or have none are judged apart, each by its
+text; the component of rows without ids alone is null; `keep_one` keeps of every
+component one row, that of the least doc_id (a row with an id before one without,
+then the first as written), and every empty row; an empty table yields an empty
+table; extra columns are kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -51,10 +57,14 @@ AGREE = 36
 COUNTERS = 1 << 16
 #: Classes of a list, and shingles of a group, that one task takes; more are cut into blocks.
 LIST, GROUP = 50_000, 2_000_000
+#: Lists that may be cut at most (their sizes are broadcast, 16 MB): beyond 3 * 10^10 postings per 2^20, LIST grows.
+CUT_LISTS = 1 << 20
+#: Lists expected to hold more classes carry each class's other pairs.
+LONG = 1_000
 
 _ODD = (np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, size=(2, K), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-SIGNED = "doc_id bigint, n bigint, key binary, signature binary"
-POSTED = "list bigint, block int, node bigint, n bigint, low bigint, high bigint"
+SIGNED = "row bigint, doc_id bigint, n bigint, key binary, signature binary"
+POSTED = "list bigint, block int, node bigint, n bigint, low bigint, high bigint, others binary"
 EDGES = "a bigint, b bigint"
 
 
@@ -117,12 +127,12 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
             rows = iter(range(len(full)))
             at = [next(rows) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([None if k is None else made[1][k].tobytes() for k in at], pa.binary()), pa.array([None if k is None else made[0][k].tobytes() for k in at], pa.binary())],
-                names=["doc_id", "n", "key", "signature"],
+                names=["row", "doc_id", "n", "key", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
+    return docs.select("row", "doc_id", "text").mapInArrow(run, SIGNED)
 
 
 def _matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
@@ -165,34 +175,66 @@ def agreeing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return K - np.bitwise_count(differ).sum(axis=1).astype(np.int64)
 
 
-def _posted(classes: DataFrame, counters: Broadcast, most: int) -> DataFrame:
+def _prefix(batch: pa.RecordBatch, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, their first K - T + 2 coordinate-value pairs, rarest first, and how often each one's counter was met."""
+    signature = _matrix(batch.column("signature"), np.uint32, K)
+    pairs = pairs_of(signature)
+    often = table[(pairs & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    order = np.lexsort((pairs, often))[:, : K - T + 2]
+    return signature, np.take_along_axis(pairs, order, 1), np.take_along_axis(often, order, 1)
+
+
+def _blocks(classes: DataFrame, counters: Broadcast, most: int) -> Broadcast:
+    """Sorted lists of more than `most` classes, and how many blocks each is cut into."""
+    lists = blocks = np.zeros(0, dtype=np.int64)
+    if counters.value.max(initial=0) > most:  # a list is no longer than its counter
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1 << 14):
+                _, pairs, often = _prefix(batch, counters.value)
+                found, n = np.unique(pairs[:, : K - T + 1][often[:, : K - T + 1] > most], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["list", "n"])
+
+        counted = classes.select("signature").mapInArrow(run, "list bigint, n bigint").groupBy("list").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+        rows = counted.collect()
+        lists, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("list", "n"))
+        order = np.argsort(lists.view(np.uint64))
+        lists, blocks = lists[order], -(-n[order] // most)
+    return classes.sparkSession.sparkContext.broadcast((lists.view(np.uint64), blocks))
+
+
+def _posted(classes: DataFrame, counters: Broadcast, cut: Broadcast) -> DataFrame:
     """Each class under the first K - T + 1 coordinate-value pairs of its signature, rarest first.
 
-    A list that is expected to hold more than `most` classes gets blocks; a class
-    is posted under every two blocks that hold its own.
+    In a list that is cut a class is posted under every two blocks that hold its own.
     """
+    names = [x.split()[0] for x in POSTED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counters.value
+        table, (known, parts) = counters.value, cut.value
         usual = int(table.mean())
         for batch in slices(batches):
-            signature = _matrix(batch.column("signature"), np.uint32, K)
-            pairs, node = pairs_of(signature), batch.column("node").to_numpy()
-            often = table[(pairs & np.uint64(COUNTERS - 1)).astype(np.int64)]
-            order = np.lexsort((pairs, often))[:, : K - T + 1]
-            lists, often = np.take_along_axis(pairs, order, 1), np.take_along_axis(often, order, 1)
-            blocks = np.maximum(1, -(-(often - 2 * usual) // most)).ravel()
-            rows, lists = np.repeat(np.arange(len(node)), K - T + 1), lists.ravel()
+            signature, prefix, often = _prefix(batch, table)
+            node, taken = batch.column("node").to_numpy(), K - T + 1
+            lists, long = prefix[:, :taken].ravel(), (often[:, :taken] > 2 * usual + LONG).ravel()
+            blocks = np.ones(len(lists), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, lists), len(known) - 1)
+                blocks = np.where(known[at] == lists, parts[at], 1)
+            rows = np.repeat(np.arange(len(node)), taken)
             own = (mix(node.astype(np.uint64))[rows] % blocks.astype(np.uint64)).astype(np.int64)
             # (i, j) with i <= j, one of them the class's own block
             copy = np.repeat(np.arange(len(rows)), blocks)
             other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             first, second = np.minimum(own[copy], other), np.maximum(own[copy], other)
             rows, bits = rows[copy], two_bits(signature).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lists[copy].view(np.int64)), pa.array((first * blocks[copy] + second).astype(np.int32)), pa.array(node[rows]), batch.column("n").take(pa.array(rows)), pa.array(bits[rows, 0]), pa.array(bits[rows, 1])],
-                names=[x.split()[0] for x in POSTED.split(", ")],
+            packed = np.ascontiguousarray(prefix.astype(np.uint32)).view(f"V{4 * prefix.shape[1]}").ravel().tolist()
+            others = [packed[r] if wide else None for r, wide in zip(rows.tolist(), long[copy].tolist())] if long.any() else [None] * len(rows)
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(lists[copy].view(np.int64)), pa.array((first * blocks[copy] + second).astype(np.int32)), pa.array(node[rows]), batch.column("n").take(pa.array(rows)), pa.array(bits[rows, 0]), pa.array(bits[rows, 1]), pa.array(others, pa.binary())],
+                names=names,
             )
+            yield from slices(iter([made]), 1 << 16)
 
     return classes.select("node", "n", "signature").mapInArrow(run, POSTED)
 
@@ -231,37 +273,62 @@ class Runs:
 
 
 def forest(count: int, near) -> list[tuple[int, int]]:
-    """A spanning forest of a graph that `near(i, others)` shows: which of `others` are i's neighbours.
+    """A spanning forest of a graph that `near(i, among)` shows: i's neighbours among the members that are marked.
 
     Goes outwards from one member; where fewer members are left than are still
     to be expanded, those are asked instead, so that neither a large component
     nor many single members cost all pairs if they need not.
     """
-    left, found = np.arange(count), []
-    while len(left) > 1:
-        start, left = left[0], left[1:]
-        inside, waiting = [int(start)], [int(start)]
-        while waiting and len(left):
-            if len(left) < len(waiting):  # ask those that are left
-                members = np.array(inside)
+    alive, left, found = np.ones(count, dtype=bool), count, []
+    for start in range(count):
+        if left < 2:
+            break
+        if not alive[start]:
+            continue
+        alive[start], left = False, left - 1
+        inside, waiting = [start], [start]
+        while waiting and left:
+            if left < len(waiting):  # ask those that are left
+                members = np.zeros(count, dtype=bool)
+                members[inside] = True
                 waiting = []
-                for i in left:
-                    if len(met := near(int(i), members)):
-                        found.append((int(i), int(met[0])))
-                        waiting.append(int(i))
+                for i in np.flatnonzero(alive).tolist():
+                    if len(met := near(i, members)):
+                        found.append((i, int(met[0])))
+                        waiting.append(i)
                 inside += waiting
-                left = np.setdiff1d(left, waiting, assume_unique=True)
+                alive[waiting] = False
+                left -= len(waiting)
             else:
                 i = waiting.pop()
-                met = near(i, left)
+                met = near(i, alive)
                 if len(met):
-                    found += [(i, int(j)) for j in met]
+                    found += [(i, j) for j in met.tolist()]
                     inside += met.tolist()
                     waiting += met.tolist()
-                    left = np.setdiff1d(left, met, assume_unique=True)
+                    alive[met] = False
+                    left -= len(met)
     return found
 
 
+class Sharing:
+    """Which members share a value: an inverted index of their rows of values."""
+
+    def __init__(self, values: np.ndarray, owner: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+
+    def among(self, own: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        """Marked members that hold any of the values; of many places, all marked members."""
+        lo, hi = np.searchsorted(self.values, own), np.searchsorted(self.values, own, side="right")
+        n = hi - lo
+        if int(n.sum()) >= len(marked):
+            return np.flatnonzero(marked)
+        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        found = np.unique(self.owner[at])
+        return found[marked[found]]
+
+
 def _edges(pairs: list[tuple[int, int]], nodes: np.ndarray) -> pa.RecordBatch:
     at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(nodes[at[:, 0]]), pa.array(nodes[at[:, 1]])], names=["a", "b"])
@@ -279,7 +346,15 @@ def _merged(posted: DataFrame, link: int) -> DataFrame:
             node, n = rows["node"].to_numpy(), rows["n"].to_numpy()
             bits = np.stack([rows["low"].to_numpy(), rows["high"].to_numpy()], axis=1).view(np.uint64)
 
-            def near(i: int, others: np.ndarray) -> np.ndarray:
+            packed = rows["others"].to_pylist()
+            sharing = None
+            if packed[0] is not None:  # a list's rows all have it or none
+                shared = np.frombuffer(b"".join(packed), dtype=np.uint32).reshape(len(node), -1)
+                second = shared != np.uint32(rows["list"][0].as_py() & 0xFFFFFFFF)
+                sharing = Sharing(shared[second], np.nonzero(second)[0])
+
+            def near(i: int, marked: np.ndarray) -> np.ndarray:
+                others = np.flatnonzero(marked) if sharing is None else sharing.among(shared[i][second[i]], marked)
                 # sorted by size: skip what is too small or too large
                 sizes = n[others]
                 fits = others[(100 * np.minimum(sizes, n[i]) >= link * np.maximum(sizes, n[i]))]
@@ -298,43 +373,30 @@ def _merged(posted: DataFrame, link: int) -> DataFrame:
 def _confirmed(docs: DataFrame, members: DataFrame, words: int, link: int, most: int) -> DataFrame:
     """Spanning forests of the links that full sets confirm, group by group.
 
-    members: node, rep, key, n, grp. A group of more than `most` shingles is cut
+    members: node, first_row, n, grp. A group of more than `most` shingles is cut
     into blocks by node; every two blocks meet.
     """
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n") / most).cast("int").alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
-    own = members.join(sizes, "grp").join(texts, "rep")
+    own = members.join(sizes, "grp").join(docs.select(F.col("row").alias("first_row"), "text"), "first_row")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = own.select("grp", "node", "key", "text", "blocks", block.alias("block"), other.alias("other"))
-    met = met.select("grp", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("block"), "node", "key", "text")
+    met = own.select("grp", "node", "text", "blocks", block.alias("block"), other.alias("other"))
+    met = met.select("grp", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("block"), "node", "text")
     dealt = met.repartition("grp", "block").sortWithinPartitions("grp", "block", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for rows in Runs(slices(batches, 512), ("grp", "block")):
-            nodes, sets = [], []
-            for node, key, text in zip(rows["node"].to_pylist(), rows["key"].to_pylist(), as_bytes(rows["text"])):
-                if nodes and nodes[-1] == node:
-                    continue  # the same class by another row with its doc_id
-                own = shingler.hashes(text)
-                if len(own) and signatures_key(own) == key:
-                    nodes.append(node)
-                    sets.append(own)
+            sets, nodes = [shingler.hashes(t) for t in as_bytes(rows["text"])], rows["node"].to_numpy()
             if len(nodes) < 2:
                 continue
             pairs = linked(sets, link)
             if pairs:
-                yield _edges(pairs, np.array(nodes, dtype=np.int64))
+                yield _edges(pairs, nodes)
 
     return dealt.mapInArrow(run, EDGES)
 
 
-def signatures_key(own: np.ndarray) -> bytes:
-    with np.errstate(over="ignore"):
-        return np.array([mix(own + np.uint64(c)).sum(dtype=np.uint64) for c in (1, 2)], dtype=np.uint64).tobytes()
-
-
 def linked(sets: list[np.ndarray], link: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with 100 * intersection >= link * union."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -342,43 +404,66 @@ def linked(sets: list[np.ndarray], link: int) -> list[tuple[int, int]]:
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if 100 * both >= link * (int(sizes.sum()) - both) else []
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], side="right")
-        n = hi - lo
-        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-        both = np.bincount(owner[at], minlength=len(sizes))[others]
+    # of every set the shingles that are rarest here: linked sets share one of the first n - LINK % of n, and one more
+    _, which, often = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((which, often[which], owner))
+    ends = np.cumsum(sizes)
+    place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+    first = place < np.repeat(sizes - -(-link * sizes // 100) + 1, sizes)
+    rare, holder = which[order][first], owner[first]
+    sharing, cuts = Sharing(rare, holder), np.searchsorted(holder, np.arange(len(sizes) + 1))
+
+    def near(i: int, marked: np.ndarray) -> np.ndarray:
+        others = sharing.among(rare[cuts[i] : cuts[i + 1]], marked)
+        others = others[100 * np.minimum(sizes[others], sizes[i]) >= link * np.maximum(sizes[others], sizes[i])]
+        if not len(others):
+            return others
+        met = [sets[k] for k in others.tolist()]
+        at = np.concatenate(met)
+        place = np.minimum(np.searchsorted(sets[i], at), len(sets[i]) - 1)
+        both = np.add.reduceat((sets[i][place] == at).astype(np.int64), np.cumsum([0] + [len(m) for m in met[:-1]]))
         return others[100 * both >= link * (sizes[others] + sizes[i] - both)]
 
     return forest(len(sets), near)
 
 
-def near_duplicates(docs: DataFrame, *, words: int = WORDS, link: int = LINK, most_list: int = LIST, most_group: int = GROUP) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    signed = written(_signed(docs, words), "neardup-signed")
-    classes = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+def _judged(table: DataFrame, words: int, link: int, most_list: int, most_group: int) -> DataFrame:
+    """row, doc_id, n, component_id and kept_row (the one row of its component that `keep_one` keeps) of a written table of row, doc_id, text."""
+    signed = written(_signed(table, words), "neardup-signed")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    classes = signed.filter("key is not null").groupBy("key").agg(best, F.min("row").alias("first_row"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "neardup-classes")
+    most_list = max(most_list, classes.count() * (K - T + 1) // CUT_LISTS)
     counters = _counters(classes)
-    groups = components(_merged(_posted(classes, counters, most_list), link), "neardup-groups")
-    members = classes.select("node", "rep", "key", "n").join(groups, "node").withColumnRenamed("component", "grp")
-    found = components(_confirmed(docs, members, words, link, most_group), "neardup-components")
-    # the least doc_id of every component, then of every class; null keys join nothing, so they stay out of the joins
-    own = classes.select("node", "rep", "key").join(found, "node", "left")
+    groups = components(_merged(_posted(classes, counters, _blocks(classes, counters, most_list)), link), "neardup-groups")
+    members = classes.select("node", "first_row", "n").join(groups, "node").withColumnRenamed("component", "grp")
+    found = components(_confirmed(table, members, words, link, most_group), "neardup-components")
+    # the best row of every component, then of every class; null keys join nothing, so they stay out of the joins
+    own = classes.select("node", "best", "key").join(found, "node", "left")
     grouped, alone = own.filter("component is not null"), own.filter("component is null")
-    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_key = grouped.join(least, "component").select("key", "component_id").unionByName(alone.select("key", F.col("rep").alias("component_id")))
-    full = signed.select("doc_id", "n", "key").filter("key is not null").join(by_key, "key").select("doc_id", "n", "component_id")
-    empty = signed.filter("key is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    component = F.coalesce("component_id", "doc_id")
-    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id, with the columns they came with."""
-    gone = near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    least = grouped.groupBy("component").agg(F.min("best").alias("least"))
+    by_key = grouped.join(least, "component").select("key", "least").unionByName(alone.select("key", F.col("best").alias("least")))
+    full = signed.select("row", "doc_id", "n", "key").filter("key is not null").join(by_key, "key").select("row", "doc_id", "n", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("kept_row"))
+    empty = signed.filter("key is null").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("row").alias("kept_row"))
+    return full.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, *, words: int = WORDS, link: int = LINK, most_list: int = LIST, most_group: int = GROUP) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = written(plain.withColumn("row", F.monotonically_increasing_id()), "neardup-rows")
+    found = _judged(table, words, link, most_list, most_group)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, words: int = WORDS, link: int = LINK, most_list: int = LIST, most_group: int = GROUP) -> DataFrame:
+    """One row of every component, and all empty ones, with the columns they came with."""
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    held = written(docs.select(*own, F.monotonically_increasing_id().alias("row")), "neardup-rows")
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    table = held.select("row", doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text"))
+    gone = _judged(table, words, link, most_list, most_group).filter("row <> kept_row").select("row")
+    return held.join(gone, "row", "left_anti").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def brute(texts: dict, words: int = WORDS, link: int = LINK) -> dict:
