@@ -86,12 +86,23 @@ def words_for(distinct: int) -> int:
 
 
 class Classes:
-    """Words to classes: 0 is beyond a document's edge, then the frequent words, then hashed classes."""
+    """Words to classes: 0 is beyond a document's edge, then the frequent words, then hashed classes.
 
-    def __init__(self, frequent: list[bytes], words: int):
-        self.first, self.hashed = words + 1, max(1, words // PER_HASHED)
+    Words that were met are numbered; `classes` and `logs` tell each one's class and
+    the logarithm of its count where a hashed class needs it (0 for a frequent word,
+    NaN for a word whose count is not at hand).
+    """
+
+    def __init__(self, frequent: list[bytes], words: int, head: dict[bytes, int] | None = None):
+        self.first, self.hashed, self.head = words + 1, max(1, words // PER_HASHED), head or {}
         self.frequent = {w: k + 1 for k, w in enumerate(frequent)}
-        self.known = dict(self.frequent)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.known = {w: k for k, w in enumerate(self.frequent)}
+        self.words = list(self.frequent)
+        self.classes, self.logs = np.empty(2 * HELD, dtype=np.int32), np.zeros(2 * HELD)
+        self.classes[: len(self.words)] = np.arange(1, len(self.words) + 1)
 
     @property
     def size(self) -> int:
@@ -102,16 +113,32 @@ class Classes:
         found = self.frequent.get(word)
         return self.first + xxhash.xxh64_intdigest(word) % self.hashed if found is None else found
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers; they hold until `forget`."""
         known = self.known
-        out = [known.get(w) for w in words]
+        out = list(map(known.get, words))
         if None in out:
-            if len(known) > HELD:
-                self.known = known = dict(self.frequent)
             for k, found in enumerate(out):
                 if found is None:
-                    out[k] = known[words[k]] = self.one(words[k])
-        return np.array(out, dtype=np.int32)
+                    word = words[k]
+                    if (found := known.get(word)) is None:
+                        found = known[word] = len(self.words)
+                        if found == len(self.classes):
+                            self.classes, self.logs = np.concatenate([self.classes] * 2), np.concatenate([self.logs] * 2)
+                        self.words.append(word)
+                        self.classes[found] = self.one(word)
+                        n = self.head.get(word)
+                        self.logs[found] = math.nan if n is None else math.log(n)
+                    out[k] = found
+        return np.array(out, dtype=np.int64)
+
+    def forget(self) -> None:
+        """Between two batches: start anew where too many words are held."""
+        if len(self.words) > HELD:
+            self._begin()
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return self.classes[self.ids(words)]
 
 
 def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +148,19 @@ def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([gap, *(x for t in texts for x in (t, gap))]), starts
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Logarithms of probabilities, in place."""
+def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row, the log-probability of its own column; exponentials (in place of the logits) and their sums."""
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+    found = logits[np.arange(len(logits)), own]
+    np.exp(logits, out=logits)
+    sums = logits.sum(axis=1)
+    return found - np.log(sums), logits, sums
 
 
 class Network:
     """tanh of the neighbours' vectors, to a softmax over groups and one within the group.
 
-    parts: neighbours (place, class, WIDTH), bias, groups (group, WIDTH) and their
+    parts: neighbours (class, place and WIDTH), bias, groups (group, WIDTH) and their
     biases, members (group, member, WIDTH) and their biases; then Adagrad's sums,
     one for each row of those.
     """
@@ -151,7 +180,7 @@ class Network:
         with np.errstate(divide="ignore"):
             biases = [np.log(own.sum(axis=1)), np.maximum(np.log(own), -60.0)]
         draw = lambda *shape: rng.standard_normal(shape) * 0.1
-        parts = [draw(len(OFFSETS), n + 1, WIDTH), np.zeros(WIDTH), draw(groups, WIDTH), np.maximum(biases[0], -60.0), draw(groups, members, WIDTH), biases[1]]
+        parts = [draw(n + 1, len(OFFSETS) * WIDTH), np.zeros(WIDTH), draw(groups, WIDTH), np.maximum(biases[0], -60.0), draw(groups, members, WIDTH), biases[1]]
         sums = [np.full(p.shape[:-1] if p.ndim > 1 and k != 5 else p.shape, 1e-4) for k, p in enumerate(parts)]
         return cls([p.astype(np.float32) for p in (*parts, *sums)])
 
@@ -165,11 +194,12 @@ class Network:
 
     def _hidden(self, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which places of a cut (with SIDE more on both sides) hold tokens, and their hidden states."""
-        at = np.flatnonzero(cut[SIDE : len(cut) - SIDE])
-        total = np.broadcast_to(self.parts[1], (len(at), WIDTH)).copy()
+        seen, n = self.parts[0][cut], len(cut) - 2 * SIDE
+        at, total = np.flatnonzero(cut[SIDE : SIDE + n]), np.empty((n, WIDTH), dtype=np.float32)
+        total[:] = self.parts[1]
         for k, offset in enumerate(OFFSETS):
-            total += self.parts[0][k][cut[at + SIDE + offset]]
-        return at, np.tanh(total)
+            total += seen[SIDE + offset : SIDE + offset + n, k * WIDTH : (k + 1) * WIDTH]
+        return at, np.tanh(total if len(at) == n else total[at])
 
     def _groups(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Group by group: its number, the rows of it, their members."""
@@ -185,9 +215,9 @@ class Network:
         at, hidden = self._hidden(cut)
         token = cut[at + SIDE] - 1
         _, _, groups, group_bias, members, member_bias = self.parts[:6]
-        out = _softmax(hidden @ groups.T + group_bias)[np.arange(len(at)), token // members.shape[1]].astype(np.float64)
+        out = _softmax(hidden @ groups.T + group_bias, token // members.shape[1])[0].astype(np.float64)
         for number, rows, member in self._groups(token):
-            out[rows] += _softmax(hidden[rows] @ members[number].T + member_bias[number])[np.arange(len(rows)), member]
+            out[rows] += _softmax(hidden[rows] @ members[number].T + member_bias[number], member)[0]
         return out
 
     def step(self, cut: np.ndarray) -> tuple[float, int]:
@@ -196,21 +226,20 @@ class Network:
         if not len(at):
             return 0.0, 0
         near, bias, groups, group_bias, members, member_bias = self.parts[:6]
-        token, rows = cut[at + SIDE] - 1, np.arange(len(at))
+        token = cut[at + SIDE] - 1
         own = token // members.shape[1]
-        error = _softmax(hidden @ groups.T + group_bias)
-        loss = -float(error[rows, own].sum(dtype=np.float64))
-        np.exp(error, out=error)
-        error[rows, own] -= 1
+        found, error, sums = _softmax(hidden @ groups.T + group_bias, own)
+        loss = -float(found.sum(dtype=np.float64))
+        error /= sums[:, None]
+        error[np.arange(len(at)), own] -= 1
         back = error @ groups
         group_grads = error.T @ hidden, error.sum(axis=0)
         for number, rows, member in self._groups(token):
             state = hidden[rows]
-            error = _softmax(state @ members[number].T + member_bias[number])
-            each = np.arange(len(rows))
-            loss -= float(error[each, member].sum(dtype=np.float64))
-            np.exp(error, out=error)
-            error[each, member] -= 1
+            found, error, sums = _softmax(state @ members[number].T + member_bias[number], member)
+            loss -= float(found.sum(dtype=np.float64))
+            error /= sums[:, None]
+            error[np.arange(len(rows)), member] -= 1
             back[rows] += error @ members[number]
             self._change(4, number, error.T @ state)
             self._change(5, number, error.sum(axis=0))
@@ -218,19 +247,19 @@ class Network:
         self._change(3, slice(None), group_grads[1])
         back *= 1 - hidden * hidden
         self._change(1, slice(None), back.sum(axis=0))
-        # a place's vector gets the errors of the tokens that see it there
-        wide = np.zeros((len(cut) + 2 * SIDE, WIDTH), dtype=np.float32)
+        # a word's vectors get the errors of the tokens that see it from each place
+        wide, n = np.zeros((len(cut) + 2 * SIDE, WIDTH), dtype=np.float32), len(cut)
         wide[at + 2 * SIDE] = back
         order = np.argsort(cut, kind="stable")
         found, first = np.unique(cut[order], return_index=True)
-        for k, offset in enumerate(OFFSETS):
-            self._change(0, (k, found), np.add.reduceat(wide[order + SIDE - offset], first, axis=0))
+        errors = np.concatenate([wide[SIDE - offset : SIDE - offset + n] for offset in OFFSETS], axis=1)
+        self._change(0, found, np.add.reduceat(errors[order], first, axis=0))
         return loss, len(at)
 
     def _change(self, part: int, at, grad: np.ndarray) -> None:
         values, sums = self.parts[part], self.parts[part + 6]
         rows = values.ndim > 1 and part != 5
-        sums[at] += (grad * grad).mean(axis=-1) if rows else grad * grad
+        sums[at] += np.einsum("...j,...j->...", grad, grad) / grad.shape[-1] if rows else grad * grad
         scale = RATE / np.sqrt(sums[at])
         values[at] -= grad * (scale[..., None] if rows else scale)
 
@@ -251,6 +280,7 @@ def _averaged(docs: DataFrame, frequent: Broadcast, words: int, network: Network
         own, classes, loss, tokens = Network.empty_like(*block.value), Classes(frequent.value, words), 0.0, 0
         held, size = [], 0
         for batch in slices(batches, 64):
+            classes.forget()
             for text in as_bytes(batch.column("text")):
                 if found := item_words(text):
                     held.append(classes.of(found))
@@ -300,30 +330,32 @@ class Scorer:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_classes": None}
 
-    def log_probs(self, texts: list[list[bytes]]) -> tuple[list[float], list[Counter]]:
-        """Of each text, the summed log-probability but for the logarithms of rare words' counts; these words."""
+    def log_probs(self, texts: list[list[bytes]]) -> tuple[list[float], list[int], list[bytes], list[int]]:
+        """Of each text, the summed log-probability but for the logarithms of rare words' counts; then how many different ones it has, these words and how often each stands."""
         if self._classes is None:
-            self._classes = Classes(self.frequent, self.words)
-        classes = [self._classes.of(t) for t in texts]
-        row, starts = stream(classes)
+            self._classes = Classes(self.frequent, self.words, self.head)
+        known = self._classes
+        known.forget()
+        ids = [known.ids(t) for t in texts]
+        row, starts = stream([known.classes[x] for x in ids])
         each = np.zeros(len(row) + 1)
         at = SIDE
-        for cut in cuts(row, 8 * BATCH):
+        for cut in cuts(row, BATCH):
             places = at + np.flatnonzero(cut[SIDE : len(cut) - SIDE])
             each[places] = self.network.log_probs(cut)
-            at += 8 * BATCH
-        first, out, rare = self._classes.first, [], []
-        for words, own, start in zip(texts, classes, starts.tolist()):
-            tails = np.flatnonzero(own >= first)
-            total, unknown = float(each[start : start + len(own)].sum()) - float(self.totals[own[tails]].sum()), Counter()
-            for word, n in Counter([words[k] for k in tails.tolist()]).items():
-                if (known := self.head.get(word)) is None:
-                    unknown[word] = n
-                else:
-                    total += n * math.log(known)
-            out.append(total)
-            rare.append(unknown)
-        return out, rare
+            at += BATCH
+        out, many, rare, times = [], [], [], []
+        for own, start in zip(ids, starts.tolist()):
+            logs = known.logs[own]
+            unknown = np.isnan(logs)
+            tails = known.classes[own]
+            tails = tails[tails >= known.first]
+            out.append(float(each[start : start + len(own)].sum()) - float(self.totals[tails].sum()) + float(logs[~unknown].sum()))
+            found, n = np.unique(own[unknown], return_counts=True)
+            many.append(len(found))
+            rare += [known.words[k] for k in found.tolist()]
+            times += n.tolist()
+        return out, many, rare, times
 
 
 class Model:
@@ -376,9 +408,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             words = [item_words(t) for t in as_bytes(batch.column("text"))]
-            base, unknown = block.value.log_probs(words)
-            rare = [[{"word": w, "times": n} for w, n in x.items()] for x in unknown]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(base, pa.float64()), pa.array(rare, entry)], names=["doc_id", "n_tokens", "base", "rare"])
+            base, many, unknown, times = block.value.log_probs(words)
+            ends = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pa.int32())
+            rare = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(unknown, pa.binary()), pa.array(times, pa.int64())], fields=list(entry.value_type)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(base, pa.float64()), rare], names=["doc_id", "n_tokens", "base", "rare"])
 
     made = _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, base double, rare array<struct<word:binary,times:bigint>>")
     made = written(made.withColumn("row", F.monotonically_increasing_id()), "lm-scored")

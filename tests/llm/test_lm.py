@@ -26,7 +26,7 @@ def _plain(network, classes, k):
     near, bias, groups, group_bias, members, member_bias = [p.astype(float) for p in network.parts[:6]]
     total = bias.copy()
     for j, offset in enumerate(lm.OFFSETS):
-        total += near[j][classes[k + offset] if 0 <= k + offset < len(classes) else 0]
+        total += near[classes[k + offset] if 0 <= k + offset < len(classes) else 0][j * lm.WIDTH : (j + 1) * lm.WIDTH]
     hidden = np.tanh(total)
     outer = groups @ hidden + group_bias
     outer -= np.log(np.exp(outer).sum())

@@ -39,8 +39,10 @@ def test_urls_against_brute_force(spark, rules):
     assert rows(found, "page_id", "host", "path", "rule", "verdict") == sorted(want, key=repr)
 
 
-def test_urls_many_rules_spread_over_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("size", [7, 10**6])
+def test_urls_many_rules_spread_over_ranges_and_buckets(spark, monkeypatch, size):
     monkeypatch.setattr(urls, "BUCKET", 50)
+    monkeypatch.setattr(urls, "RANGE", size)
     rules = [("block" if k % 3 else "allow", f"h{k % 7}.com", f"/p{k}"[: 2 + k % 3]) for k in range(60)] + [("block", "com", "/p")]
     table = [(k, f"http://s{k % 5}.h{k % 9}.com/p{k}") for k in range(400)]
     found = urls.verdicts(docs(spark, table, "page_id bigint, url string"), urls.rules_table(spark, rules))
