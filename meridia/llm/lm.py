@@ -42,7 +42,7 @@ FREQUENT, PER_HASHED = 256, 8
 #: Words of at least one in so many tokens have their counts broadcast; the others are joined.
 HEAD = 1 << 20
 #: Tokens seen to either side; numbers of a hidden state.
-SIDE, WIDTH = 3, 16
+SIDE, WIDTH = 3, 12
 #: Rounds of averaging, tokens of a step, Adagrad's rate.
 ROUNDS, BATCH, RATE, SEED = 4, 8192, 0.1, 7
 #: Training tasks for each core: as many copies of the parameters are sent in a round.
@@ -50,7 +50,7 @@ SHARDS = 4
 #: Distinct words that a task holds before it sends their partial counts on.
 HELD = 500_000
 #: Shares are summed in units of 1 / UNIT; parameters are averaged in parts of PART numbers.
-UNIT, PART = 1 << 24, 1 << 16
+UNIT, PART = 1 << 24, 1 << 13
 
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
@@ -99,10 +99,13 @@ class Classes:
         self._begin()
 
     def _begin(self) -> None:
-        self.known = {w: k for k, w in enumerate(self.frequent)}
-        self.words = list(self.frequent)
-        self.classes, self.logs = np.empty(2 * HELD, dtype=np.int32), np.zeros(2 * HELD)
-        self.classes[: len(self.words)] = np.arange(1, len(self.words) + 1)
+        self.words = [*self.frequent, *(w for w in self.head if w not in self.frequent)]
+        self.known = {w: k for k, w in enumerate(self.words)}
+        own, met = len(self.frequent), len(self.words)
+        self.classes, self.logs = np.empty(met + 2 * HELD, dtype=np.int32), np.zeros(met + 2 * HELD)
+        self.classes[:own] = np.arange(1, own + 1)
+        self.classes[own:met] = [self.one(w) for w in self.words[own:]]
+        self.logs[own:met] = [math.log(self.head[w]) for w in self.words[own:]]
 
     @property
     def size(self) -> int:
@@ -127,14 +130,13 @@ class Classes:
                             self.classes, self.logs = np.concatenate([self.classes] * 2), np.concatenate([self.logs] * 2)
                         self.words.append(word)
                         self.classes[found] = self.one(word)
-                        n = self.head.get(word)
-                        self.logs[found] = math.nan if n is None else math.log(n)
+                        self.logs[found] = math.nan
                     out[k] = found
         return np.array(out, dtype=np.int64)
 
     def forget(self) -> None:
         """Between two batches: start anew where too many words are held."""
-        if len(self.words) > HELD:
+        if len(self.words) > len(self.frequent) + len(self.head) + HELD:
             self._begin()
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -150,10 +152,10 @@ def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every row, the log-probability of its own column; exponentials (in place of the logits) and their sums."""
-    logits -= logits.max(axis=1, keepdims=True)
+    np.minimum(logits, 60, out=logits)  # beyond any that training reaches
     found = logits[np.arange(len(logits)), own]
     np.exp(logits, out=logits)
-    sums = logits.sum(axis=1)
+    sums = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
     return found - np.log(sums), logits, sums
 
 
