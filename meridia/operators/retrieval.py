@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Most bytes of query vectors that are broadcast at once.
 VECTOR_BYTES = 64 << 20
+#: Most bytes of query terms that are broadcast at once, and most scores (documents by queries) held at once.
+QUERY_BYTES, SCORES = 8 << 20, 1 << 22
 
 
 def first_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -77,21 +81,113 @@ def bm25_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return counted.join(F.broadcast(n)).select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf"))
 
 
-def bm25_search(queries: DataFrame, docs: DataFrame, *, k: int, k1: float = K1, b: float = B, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25_search(queries: DataFrame, docs: DataFrame, *, k: int, k1: float = K1, b: float = B, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", block_bytes: int = QUERY_BYTES) -> DataFrame:
     """The k best documents of every query: query_id, doc_id, score, rank.
 
-    Only terms that some query asks for are counted: the documents' tokens meet
-    the distinct query terms before they are grouped.
+    One pass over the documents counts the queries' terms, another scores; no
+    posting and no pair is shuffled, only k rows of each task for each query.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tx.bm25_tokens(query))).alias("term"))
-    terms = asked.select("term").distinct()
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), tx.bm25_tokens(text).alias("_tokens")).withColumn("dl", F.size("_tokens"))
-    postings = tokens.select("doc_id", "dl", F.explode("_tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = postings.join(df, "term").join(F.broadcast(bm25_stats(docs, text)))
-    weight = idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(weighted.select("term", "doc_id", weight.alias("weight")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 9).alias("score"))  # sums of doubles depend on their order: round, so that ties are ties
-    return top_k(scored.filter("score > 0"), k)
+
+    def weigh(tf, dl, term, df, n_docs, avgdl):
+        rarity = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        return rarity[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+    return _term_search(queries, docs, k, weigh, (query_id, query, doc_id, text), block_bytes)
+
+
+def overlap_search(queries: DataFrame, docs: DataFrame, *, k: int, query_id: str = "query_id", query: str = "query", doc_id: str = "doc_id", text: str = "text", block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The k documents that share the most distinct terms with each query."""
+    return _term_search(queries, docs, k, None, (query_id, query, doc_id, text), block_bytes)
+
+
+class _Asked:
+    """A block of queries: their ids, their distinct terms, and which queries ask for each term."""
+
+    def __init__(self, rows: list):
+        self.ids = [r[0] for r in rows]
+        number = {t: k for k, t in enumerate(sorted({t for r in rows for t in r[1]}))}
+        self.terms = list(number)
+        pairs = sorted((number[t], q) for q, r in enumerate(rows) for t in r[1])
+        self.owners = np.array([q for _, q in pairs], dtype=np.int64)
+        self.many = np.bincount([t for t, _ in pairs], minlength=len(number)) if pairs else np.zeros(len(number), dtype=np.int64)
+        self.first = np.cumsum(self.many) - self.many
+
+    def postings(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and count of the asked terms in a batch, and every row's length."""
+        dl = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = pc.fill_null(pc.index_in(tokens.flatten(), value_set=pa.array(self.terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(dl)), dl)[at >= 0]
+        keys, tf = np.unique(rows * max(1, len(self.terms)) + at[at >= 0], return_counts=True)
+        row, term = np.divmod(keys, max(1, len(self.terms)))
+        return row, term, tf, dl
+
+
+def _term_search(queries: DataFrame, docs: DataFrame, k: int, weigh, names: tuple[str, str, str, str], block_bytes: int) -> DataFrame:
+    """Documents by summed weights of the terms they share with a query; queries go out in blocks of a checked size."""
+    query_id, query, doc_id, text = names
+    spark = queries.sparkSession
+    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tx.bm25_tokens(query)).alias("terms"))
+    size = asked.agg(F.sum(F.octet_length(F.array_join("terms", " ")) + 16).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // block_bytes))
+    own = docs.select(F.col(doc_id).alias("doc_id"), tx.bm25_tokens(text).alias("tokens"))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc_id {own.schema['doc_id'].dataType.simpleString()}, score double"
+    found = None
+    for block in range(blocks):
+        sent = spark.sparkContext.broadcast(_Asked((asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked).collect()))
+        stats = _term_stats(own, sent) if weigh else None
+        part = own.mapInArrow(_scorer(sent, stats, weigh, k, schema), schema)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k)
+
+
+def _term_stats(own: DataFrame, sent: Broadcast) -> tuple[np.ndarray, int, float]:
+    """How many documents have each asked term; how many there are, and their mean length."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, n, length = sent.value, 0, 0
+        df = np.zeros(len(asked.terms), dtype=np.int64)
+        for batch in batches:
+            _, term, _, dl = asked.postings(batch.column("tokens"))
+            df += np.bincount(term, minlength=len(df))
+            n, length = n + len(dl), length + int(dl.sum())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int32()), pa.array([length, n, *df[at].tolist()], pa.int64())], names=["term", "n"])
+
+    totals = {r["term"]: r["n"] for r in own.select("tokens").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = np.array([totals.get(t, 0) for t in range(len(sent.value.terms))], dtype=np.float64)
+    n = totals.get(-1, 0)
+    return df, n, totals.get(-2, 0) / n if n else 0.0
+
+
+def _scorer(sent: Broadcast, stats, weigh, k: int, schema: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        wide = len(asked.ids)
+        best: list[list[tuple]] = [[] for _ in asked.ids]
+        rows = max(1, SCORES // max(1, wide))
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+            row, term, tf, dl = asked.postings(batch.column("tokens"))
+            if not len(row):
+                continue
+            weight = np.ones(len(row)) if weigh is None else weigh(tf, dl[row], term, *stats)
+            many = asked.many[term]
+            pair = np.arange(int(many.sum())) + np.repeat(asked.first[term] - (np.cumsum(many) - many), many)
+            cell = np.repeat(row, many) * wide + asked.owners[pair]
+            # sums of doubles depend on their order: round, so that ties are ties
+            scores = np.round(np.bincount(cell, weights=np.repeat(weight, many), minlength=batch.num_rows * wide), 9).reshape(-1, wide)
+            docs = batch.column("doc_id").to_pylist()
+            for q in range(wide):
+                own = scores[:, q]
+                edge = best[q][-1][0] if len(best[q]) == k else 0.0
+                at = np.flatnonzero((own > 0) & (own >= -edge))
+                if len(at) > k:
+                    at = at[own[at] >= np.partition(own[at], len(at) - k)[len(at) - k]]
+                if len(at):
+                    best[q] = sorted([*best[q], *((-float(own[j]), docs[j]) for j in at)])[:k]
+        flat = [(asked.ids[q], doc, -score) for q, kept in enumerate(best) for score, doc in kept]
+        yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "doc_id", "score"), x)) for x in flat], schema=_types(schema))
+
+    return run
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -170,15 +266,22 @@ def rerank(hits: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.select("query_id", "doc_id", F.col("pair_score").alias("score"), F.row_number().over(order).alias("rank"))
 
 
-def staged(pool: DataFrame, *, served_k: int, pairs: DataFrame | None = None) -> DataFrame:
-    """stage, query_id, doc_id, score, rank for pool, reranked (if pairs are given) and served."""
-    best = rerank(pool, pairs) if pairs is not None else pool
-    parts = [("pool", pool), *([("reranked", best)] if pairs is not None else []), ("served", best.filter(F.col("rank") <= served_k))]
-    out = None
-    for stage, df in parts:
-        one = df.select(F.lit(stage).alias("stage"), "query_id", "doc_id", "score", "rank")
-        out = one if out is None else out.unionByName(one)
-    return out
+def staged(pool: DataFrame, *, served_k: int, pair_score: str | None = None) -> DataFrame:
+    """stage, query_id, doc_id, score, rank for pool, reranked (by a column of the pool, if one is named) and served.
+
+    One pass over the pool: every hit says in which stages it is. A hit without a
+    pair score is in the pool alone; former ranks settle ties.
+    """
+    stage = lambda name, score, rank: F.struct(F.lit(name).alias("stage"), score.cast("double").alias("score"), rank.cast("int").alias("rank"))
+    own, stages = pool, [stage("pool", F.col("score"), F.col("rank"))]
+    score, rank = F.col("score"), F.col("rank")
+    if pair_score is not None:
+        order = Window.partitionBy("query_id").orderBy(F.col(pair_score).desc_nulls_last(), "rank")
+        own = pool.withColumn("_again", F.when(F.col(pair_score).isNotNull(), F.row_number().over(order)))
+        score, rank = F.col(pair_score), F.col("_again")
+        stages.append(F.when(rank.isNotNull(), stage("reranked", score, rank)))
+    stages.append(F.when(rank <= served_k, stage("served", score, rank)))
+    return own.select("query_id", "doc_id", F.explode(F.filter(F.array(*stages), lambda x: x.isNotNull())).alias("s")).select("s.stage", "query_id", "doc_id", "s.score", "s.rank")
 
 
 def retrieval_metrics(qrels: DataFrame, run: DataFrame, k: int) -> DataFrame:
@@ -199,6 +302,24 @@ def retrieval_metrics(qrels: DataFrame, run: DataFrame, k: int) -> DataFrame:
     )
 
 
+def metrics_by_label(queries: DataFrame, docs: DataFrame, run: DataFrame, k: int) -> DataFrame:
+    """`retrieval_metrics` where a document is relevant if it has the query's label and isn't the query itself.
+
+    queries: query_id, label; docs: doc_id, label, the queries among them. Labels
+    are counted and hits looked up; the pairs of equal labels are never built.
+    """
+    many = docs.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    best = queries.join(many, "label").filter("n_relevant > 0")
+    share = lambda r: 1 / F.log2(r + 1)
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k).cast("bigint"), F.col("n_relevant")).cast("int")), F.lit(0.0), lambda total, r: total + share(r))
+    hits = run.filter((F.col("rank") <= k) & (F.col("query_id") != F.col("doc_id"))).join(docs.withColumnRenamed("label", "_label"), "doc_id").join(queries, "query_id").filter("label = _label")
+    found = hits.groupBy("query_id").agg(F.count("*").alias("found"), F.sum(share(F.col("rank"))).alias("dcg"), F.min("rank").alias("first"))
+    n = F.coalesce("found", F.lit(0))
+    return best.join(found, "query_id", "left").select(
+        "query_id", "n_relevant", (n / F.col("n_relevant")).alias("recall"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (n == F.col("n_relevant")).alias("complete"),
+    )
+
+
 def mean_metrics(by_query: DataFrame) -> DataFrame:
     """One row of means; mrr only if every query has one relevant document."""
     single = F.max("n_relevant") == 1

@@ -44,9 +44,8 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same label, another vector: relevant."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    qrels = queries.join(vectors, "label").filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"), F.lit(1).alias("rel"))
     run = rt.top_k(_dense(spark, sf_dir, K + 1).filter("query_id <> doc_id"), K)
-    return rt.retrieval_metrics(qrels, run, K).select("query_id", "n_relevant", *[F.round(c, 9).alias(c) for c in ("recall", "ndcg", "rr")], "complete")
+    return rt.metrics_by_label(queries, vectors.withColumnRenamed("vec_id", "doc_id"), run, K).select("query_id", "n_relevant", *[F.round(c, 9).alias(c) for c in ("recall", "ndcg", "rr")], "complete")
 
 
 def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +61,8 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared distinct terms, the k best documents."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.bm25_tokens("text"))).alias("term"))
-    terms = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(tx.bm25_tokens("text"))).alias("term"))
-    return rt.top_k(asked.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), K)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return rt.overlap_search(queries, spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k=K)
 
 
 def rrf_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +74,10 @@ def stage_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _search(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item_text"))
-    pairs = pool.select("query_id", "doc_id").join(docs, "doc_id").join(items, "query_id")
+    pairs = pool.join(docs, "doc_id").join(items, "query_id")
     one, two = F.array_distinct(tx.bm25_tokens("doc_text")), F.array_distinct(tx.bm25_tokens("item_text"))
-    pairs = pairs.select("query_id", "doc_id", F.round(F.size(F.array_intersect(one, two)) / F.size(F.array_union(one, two)), 9).alias("pair_score"))
-    return rt.staged(pool, served_k=5, pairs=pairs).select("stage", "query_id", "doc_id", "rank")
+    pairs = pairs.select("query_id", "doc_id", "score", "rank", F.round(F.size(F.array_intersect(one, two)) / F.size(F.array_union(one, two)), 9).alias("pair_score"))
+    return rt.staged(pairs, served_k=5, pair_score="pair_score").select("stage", "query_id", "doc_id", "rank")
 
 
 def corpus_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,5 +108,5 @@ def test_resolve_refuses_unknown(spark, docs):
 def test_rerank_keeps_former_rank_on_ties(spark):
     hits = spark.createDataFrame([(0, "a", 3.0, 1), (0, "b", 2.0, 2), (0, "c", 1.0, 3)], "query_id int, doc_id string, score double, rank int")
     pairs = spark.createDataFrame([(0, "a", 0.1), (0, "b", 0.9), (0, "c", 0.9)], "query_id int, doc_id string, pair_score double")
-    stages = rt.staged(hits, served_k=2, pairs=pairs).orderBy("stage", "rank").collect()
+    stages = rt.staged(hits.join(pairs, ["query_id", "doc_id"]), served_k=2, pair_score="pair_score").orderBy("stage", "rank").collect()
     assert [(r["stage"], r["doc_id"]) for r in stages] == [("pool", "a"), ("pool", "b"), ("pool", "c"), ("reranked", "b"), ("reranked", "c"), ("reranked", "a"), ("served", "b"), ("served", "c")]
