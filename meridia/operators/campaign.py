@@ -6,7 +6,9 @@ and evidence stay distributed throughout.
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 from collections.abc import Iterable
 
 import pandas as pd
@@ -199,15 +201,80 @@ def build_manifest(examples: pd.DataFrame, *, queries: int, trials: int, seed: i
         else:
             blocks[-1] = joined
         placed |= {x: len(blocks) - 1 for x in groups[context]}
-    pool = list(placed)
+    drawn, disjoint = _draws(list(placed), queries, trials, seed)
+    said = ["\n\n".join(b) for b in blocks]
+    used = [len(text.split()) * 4 // 3 for text in said]
+    stats = {"n_blocks": len(blocks), "n_placed": len(placed), "n_excluded": len(excluded), "mean_tokens": sum(used) / len(used) if used else None, "most_tokens": max(used, default=None)}
+    return {"blocks": blocks, "block_texts": said, "block_tokens": used, "question_to_block": placed, "trials": drawn, "disjoint": disjoint, "excluded": excluded, "stats": stats}
+
+
+def _draws(pool: list[str], queries: int, trials: int, seed: int) -> tuple[dict[str, list[str]], bool]:
+    """Each trial's questions, and whether no question is in two trials.
+
+    Questions are ranked by a digest of a seed and their id. If the pool allows it,
+    one ranking under the campaign's seed is cut into trials; else trial t (from 1)
+    takes the first of its own ranking, under seed + t - 1.
+    """
     if len(pool) < queries:
         raise ValueError("the pool is smaller than a trial")
-    disjoint, left, drawn = len(pool) >= queries * trials, list(pool), {}
-    for t in range(1, trials + 1):
-        drawn[str(t)] = random.Random(seed + t - 1).sample(left if disjoint else pool, queries)
-        taken = set(drawn[str(t)])
-        left = [x for x in left if x not in taken] if disjoint else left
-    return {"blocks": blocks, "question_to_block": placed, "trials": drawn, "disjoint": disjoint, "excluded": excluded}
+    ranked = lambda s: sorted(pool, key=lambda x: hashlib.sha256(f"{s}:{x}".encode()).digest())
+    disjoint, whole = len(pool) >= queries * trials, ranked(seed)
+    cut = {t: whole[(t - 1) * queries : t * queries] if disjoint else ranked(seed + t - 1)[:queries] for t in range(1, trials + 1)}
+    return {str(t): own for t, own in cut.items()}, disjoint
+
+
+def registration_gates(registered: dict, used: dict, *, text: str) -> list[str]:
+    """What keeps a confirmatory analysis from running: reasons, none if it may.
+
+    registered: sha256 (of the registration's text), alpha, metrics, margins (by
+    metric); used: alpha, metrics, margin, equivalence_metric. Metrics count as a
+    set. A margin is registration content: it can only repeat the registered one.
+    """
+    reasons, sha = [], str(registered.get("sha256", ""))
+    if not re.fullmatch("[0-9a-f]{64}", sha):
+        reasons.append("the registered digest is no SHA-256")
+    elif hashlib.sha256(text.encode()).hexdigest() != sha:
+        reasons.append("the registration differs from its digest")
+    if used.get("alpha") != registered.get("alpha"):
+        reasons.append("alpha is not the registered one")
+    if set(used.get("metrics") or ()) != set(registered.get("metrics") or ()):
+        reasons.append("the metrics are not the registered ones")
+    metric, margin, margins = used.get("equivalence_metric"), used.get("margin"), registered.get("margins") or {}
+    if metric is None and margin is not None:
+        reasons.append("a margin without its metric")
+    elif metric is not None and metric not in margins:
+        reasons.append("no margin is registered for the metric")
+    elif margin is not None and margin != margins[metric]:
+        reasons.append("the margin is not the registered one")
+    return reasons
+
+
+def registered_margin(registered: dict, used: dict) -> float | None:
+    """The margin an equivalence test uses: the registered one of its metric; None without a metric."""
+    return (registered.get("margins") or {}).get(used.get("equivalence_metric"))
+
+
+def resolve_predicates(trees: DataFrame, ledgers: DataFrame, *, wanted: str | None = None) -> DataFrame:
+    """The predicate table that each run's analysis joins: run, tree; refused if there is doubt.
+
+    trees: run, tree, raw_sha256 (the raw ledger it was built from), own_sha256 and
+    sealed_sha256 (its files' ledger now, and when it was sealed); ledgers: run,
+    sha256. A run without trees has none (null). Several need `wanted` to name one.
+    """
+    named = trees if wanted is None else trees.filter(F.col("tree") == wanted)
+    own = named.groupBy("run").agg(F.count("*").alias("_n"), F.min_by(F.struct("tree", "raw_sha256", "own_sha256", "sealed_sha256"), "tree").alias("_t"))
+    joined = ledgers.join(own, "run", "left")
+    refuse = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("run"))).cast("string")
+    n = F.coalesce("_n", F.lit(0))
+    tree = (
+        F.when((n == 0) & F.lit(wanted is not None), refuse("no such predicate table"))
+        .when(n == 0, None)
+        .when(n > 1, refuse("several predicate tables, name one"))
+        .when(F.col("_t.sealed_sha256").isNull() | ~F.col("_t.own_sha256").eqNullSafe(F.col("_t.sealed_sha256")), refuse("a predicate table fails its seal"))
+        .when(~F.col("_t.raw_sha256").eqNullSafe(F.col("sha256")), refuse("a predicate table was built from other evidence"))
+        .otherwise(F.col("_t.tree"))
+    )
+    return joined.select("run", tree.alias("tree"))
 
 
 # --- checks
@@ -393,7 +460,8 @@ def calibrate(anchor: DataFrame, *, floor: float = 0.9, auc_floor: float = 0.8,
 def specification_curve(estimates: DataFrame, *, estimate: str = "estimate") -> DataFrame:
     """Estimates in rank order, with whether they oppose the median's sign."""
     middle = estimates.agg(F.median(estimate).alias("_m"))
-    ranked = estimates.join(F.broadcast(middle)).withColumn("rank", F.row_number().over(Window.orderBy(estimate, *[c for c in estimates.columns if c != estimate])))
+    order = [estimate, *[c for c in estimates.columns if c != estimate]]
+    ranked = rs.numbered(estimates, [], order, "rank").join(F.broadcast(middle))
     return ranked.withColumn("opposes", F.signum(estimate) == -F.signum("_m")).drop("_m")
 
 

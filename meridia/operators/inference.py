@@ -18,6 +18,10 @@ from meridia.functions import distributions as dist
 from meridia.functions import kernels
 
 
+#: Values that are sent whole to every task (16 MB).
+MOST_VALUES = 2_000_000
+
+
 def by_group(pairs: DataFrame, key: str, schema: str, kernel: Callable[[pd.DataFrame], dict], order: str = "example_id") -> DataFrame:
     """A kernel's row for each group; its rows come in a fixed order."""
     kind = pairs.schema[key].dataType.simpleString()
@@ -238,6 +242,16 @@ def power_table(spark: SparkSession, effects: list[float], sizes: list[int], *,
     return points.mapInPandas(run, "effect double, n int, n_sims int, power double, low double, high double")
 
 
+def with_normal_p(tested: DataFrame, z: str) -> DataFrame:
+    """The two-sided p of a normal z, one row at a time over few rows."""
+
+    @F.pandas_udf("double")
+    def p_of(values: pd.Series) -> pd.Series:
+        return pd.Series([None if np.isnan(v) else min(1.0, 2 * dist.normal_sf(abs(v))) for v in values], dtype="float64")
+
+    return tested.withColumn("p", p_of(F.col(z).cast("double")))
+
+
 def required_n(power: DataFrame, *by: str, target: float = 0.8) -> DataFrame:
     """The least n of the grid that reaches the power, or a label."""
     own = power.groupBy(*by).agg(F.min(F.when(F.col("power") >= target, F.col("n"))).alias("required_n"))
@@ -245,8 +259,10 @@ def required_n(power: DataFrame, *by: str, target: float = 0.8) -> DataFrame:
 
 
 def split_half(values: DataFrame, *, splits: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """A/A: random halves tested against each other; split, p, rejected. values (bounded by the caller) are sent to the tasks."""
+    """A/A: random halves tested against each other; split, p, rejected. At most MOST_VALUES values, which are sent to the tasks; more refuse."""
     spark = values.sparkSession
+    if (n := values.count()) > MOST_VALUES:
+        raise ValueError(f"{n} values are too many to be permuted in a task; test window means instead")
     sent = spark.sparkContext.broadcast(np.array([r[0] for r in values.select("value").orderBy("value").collect()], dtype=float))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -68,9 +69,10 @@ def coverage(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataF
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of every key, and how many it replaced."""
+    """The last row of every key, and how many it replaced; of rows that are equally late, the greatest by its other columns."""
     rest = [c for c in df.columns if c not in keys]
-    own = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"), (F.count("*") - 1).alias("n_dropped"))
+    ties = [c for c in rest if c != order and not re.search("map|variant|interval", df.schema[c].dataType.simpleString())]
+    own = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *ties)).alias("_last"), (F.count("*") - 1).alias("n_dropped"))
     return own.select(*keys, "_last.*", "n_dropped")
 
 

@@ -6,8 +6,10 @@ loaded once for each worker; results may be cached by content hash.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,12 +133,90 @@ def _rouge(answer: str, reference: str) -> float | None:
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
 
+#: Encoders by name: texts to equally long vectors, and token vectors of one text; add your own before a query is built.
+Encoder = Callable[[list[str]], np.ndarray]
+# What some encoders want before a query and before a passage.
+PREFIXES = {"query": "query: ", "passage": "passage: "}
+
+
+def hashed_encoder(texts: list[str], width: int = 64) -> np.ndarray:
+    """Words thrown into signed slots by their digests: the stand-in for a learned encoder."""
+    out = np.zeros((len(texts), width))
+    for k, text in enumerate(texts):
+        for word in text.lower().split():
+            digest = hashlib.sha1(word.encode()).digest()
+            out[k, int.from_bytes(digest[:4], "big") % width] += 1 if digest[4] % 2 else -1
+    return out
+
+
+ENCODERS: dict[str, Encoder] = {"hashed": hashed_encoder}
+
+
+def encode(c: Column, *, encoder: str = "hashed", kind: str | None = None, batch: int = 256) -> Column:
+    """Unit vectors of texts, with the prefix of their kind (query or passage), if one is named; null stays null, a zero vector stays zero."""
+    model, prefix = ENCODERS[encoder], PREFIXES[kind] if kind else ""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = pd.Series([None] * len(texts), dtype="object")
+            known = np.flatnonzero(texts.notna().to_numpy())
+            for at in range(0, len(known), batch):
+                rows = known[at : at + batch]
+                vectors = np.asarray(model([prefix + texts.iloc[r] for r in rows]), dtype=np.float64)
+                lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+                for r, v in zip(rows, vectors / np.where(lengths > 0, lengths, 1)):
+                    out.iloc[r] = v
+            yield out
+
+    return run(c)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Inner product of unit vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def context_relevance(rows: DataFrame, *, key: str = "id", question: str = "question", contexts: str = "contexts", encoder: str = "hashed") -> DataFrame:
+    """Mean and greatest similarity of a question and its contexts; null without contexts. Each passage is encoded where it stands."""
+    asked = rows.select(key, encode(F.col(question), encoder=encoder, kind="query").alias("_q"), F.explode_outer(contexts).alias("_c"))
+    scored = asked.withColumn("_s", cosine(F.col("_q"), encode(F.col("_c"), encoder=encoder, kind="passage")))
+    return scored.groupBy(key).agg(F.avg("_s").alias("mean_relevance"), F.max("_s").alias("max_relevance"), F.count("_s").alias("n_contexts"))
+
+
+def greedy_f1(answer: np.ndarray, reference: np.ndarray) -> float:
+    """F-measure of the best match of every token vector on the other side."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    alike = unit(answer) @ unit(reference).T
+    precision, recall = float(alike.max(axis=1).mean()), float(alike.max(axis=0).mean())
+    return 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0
+
+
+def bert_score(answer: Column, reference: Column, *, encoder: str = "hashed") -> Column:
+    """Greedy token matching between answer and reference by an encoder's vectors.
+
+    Null for an abstention or without a reference, 0 for an empty answer.
+    """
+    model = ENCODERS[encoder]
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            out = []
+            for x, y in zip(a.fillna("").str.split(), b.fillna("").str.split()):
+                out.append(None if not y else 0.0 if not x else greedy_f1(np.asarray(model(x), float), np.asarray(model(y), float)))
+            yield pd.Series(out, dtype="float64")
+
+    empty = tx.strip(tx.text(answer)) == ""
+    return F.when(empty | ~tx.is_abstention(answer), run(tx.sanitize_answer(answer), reference))
+
+
 def sentence_windows(c: Column, budget: int) -> Column:
     """Windows of whole sentences within a word budget that overlap by about half; each starts after the one before it."""
 
-    @F.udf(T.ArrayType(T.StringType()))
-    def cut(sentences: list[str] | None) -> list[str]:
-        return windows_of(sentences or [], budget)
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(sentences: pd.Series) -> pd.Series:
+        return pd.Series([windows_of([] if own is None else list(own), budget) for own in sentences], dtype="object")
 
     return cut(tx.sentences(c))
 

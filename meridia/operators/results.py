@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What counts as no error, and as the first repeat.
@@ -202,15 +202,35 @@ def pareto(df: DataFrame, x: str, y: str, *, minimize_x: bool = True, minimize_y
     return known.join(_frontier(best), (known["_x"] == F.col("_fx")) & (known["_y"] == F.col("_fy"))).drop("_x", "_y", "_fx", "_fy")
 
 
+def range_number(df: DataFrame, *order: str) -> Column:
+    """Which of the ranges of the order a row falls into: 0, 1, ... The cuts are collected, one for each shuffle partition, so the number is the same whenever it is computed."""
+    key = F.struct(*order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    begins = df.select(key.alias("p")).repartitionByRange(parts, "p").groupBy(F.spark_partition_id().alias("k")).agg(F.min("p").alias("p")).orderBy("p").collect()
+    kinds = {f.name: f.dataType for f in df.select(*order).schema}
+    cuts = [F.struct(*[F.lit(r["p"][c]).cast(kinds[c]).alias(c) for c in order]) for r in begins[1:]]
+    return F.size(F.filter(F.array(*cuts), lambda p: p <= key)) if cuts else F.lit(0)
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Row numbers from 1 on within groups of any size: ranges of the order are counted first, and each numbers its own rows."""
+    cut = df.withColumn("_range", range_number(df, *order))
+    counts = cut.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_range").alias("_of"), before.alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)], F.col("_range") == F.col("_of"))
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    return cut.withColumn("_own", own).join(starts, same).withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
+
+
 def _frontier(best: DataFrame) -> DataFrame:
     """Of (x, best y): the points below everything to their left. Ranges of x first, then their minima."""
-    from pyspark.sql import Window
-
-    parts = int(best.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = best.repartitionByRange(parts, "_x").withColumn("_part", F.spark_partition_id())
+    cut = best.withColumn("_part", range_number(best, "_x"))
     within = Window.partitionBy("_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    # a row's own range: what is best to its left; then only candidates meet
-    local = cut.withColumn("_left", F.min("_best").over(within)).filter(F.col("_left").isNull() | (F.col("_best") < F.col("_left")))
-    across = Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    final = local.withColumn("_left", F.min("_best").over(across)).filter(F.col("_left").isNull() | (F.col("_best") < F.col("_left")))
+    # one row for each range: what is best in the ranges before it
+    least = cut.groupBy("_part").agg(F.min("_best").alias("_least"))
+    across = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = least.select("_part", F.min("_least").over(across).alias("_earlier"))
+    left = F.least(F.min("_best").over(within), F.col("_earlier"))
+    final = cut.join(earlier, "_part").withColumn("_left", left).filter(F.col("_left").isNull() | (F.col("_best") < F.col("_left")))
     return final.select(F.col("_x").alias("_fx"), F.col("_best").alias("_fy"))

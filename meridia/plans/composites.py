@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions import text as tx
@@ -89,22 +89,32 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 16 turns, in order, within each role."""
-    order = Window.partitionBy("role").orderBy("conv_id", "turn")
-    own = table(spark, sf_dir, "conversations").withColumn("chunk", F.floor((F.row_number().over(order) - 1) / 16))
+    turns = table(spark, sf_dir, "conversations").select("role", "conv_id", "turn")
+    own = rs.numbered(turns, ["role"], ["conv_id", "turn"], "n").withColumn("chunk", F.floor((F.col("n") - 1) / 16))
     return own.groupBy("role", "chunk").agg(F.count("*").alias("n"), F.min("conv_id").alias("first_conv"))
 
 
-def forest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deltas of every cell against N by group of examples, with W/L/T, the signed-rank z and Holm within the group."""
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas of every cell against N by group of examples: W/L/T, the signed-rank z, and the mean's standard error."""
     estimand = rs.per_example(ex._long(spark, sf_dir), "price")
     reference = estimand.filter("cell = 'N'").select("example_id", F.col("value").alias("b"))
     pairs = estimand.filter("cell <> 'N'").withColumnRenamed("value", "a").join(reference, "example_id").withColumn("delta", F.col("a") - F.col("b")).withColumn("dataset", F.col("example_id") % 3)
     counts = rs.win_loss_tie(pairs, "dataset", "cell", tolerance=0.0)
     ranks = st.signed_rank_sums(pairs, "dataset", "cell").select("dataset", "cell", "z")
-    joined = counts.join(ranks, ["dataset", "cell"])
-    # a monotone stand-in for the tail, which SQL has, so that the ordering can be checked
-    joined = joined.withColumn("p", 1 / (1 + F.col("z") * F.col("z"))).withColumn("seq", F.col("cell"))
-    return st.holm(joined, "dataset").select("dataset", "cell", "n_pairs", "wins", "losses", "ties", F.round("median_delta", 6).alias("median_delta"), F.round("z", 6).alias("z"), F.round("p_holm", 6).alias("p_holm"))
+    spread_of = pairs.groupBy("dataset", "cell").agg((F.stddev_samp("delta") / F.sqrt(F.count("*"))).alias("se"))
+    return counts.join(ranks, ["dataset", "cell"]).join(spread_of, ["dataset", "cell"])
+
+
+def forest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forest(spark, sf_dir).select("dataset", "cell", "n_pairs", "wins", "losses", "ties", F.round("median_delta", 6).alias("median_delta"), F.round("z", 6).alias("z"), F.round("mean_delta", 6).alias("mean_delta"), F.round("se", 6).alias("se"))
+
+
+def forest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`forest_counts` with the test's two-sided p, Holm within the group, and a 95 % interval of the mean delta."""
+    tested = st.with_normal_p(_forest(spark, sf_dir), "z").withColumn("seq", F.col("cell"))
+    half = F.lit(1.959963984540054) * F.col("se")
+    interval = [F.round(F.col("mean_delta") - half, 6).alias("low"), F.round(F.col("mean_delta") + half, 6).alias("high")]
+    return st.holm(tested, "dataset").select("dataset", "cell", "n_pairs", "wins", "losses", "ties", F.round("median_delta", 6).alias("median_delta"), F.round("z", 6).alias("z"), *interval, F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
 
 
 def run_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +149,7 @@ def streaming_goodput(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        faithfulness, rouge_completeness, span_grounding, context_compression, context_windows, prefix_routing, replica_distribution, first_exchange, retrieval_cache, needle_haystacks, seeded_sample, chunked, forest_summary, run_shape,
+        faithfulness, rouge_completeness, span_grounding, context_compression, context_windows, prefix_routing, replica_distribution, first_exchange, retrieval_cache, needle_haystacks, seeded_sample, chunked, forest_counts, forest_summary, run_shape,
         required_windows, stale_selection, streaming_goodput,
     )
 }
@@ -169,15 +179,14 @@ SELECT conv_id, sha1(any_value(question)) AS question_sha1, sha1(min_by(text, tu
     "retrieval_cache": "SELECT item_id, text IN (SELECT text FROM benchmark WHERE item_id % 3 = 0 AND item_id * 10 + 500 > 700) AS hit FROM benchmark",
     "needle_haystacks": "SELECT CAST(range AS BIGINT) AS id, CAST(43 AS BIGINT) AS n_sentences, CAST(3 AS BIGINT) AS n_needles FROM range(50)",
     "chunked": "SELECT role, chunk, count(*) AS n, min(conv_id) AS first_conv FROM (SELECT role, conv_id, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) // 16 AS chunk FROM conversations) GROUP BY ALL",
-    "forest_summary": f"""
+    "forest_counts": f"""
 WITH {_LONG_SQL},
 pairs AS (SELECT example_id % 3 AS dataset, p.cell, p.value - r.value AS delta FROM per_example p JOIN per_example r USING (example_id) WHERE r.cell = 'N' AND p.cell <> 'N'),
 ranked AS (SELECT *, rank() OVER (PARTITION BY dataset, cell ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY dataset, cell, abs(delta)) - 1) / 2 AS r FROM pairs),
 tied AS (SELECT dataset, cell, sum(t * t * t - t) AS ties FROM (SELECT dataset, cell, CAST(count(*) AS DOUBLE) AS t FROM pairs WHERE delta <> 0 GROUP BY dataset, cell, abs(delta)) GROUP BY ALL),
-sums AS (SELECT dataset, cell, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (delta = 0) AS DOUBLE) AS z, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties0, median(delta) AS median_delta, coalesce(sum(r) FILTER (delta > 0), 0) AS w FROM ranked GROUP BY ALL),
-zs AS (SELECT *, greatest(abs(w - (n * (n + 1) - z * (z + 1)) / 4) - 0.5::DOUBLE, 0) / sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - ties / 2) / 24) AS zz FROM sums JOIN tied USING (dataset, cell)),
-s AS (SELECT *, (count(*) OVER (PARTITION BY dataset) - row_number() OVER (PARTITION BY dataset ORDER BY 1 / (1 + zz * zz), cell) + 1) / (1 + zz * zz) AS scaled FROM zs)
-SELECT dataset, cell, CAST(n AS BIGINT) AS n_pairs, wins, losses, ties0 AS ties, round(median_delta, 6) AS median_delta, round(zz, 6) AS z, round(least(1, max(scaled) OVER (PARTITION BY dataset ORDER BY 1 / (1 + zz * zz), cell ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s
+sums AS (SELECT dataset, cell, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (delta = 0) AS DOUBLE) AS z, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties0, median(delta) AS median_delta, avg(delta) AS mean_delta, stddev_samp(delta) / sqrt(count(*)) AS se, coalesce(sum(r) FILTER (delta > 0), 0) AS w FROM ranked GROUP BY ALL),
+zs AS (SELECT *, greatest(abs(w - (n * (n + 1) - z * (z + 1)) / 4) - 0.5::DOUBLE, 0) / sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - ties / 2) / 24) AS zz FROM sums JOIN tied USING (dataset, cell))
+SELECT dataset, cell, CAST(n AS BIGINT) AS n_pairs, wins, losses, ties0 AS ties, round(median_delta, 6) AS median_delta, round(zz, 6) AS z, round(mean_delta, 6) AS mean_delta, round(se, 6) AS se FROM zs
 """,
     "run_shape": "SELECT count(DISTINCT l_partkey) AS n_examples, count(DISTINCT l_linenumber) AS n_trials, count(DISTINCT l_returnflag) AS n_cells FROM lineitem",
     "required_windows": """

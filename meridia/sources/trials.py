@@ -205,6 +205,25 @@ def either_spelling(raw: DataFrame, spellings: dict[str, list[str]]) -> DataFram
     return raw.select(*[F.coalesce(*[F.col(c) for c in names if c in raw.columns], F.lit(None)).alias(name) for name, names in spellings.items()])
 
 
+def human_eval(raw: DataFrame) -> DataFrame:
+    """Functions to complete: the prompt is question and context, the tests call the entry point."""
+    prompt = F.coalesce("prompt", F.lit(""))
+    return raw.select(
+        F.col("task_id").cast("string").alias("id"), F.concat(F.lit("Complete the following Python function:\n\n"), prompt).alias("question"), F.array(prompt).alias("context"),
+        F.coalesce("canonical_solution", F.lit("")).alias("answer"), F.coalesce("entry_point", F.lit("")).alias("entry_point"), F.coalesce("test", F.lit("")).alias("test_code"), F.lit("code_generation").alias("dataset_type"),
+    )
+
+
+def mbpp(raw: DataFrame) -> DataFrame:
+    """Tasks in words: the tests, if there are any, are the context."""
+    tests = F.coalesce("test_list", F.array().cast("array<string>"))
+    shown = F.when(F.size(tests) > 0, F.array(F.concat(F.lit("Test cases:\n"), F.array_join(tests, "\n")))).otherwise(F.array().cast("array<string>"))
+    return raw.select(
+        F.col("task_id").cast("string").alias("id"), F.concat(F.lit("Write a Python function to solve:\n"), F.coalesce("text", F.lit(""))).alias("question"), shown.alias("context"),
+        F.coalesce("code", F.lit("")).alias("answer"), tests.alias("test_list"), F.lit("code_generation").alias("dataset_type"),
+    )
+
+
 def by_category(raw: DataFrame, category: str) -> DataFrame:
     return raw.filter(F.col("category") == category)
 
