@@ -1,8 +1,9 @@
-"""Statistical kernels over one group's numpy arrays, for grouped Arrow functions."""
+"""Statistical kernels over one group's numpy arrays, or over its sums and counted values."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -42,11 +43,24 @@ def wilcoxon(diffs: np.ndarray, alternative: str = "two-sided", zeros: str = "pr
     if zeros == "wilcox":
         d = d[d != 0]
     ranks = midranks(np.abs(d))
-    plus, minus = float(ranks[d > 0].sum()), float(ranks[d < 0].sum())
+    tied = np.unique(np.abs(d[d != 0]), return_counts=True)[1].astype(float)
+    return signed_rank_test(
+        len(d), int(np.count_nonzero(d == 0)), float(ranks[d > 0].sum()), float(ranks[d < 0].sum()), float((tied**3 - tied).sum()),
+        exact=not had_zeros and tied.max() == 1, ranks=ranks, alternative=alternative, zeros=zeros,
+    )
+
+
+def signed_rank_test(n: int, z: int, plus: float, minus: float, cubes: float, *, exact: bool, ranks: np.ndarray, alternative: str, zeros: str) -> tuple[float, float]:
+    """Statistic and p from sums alone.
+
+    n pairs are ranked, z of them are zero, cubes is the sum of t^3 - t over ties,
+    exact says that nothing is tied or was zero. Ranks are read only if zeros are
+    dropped and at most 13 pairs are left.
+    """
     statistic = min(plus, minus) if alternative == "two-sided" else plus
-    n, z = len(d), int(np.count_nonzero(d == 0))
-    tied = np.unique(np.abs(d[d != 0]), return_counts=True)[1]
-    if zeros == "wilcox" and not had_zeros and tied.max() == 1 and n <= EXACT_PAIRS:
+    if n == z:
+        return 0.0, 1.0
+    if zeros == "wilcox" and exact and n <= EXACT_PAIRS:
         share = _exact_signed_rank(n) / 2.0**n
         upper, lower = share[int(round(plus)) :].sum(), share[: int(round(plus)) + 1].sum()
         return statistic, _pick(upper, lower, alternative)
@@ -56,7 +70,7 @@ def wilcoxon(diffs: np.ndarray, alternative: str = "two-sided", zeros: str = "pr
         upper, lower = np.mean(sums >= plus - 1e-9), np.mean(sums <= plus + 1e-9)
         return statistic, _pick(float(upper), float(lower), alternative)
     mean = (n * (n + 1) - z * (z + 1)) / 4
-    var = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * float((tied.astype(float) ** 3 - tied).sum())) / 24
+    var = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * cubes) / 24
     half = 0.5 if zeros == "pratt" else 0.0
     if alternative == "two-sided":
         return statistic, min(1.0, 2 * dist.normal_sf((abs(plus - mean) - half) / math.sqrt(var)))
@@ -84,11 +98,16 @@ def welch(a: np.ndarray, b: np.ndarray, alternative: str = "two-sided", most: in
             raise ValueError("more values than windows: pairing queries under load is not allowed")
         if len(x) < 2:
             raise ValueError("a variance needs two windows")
-    va, vb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
+    return welch_test(len(a), float(a.mean()), float(a.var(ddof=1)), len(b), float(b.mean()), float(b.var(ddof=1)), alternative)
+
+
+def welch_test(n_a: int, mean_a: float, var_a: float, n_b: int, mean_b: float, var_b: float, alternative: str = "two-sided") -> dict:
+    """Welch's t from counts, means and variances."""
+    va, vb = var_a / n_a, var_b / n_b
     if va + vb == 0:
         raise ValueError("neither side varies")
-    diff, se = float(a.mean() - b.mean()), math.sqrt(va + vb)
-    df = (va + vb) ** 2 / (va**2 / (len(a) - 1) + vb**2 / (len(b) - 1))
+    diff, se = mean_a - mean_b, math.sqrt(va + vb)
+    df = (va + vb) ** 2 / (va**2 / (n_a - 1) + vb**2 / (n_b - 1))
     t = diff / se
     p = {"greater": dist.t_sf(t, df), "less": dist.t_sf(-t, df)}.get(alternative, 2 * dist.t_sf(abs(t), df))
     half = dist.t_ppf(0.975, df) * se
@@ -116,18 +135,39 @@ def rank_biserial(diffs: np.ndarray) -> float:
     return float((ranks[d > 0].sum() - ranks[d < 0].sum()) / ranks.sum()) if len(d) else 0.0
 
 
-def bootstrap_ci(values: np.ndarray, statistic=np.mean, iters: int = 10_000, seed: int = 42, alpha: float = 0.05, block: int = 1 << 22) -> tuple[float, float]:
-    """Percentile interval; index draws go in blocks, so memory doesn't grow with iterations times values."""
+def resampled(counts: np.ndarray, iters: int, rng: np.random.Generator, block: int = 1 << 22) -> Iterator[np.ndarray]:
+    """How often each value is drawn when as many are drawn as there are; a row an iteration.
+
+    The draws go in blocks, so memory doesn't grow with iterations times values.
+    """
+    counts = np.asarray(counts, dtype=np.int64)
+    n, step = int(counts.sum()), max(1, block // len(counts))
+    for start in range(0, iters, step):
+        yield rng.multinomial(n, counts / n, size=min(step, iters - start))
+
+
+def bootstrap_ci(values: np.ndarray, statistic: str = "mean", iters: int = 10_000, seed: int = 42, alpha: float = 0.05, counts: np.ndarray | None = None, block: int = 1 << 22) -> tuple[float, float]:
+    """Percentile interval of the mean or the median; values may come with their counts."""
     values = np.asarray(values, dtype=float)
     if not len(values):
         return math.nan, math.nan
-    rng, out, step = np.random.default_rng(seed), [], max(1, block // len(values))
-    for start in range(0, iters, step):
-        out.append(statistic(values[rng.integers(0, len(values), size=(min(step, iters - start), len(values)))], axis=1))
-    low, high = np.percentile(np.concatenate(out), [100 * alpha / 2, 100 * (1 - alpha / 2)])
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], np.ones(len(values), dtype=np.int64) if counts is None else np.asarray(counts, dtype=np.int64)[order]
+    drawn = np.concatenate([counted_statistic(values, own, statistic) for own in resampled(counts, iters, np.random.default_rng(seed), block)])
+    low, high = np.percentile(drawn, [100 * alpha / 2, 100 * (1 - alpha / 2)])
     return float(low), float(high)
 
 
+def counted_statistic(values: np.ndarray, counts: np.ndarray, statistic: str) -> np.ndarray:
+    """Mean or median of sorted values, each as often as its count says; a row of counts each."""
+    n = counts.sum(axis=-1)
+    if statistic == "mean":
+        return counts @ values / n
+    running = np.cumsum(counts, axis=-1)
+    middle = [values[np.argmax(running > place[..., None], axis=-1)] for place in ((n - 1) // 2, n // 2)]
+    return (middle[0] + middle[1]) / 2
+
+
 def tost(diffs: np.ndarray, margin: float, *, alpha: float = 0.05, dominance: float = NEGLIGIBLE, iters: int = 10_000, seed: int = 42, windows: np.ndarray | None = None, least: int = LEAST_EVENTS) -> dict:
     """Two layers on event pairs: the domain margin, and sign dominance by bootstrap.
 
@@ -135,31 +175,50 @@ def tost(diffs: np.ndarray, margin: float, *, alpha: float = 0.05, dominance: fl
     few events are a labelled outcome.
     """
     d = np.asarray(diffs, dtype=float)
-    out = {"n_events": len(d), "n_discordant": int(np.count_nonzero(d)), "mean_diff": float(d.mean()) if len(d) else None, "p": None, "domain": "insufficient-n", "dominance": None, "low": None, "high": None, "dominance_verdict": "insufficient-n"}
-    if len(d) < least:
+    own = np.zeros(len(d), dtype=np.int64) if windows is None else np.unique(windows, return_inverse=True)[1]
+    k = int(own.max()) + 1 if len(d) else 0
+    summed = lambda w: np.bincount(own, weights=w, minlength=k)
+    sums = {"n": summed(np.ones(len(d))), "total": summed(d), "up": summed(d > 0), "down": summed(d < 0)}
+    sums["apart"] = summed((d - (sums["total"] / np.maximum(sums["n"], 1))[own]) ** 2)
+    return tost_from_sums(sums, margin, alpha=alpha, dominance=dominance, iters=iters, seed=seed, by_window=windows is not None, least=least)
+
+
+def tost_from_sums(sums: dict[str, np.ndarray], margin: float, *, alpha: float = 0.05, dominance: float = NEGLIGIBLE, iters: int = 10_000, seed: int = 42, by_window: bool = False, least: int = LEAST_EVENTS) -> dict:
+    """The same from sums, one of each by window: n, total, apart (squared distances from the mean), up and down (differences above and below 0).
+
+    Without `by_window` the sums are added up: the margin needs mean and variance,
+    and a bootstrap of signs needs no more than how many there are of each.
+    """
+    n, total, up, down = (float(sums[c].sum()) for c in ("n", "total", "up", "down"))
+    mean = total / n if n else None
+    out = {"n_events": int(n), "n_discordant": int(up + down), "mean_diff": mean, "p": None, "domain": "insufficient-n", "dominance": None, "low": None, "high": None, "dominance_verdict": "insufficient-n"}
+    if n < least:
         return out
-    signs, rng = np.sign(d), np.random.default_rng(seed)
-    if windows is None:
-        sd = float(d.std(ddof=1))
-        if sd == 0:
-            p = 0.0 if abs(d.mean()) < margin else 1.0
+    rng = np.random.default_rng(seed)
+    if not by_window:
+        own = sums["total"] / np.maximum(sums["n"], 1)
+        var = float((sums["apart"] + sums["n"] * (own - mean) ** 2).sum()) / (n - 1)
+        if var <= 1e-24 * mean * mean:  # equal differences, but for rounding
+            p = 0.0 if abs(mean) < margin else 1.0
         else:
-            se = sd / math.sqrt(len(d))
-            p = max(dist.t_sf((d.mean() + margin) / se, len(d) - 1), dist.t_sf((margin - d.mean()) / se, len(d) - 1))
-        drawn = np.concatenate([signs[rng.integers(0, len(d), size=(n, len(d)))].mean(axis=1) for n in _steps(iters, len(d))])
+            se = math.sqrt(var / n)
+            p = max(dist.t_sf((mean + margin) / se, n - 1), dist.t_sf((margin - mean) / se, n - 1))
+        drawn = np.concatenate([(c[:, 0] - c[:, 1]) / n for c in resampled(np.array([up, down, n - up - down]), iters, rng)])
     else:
-        _, own = np.unique(windows, return_inverse=True)
-        k = int(own.max()) + 1
+        size, sums_d, sign = sums["n"], sums["total"], sums["up"] - sums["down"]
+        k = len(size)
         if k < LEAST_WINDOWS:
             raise ValueError("a bootstrap over windows needs five of them")
-        size, total, sign = (np.bincount(own, weights=w, minlength=k) for w in (np.ones(len(d)), d, signs))
-        at = rng.integers(0, k, size=(iters, k))
-        n = size[at].sum(axis=1)
-        means, drawn = total[at].sum(axis=1) / n, sign[at].sum(axis=1) / n
+        parts = []
+        for step in _steps(iters, k):
+            at = rng.integers(0, k, size=(step, k))
+            drawn_n = size[at].sum(axis=1)
+            parts.append((sums_d[at].sum(axis=1) / drawn_n, sign[at].sum(axis=1) / drawn_n))
+        means, drawn = (np.concatenate(x) for x in zip(*parts))
         p = max(float(np.mean(means <= -margin)), float(np.mean(means >= margin)))
     low, high = (float(np.percentile(drawn, 100 * q)) for q in (alpha, 1 - alpha))
     verdict = lambda yes: "equivalent" if yes else "not-equivalent"
-    return out | {"p": float(p), "domain": verdict(p < alpha), "dominance": float(signs.mean()), "low": low, "high": high, "dominance_verdict": verdict(max(abs(low), abs(high)) < dominance)}
+    return out | {"p": float(p), "domain": verdict(p < alpha), "dominance": (up - down) / n, "low": low, "high": high, "dominance_verdict": verdict(max(abs(low), abs(high)) < dominance)}
 
 
 def _steps(iters: int, width: int, block: int = 1 << 22) -> list[int]:
@@ -167,34 +226,44 @@ def _steps(iters: int, width: int, block: int = 1 << 22) -> list[int]:
     return [min(step, iters - k) for k in range(0, iters, step)]
 
 
-def rope(diffs: np.ndarray, width: float, *, prior: float = 0.5, samples: int = 2_000, seed: int = 42, windows: np.ndarray | None = None, threshold: float = 0.95, least: int = LEAST_EVENTS) -> dict:
+def rope(diffs: np.ndarray, width: float, *, prior: float = 0.5, samples: int = 2_000, seed: int = 42, windows: np.ndarray | None = None, counts: np.ndarray | None = None, threshold: float = 0.95, least: int = LEAST_EVENTS, block: int = 1 << 21) -> dict:
     """Bayesian signed ranks with a region of practical equivalence.
 
-    Masses left and right of the region come from sorted differences: for each
-    z, the weight of all partners below a bound is a running sum, so a draw costs
-    n log n and no n x n table is made.
+    Differences may come with their counts: the Dirichlet weight of equal ones is
+    that of their number. Masses left and right of the region come from sorted
+    differences: for each z, the weight of all partners below a bound is a running
+    sum, so a draw costs n log n and no n x n table is made. Draws go in blocks.
     """
     d = np.asarray(diffs, dtype=float)
-    if len(d) < least:
-        return {"n_events": len(d), "p_left": None, "p_rope": None, "p_right": None, "verdict": "insufficient-n"}
+    counts = np.ones(len(d)) if counts is None else np.asarray(counts, dtype=float)
+    n = int(counts.sum())
+    if n < least:
+        return {"n_events": n, "p_left": None, "p_rope": None, "p_right": None, "verdict": "insufficient-n"}
     z, rng = np.concatenate([[0.0], d]), np.random.default_rng(seed)
     if windows is None:
-        weights = rng.dirichlet(np.concatenate([[prior], np.ones(len(d))]), size=samples)
+        draw = lambda size: rng.dirichlet(np.concatenate([[prior], counts]), size=size)
     else:
-        _, own = np.unique(windows, return_inverse=True)
-        if int(own.max()) + 1 < LEAST_WINDOWS:
+        own = np.unique(windows, return_inverse=True)[1]
+        k = int(own.max()) + 1
+        if k < LEAST_WINDOWS:
             raise ValueError("a bootstrap over windows needs five of them")
-        u = rng.dirichlet(np.concatenate([[prior], np.ones(int(own.max()) + 1)]), size=samples)
-        raw = np.concatenate([u[:, :1], u[:, 1:][:, own]], axis=1)
-        weights = raw / raw.sum(axis=1, keepdims=True)
+
+        def draw(size: int) -> np.ndarray:
+            u = rng.dirichlet(np.concatenate([[prior], np.ones(k)]), size=size)
+            raw = np.concatenate([u[:, :1], u[:, 1:][:, own] * counts], axis=1)
+            return raw / raw.sum(axis=1, keepdims=True)
+
     order = np.argsort(z, kind="stable")
-    sorted_z, sorted_w = z[order], weights[:, order]
-    running = np.concatenate([np.zeros((samples, 1)), np.cumsum(sorted_w, axis=1)], axis=1)
+    z = z[order]
     # partners with (z_i + z_j) / 2 < -width, and those that aren't > width
-    below = np.searchsorted(sorted_z, -2 * width - sorted_z, side="left")
-    above = np.searchsorted(sorted_z, 2 * width - sorted_z, side="right")
-    left = (sorted_w * running[:, below]).sum(axis=1)
-    right = (sorted_w * (running[:, -1:] - running[:, above])).sum(axis=1)
-    won = np.argmax(np.stack([left, 1 - left - right, right]), axis=0)
-    share = [float(np.mean(won == k)) for k in range(3)]
-    return {"n_events": len(d), "p_left": share[0], "p_rope": share[1], "p_right": share[2], "verdict": "equivalent" if share[1] >= threshold else "not-equivalent"}
+    below = np.searchsorted(z, -2 * width - z, side="left")
+    above = np.searchsorted(z, 2 * width - z, side="right")
+    won = np.zeros(3, dtype=np.int64)
+    for size in _steps(samples, len(z), block):
+        weights = draw(size)[:, order]
+        running = np.concatenate([np.zeros((size, 1)), np.cumsum(weights, axis=1)], axis=1)
+        left = (weights * running[:, below]).sum(axis=1)
+        right = (weights * (running[:, -1:] - running[:, above])).sum(axis=1)
+        won += np.bincount(np.argmax(np.stack([left, 1 - left - right, right]), axis=0), minlength=3)
+    share = [float(x) / samples for x in won]
+    return {"n_events": n, "p_left": share[0], "p_rope": share[1], "p_right": share[2], "verdict": "equivalent" if share[1] >= threshold else "not-equivalent"}

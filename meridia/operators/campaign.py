@@ -403,10 +403,12 @@ def pair_statistics(pairs: DataFrame, *, metric: str, alternative: str = "two-si
 def window_statistics(means: DataFrame, key: str, alternative: str = "two-sided") -> DataFrame:
     """Welch tests of window means, a group each: at most 50 windows a side. means: key, side, window_id, value."""
 
-    def kernel(own: pd.DataFrame) -> dict:
-        return kernels.welch(own.loc[own["side"] == "a", "value"].to_numpy(), own.loc[own["side"] == "b", "value"].to_numpy(), alternative)
-
-    return st.by_group(means, key, "mean_diff double, t double, df double, p double, low double, high double", kernel, order="window_id")
+    schema = "mean_diff double, t double, df double, p double, low double, high double"
+    test = lambda **sums: kernels.welch_test(**sums, alternative=alternative)
+    columns = [f"{c}_{side}" for side in "ab" for c in ("n", "mean", "var")]
+    few = F.least("n_a", "n_b") < 2
+    own = st.welch_stats(means, key).withColumn("n_a", F.when(few, F.raise_error(F.lit("a variance needs two windows")).cast("bigint")).otherwise(F.col("n_a")))
+    return st.from_sums(own, columns, schema, test).select(key, "_test.*")
 
 
 def fingerprint(legs: DataFrame, m: int = 3) -> DataFrame:

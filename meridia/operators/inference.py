@@ -1,8 +1,10 @@
 """Experiment statistics: tests by group, multiplicity, calibration, power.
 
-Counts, rank sums and corrections are window functions and aggregates. Only
-p-values, bootstraps and posteriors run as grouped Arrow functions, one group
-(a contrast's pairs) at a time, sorted first so that draws repeat exactly.
+Counts, rank sums and corrections are window functions and aggregates; p-values
+come from a group's one row of sums. Rows are never gathered: a bootstrap of a
+mean runs over blocks of distinct values, a two-layer equivalence test over
+sums by window. Only a bootstrap of a median and a posterior see a group at
+once, and of it only the distinct values with their counts.
 """
 
 from __future__ import annotations
@@ -22,27 +24,73 @@ from meridia.functions import kernels
 MOST_VALUES = 2_000_000
 
 
-def by_group(pairs: DataFrame, key: str, schema: str, kernel: Callable[[pd.DataFrame], dict], order: str = "example_id") -> DataFrame:
-    """A kernel's row for each group; its rows come in a fixed order."""
-    kind = pairs.schema[key].dataType.simpleString()
+#: Distinct values in one task of a bootstrap.
+BLOCK_VALUES = 1 << 17
+
+
+def by_group(values: DataFrame, key: str, schema: str, kernel: Callable[[pd.DataFrame], dict], order: list[str]) -> DataFrame:
+    """A kernel's row for each group of counted values or sums; they come in a fixed order, so that draws repeat."""
+    kind = values.schema[key].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         own = frame.sort_values(order, kind="stable")
         return pd.DataFrame([{key: own[key].iloc[0], **kernel(own)}])
 
-    return pairs.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+    return values.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
 
 
-def wilcoxon(pairs: DataFrame, key: str, *, alternative: str = "two-sided", zeros: str = "pratt") -> DataFrame:
-    """pairs: key, example_id, a, b."""
+def from_sums(sums: DataFrame, columns: list[str], schema: str, test: Callable[..., dict]) -> DataFrame:
+    """A test's results beside each row of sums, as struct `_test`."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    @F.pandas_udf(f"struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([test(**row) for row in rows.to_dict("records")], columns=names)
+
+    return sums.withColumn("_test", run(F.struct(*columns)))
 
-    def kernel(own: pd.DataFrame) -> dict:
-        d = own["a"].to_numpy() - own["b"].to_numpy()
-        statistic, p = kernels.wilcoxon(d, alternative, zeros)
-        up, down = int((d > 0).sum()), int((d < 0).sum())
-        return {"n_pairs": len(d), "n_pos": up, "n_neg": down, "n_zero": len(d) - up - down, "statistic": statistic, "p": p, "delta": (up - down) / len(d), "rank_biserial": kernels.rank_biserial(d)}
 
-    return by_group(pairs, key, "n_pairs bigint, n_pos bigint, n_neg bigint, n_zero bigint, statistic double, p double, delta double, rank_biserial double", kernel)
+def whole_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs whose difference is a number: a missing or NaN side is no pair."""
+    return pairs.filter(_delta().isNotNull() & ~F.isnan(_delta().cast("double")))
+
+
+def _delta() -> Column:
+    return F.col("a") - F.col("b")
+
+
+def wilcoxon(pairs: DataFrame, key: str, *, alternative: str = "two-sided", zeros: str = "pratt") -> DataFrame:
+    """pairs: key, example_id, a, b. Ranks and sums by windows over distinct |delta|; the p of a group comes from one row."""
+    sums = _signed_ranks(whole_pairs(pairs), key)
+
+    def test(n_pairs: int, n_pos: int, n_neg: int, n_zero: int, w_plus: float, w_minus: float, _ties: float, _most: int, _few: list) -> dict:
+        # zeros rank first, so without them every rank is less by their number
+        plus, minus, n = w_plus - n_zero * n_pos, w_minus - n_zero * n_neg, n_pos + n_neg
+        few = np.array([r["rank"] - n_zero for r in _few for _ in range(r["n"])])
+        if zeros == "pratt":
+            own = kernels.signed_rank_test(n_pairs, n_zero, w_plus, w_minus, _ties, exact=False, ranks=few, alternative=alternative, zeros=zeros)
+        else:
+            own = kernels.signed_rank_test(n, 0, plus, minus, _ties, exact=n_zero == 0 and _most == 1, ranks=few, alternative=alternative, zeros=zeros)
+        return {"statistic": own[0], "p": own[1], "delta": (n_pos - n_neg) / n_pairs, "rank_biserial": (plus - minus) / (plus + minus) if n else 0.0}
+
+    columns = ["n_pairs", "n_pos", "n_neg", "n_zero", "w_plus", "w_minus", "_ties", "_most", "_few"]
+    return from_sums(sums, columns, "statistic double, p double, delta double, rank_biserial double", test).select(key, "n_pairs", "n_pos", "n_neg", "n_zero", "_test.*")
+
+
+def _signed_ranks(pairs: DataFrame, *by: str) -> DataFrame:
+    """Counts, Pratt's rank sums and ties; `_few` holds the ranks of groups that have few differences, for exact tests."""
+    counted = pairs.groupBy(*by, F.abs(_delta()).alias("_d")).agg(F.count("*").alias("_t"), F.count_if(F.col("a") > F.col("b")).alias("_plus"), F.count_if(F.col("a") < F.col("b")).alias("_minus"))
+    order = Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.sum(F.when(F.col("_d") != 0, F.col("_t"))).over(Window.partitionBy(*by))
+    rank = F.coalesce(F.sum("_t").over(order), F.lit(0)) + (F.col("_t") + 1) / 2
+    t, some = F.col("_t").cast("double"), F.col("_d") != 0
+    few = some & (F.col("_left") <= kernels.PERMUTED_PAIRS)
+    return counted.withColumns({"_r": rank, "_left": left}).groupBy(*by).agg(
+        F.sum("_t").alias("n_pairs"), F.sum("_plus").alias("n_pos"), F.sum("_minus").alias("n_neg"), F.coalesce(F.sum(F.when(F.col("_d") == 0, F.col("_t"))), F.lit(0)).alias("n_zero"),
+        F.sum(F.col("_r") * F.col("_plus")).alias("w_plus"), F.sum(F.col("_r") * F.col("_minus")).alias("w_minus"),
+        F.coalesce(F.sum(F.when(some, t * t * t - t)), F.lit(0.0)).alias("_ties"), F.coalesce(F.max(F.when(some, F.col("_t"))), F.lit(0)).alias("_most"),
+        F.sort_array(F.collect_list(F.when(few, F.struct(F.col("_r").alias("rank"), F.col("_t").alias("n"))))).alias("_few"),
+    )
 
 
 def signed_rank_sums(pairs: DataFrame, *by: str) -> DataFrame:
@@ -51,19 +99,12 @@ def signed_rank_sums(pairs: DataFrame, *by: str) -> DataFrame:
     Groups of any size: rows are counted by |delta| and sign first, and ranks
     come from running sums over these counts.
     """
-    counted = pairs.groupBy(*by, F.abs(F.col("a") - F.col("b")).alias("_d")).agg(F.count("*").alias("_t"), F.count_if(F.col("a") > F.col("b")).alias("_plus"), F.count_if(F.col("a") < F.col("b")).alias("_minus"))
-    order = Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("_t").over(order), F.lit(0)) + (F.col("_t") + 1) / 2
-    t = F.col("_t").cast("double")
-    summed = counted.withColumn("_r", rank).groupBy(*by).agg(
-        F.sum("_t").alias("n_pairs"), F.coalesce(F.sum(F.when(F.col("_d") == 0, F.col("_t"))), F.lit(0)).alias("n_zero"), F.sum(F.col("_r") * F.col("_plus")).alias("w_plus"), F.sum(F.col("_r") * F.col("_minus")).alias("w_minus"),
-        F.coalesce(F.sum(F.when(F.col("_d") != 0, t * t * t - t)), F.lit(0.0)).alias("_ties"),
-    )
+    summed = _signed_ranks(pairs, *by)
     n, z = F.col("n_pairs").cast("double"), F.col("n_zero").cast("double")
     mean = (n * (n + 1) - z * (z + 1)) / 4
     var = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - F.col("_ties") / 2) / 24
     off = F.greatest(F.abs(F.col("w_plus") - mean) - 0.5, F.lit(0.0))
-    return summed.withColumns({"w_mean": mean, "w_var": var, "z": F.try_divide(off, F.sqrt(var))}).drop("_ties")
+    return summed.withColumns({"w_mean": mean, "w_var": var, "z": F.try_divide(off, F.sqrt(var))}).select(*by, "n_pairs", "n_zero", "w_plus", "w_minus", "w_mean", "w_var", "z")
 
 
 def mann_whitney_sums(values: DataFrame, *by: str, group: str = "side", value: str = "value") -> DataFrame:
@@ -102,36 +143,78 @@ def welch_stats(means: DataFrame, *by: str, side: str = "side", value: str = "va
     return own.withColumns({"mean_diff": F.col("mean_a") - F.col("mean_b"), "t": F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(va + vb)), "df": F.try_divide((va + vb) * (va + vb), va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))})
 
 
-def bootstrap_ci(values: DataFrame, key: str, *, statistic: str = "mean", iters: int = 10_000, seed: int = 42) -> DataFrame:
-    """values: key, example_id, value."""
-    stat = {"mean": np.mean, "median": np.median}[statistic]
-
-    def kernel(own: pd.DataFrame) -> dict:
-        low, high = kernels.bootstrap_ci(own["value"].to_numpy(), stat, iters, seed)
-        return {"n": len(own), "estimate": float(stat(own["value"].to_numpy())), "low": low, "high": high}
+def bootstrap_ci(values: DataFrame, key: str, *, statistic: str = "mean", iters: int = 10_000, seed: int = 42, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """Percentile interval of each key's mean or median. values: key, value; nulls and NaN are left out.
 
-    return by_group(values, key, "n bigint, estimate double, low double, high double", kernel)
+    Equal values are counted first. For the mean they are dealt into blocks of
+    about block_values; as many draws as there are rows go to the blocks by one
+    multinomial draw an iteration, then within a block to its values, and the
+    blocks' sums are added up: the draws of one large multinomial, in many tasks.
+    A median needs its distinct values in order, so they meet in one task.
+    """
+    counted = values.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).groupBy(key, F.col("value").cast("double").alias("value")).agg(F.count("*").alias("_t"))
+    if statistic == "median":
+
+        def kernel(own: pd.DataFrame) -> dict:
+            x, counts = own["value"].to_numpy(), own["_t"].to_numpy()
+            low, high = kernels.bootstrap_ci(x, "median", iters, seed, counts=counts)
+            return {"n": int(counts.sum()), "estimate": float(kernels.counted_statistic(x, counts, "median")), "low": low, "high": high}
+
+        return by_group(counted, key, "n bigint, estimate double, low double, high double", kernel, ["value"])
+    kind = counted.schema[key].dataType.simpleString()
+    own = counted.withColumn("_block", F.pmod(F.xxhash64("value"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy(key)) / block_values))).cast("int"))
+    blocks = own.groupBy(key, "_block").agg(F.sum("_t").alias("_n"))
+
+    def dealt(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_block")
+        draws = kernels.resampled(frame["_n"].to_numpy(), iters, np.random.default_rng(seed))
+        return pd.DataFrame({key: frame[key], "_block": frame["_block"], "_draws": list(np.concatenate(list(draws)).T)})
+
+    draws = blocks.groupBy(key).applyInPandas(dealt, f"{key} {kind}, _block int, _draws array<bigint>")
+
+    def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({key: [], "_k": [], "_sum": []})
+        left = left.sort_values("value")
+        x, counts, many = left["value"].to_numpy(), left["_t"].to_numpy(), right["_draws"].iloc[0]
+        rng = np.random.default_rng([seed, int(left["_block"].iloc[0]) + 1])
+        step = max(1, (1 << 22) // len(x))
+        sums = np.concatenate([rng.multinomial(many[k : k + step], counts / counts.sum()) @ x for k in range(0, iters, step)])
+        return pd.DataFrame({key: left[key].iloc[0], "_k": np.arange(iters), "_sum": sums})
+
+    sums = own.groupBy(key, "_block").cogroup(draws.groupBy(key, "_block")).applyInPandas(summed, f"{key} {kind}, _k int, _sum double")
+    total = blocks.groupBy(key).agg(F.sum("_n").alias("n")).join(counted.groupBy(key).agg(F.sum(F.col("value") * F.col("_t")).alias("_all")), key)
+    ends = sums.groupBy(key, "_k").agg(F.sum("_sum").alias("_sum")).groupBy(key).agg(F.percentile("_sum", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
+    return total.join(ends, key).select(key, "n", (F.col("_all") / F.col("n")).alias("estimate"), (F.col("_p")[0] / F.col("n")).alias("low"), (F.col("_p")[1] / F.col("n")).alias("high"))
 
 
 def tost(pairs: DataFrame, key: str, *, margin: float, windows: bool = False, iters: int = 10_000, seed: int = 42) -> DataFrame:
-    """pairs: key, example_id, a, b, event, and window_id with `windows`."""
+    """pairs: key, example_id, a, b, event, and window_id with `windows`. One row of sums by window, or by key, reaches the test."""
+    own = pairs.withColumn("_d", F.when(F.col("event"), _delta())).withColumn("_w", F.col("window_id").cast("string") if windows else F.lit(""))
+    summed = own.groupBy(key, "_w").agg(
+        F.count("*").alias("n_total"), F.count("_d").cast("double").alias("n"), F.coalesce(F.sum("_d"), F.lit(0.0)).cast("double").alias("total"),
+        F.coalesce(F.var_pop("_d") * F.count("_d"), F.lit(0.0)).alias("apart"), F.count_if(F.col("_d") > 0).cast("double").alias("up"), F.count_if(F.col("_d") < 0).cast("double").alias("down"),
+    )
 
-    def kernel(own: pd.DataFrame) -> dict:
-        event = own["event"].to_numpy(dtype=bool)
-        d = (own["a"].to_numpy() - own["b"].to_numpy())[event]
-        return {"n_total": len(own), **kernels.tost(d, margin, iters=iters, seed=seed, windows=own["window_id"].to_numpy()[event] if windows else None)}
+    def kernel(frame: pd.DataFrame) -> dict:
+        held = frame[frame["n"] > 0]
+        sums = {c: held[c].to_numpy(dtype=float) for c in ("n", "total", "apart", "up", "down")}
+        return {"n_total": int(frame["n_total"].sum()), **kernels.tost_from_sums(sums, margin, iters=iters, seed=seed, by_window=windows)}
 
     schema = "n_total bigint, n_events bigint, n_discordant bigint, mean_diff double, p double, domain string, dominance double, low double, high double, dominance_verdict string"
-    return by_group(pairs, key, schema, kernel)
+    return by_group(summed, key, schema, kernel, ["_w"])
 
 
 def rope(pairs: DataFrame, key: str, *, width: float, windows: bool = False, samples: int = 2_000, seed: int = 42) -> DataFrame:
-    def kernel(own: pd.DataFrame) -> dict:
-        event = own["event"].to_numpy(dtype=bool)
-        d = (own["a"].to_numpy() - own["b"].to_numpy())[event]
-        return {"n_total": len(own), **kernels.rope(d, width, samples=samples, seed=seed, windows=own["window_id"].to_numpy()[event] if windows else None)}
+    """pairs as for `tost`. A draw weighs every two differences, so a key's distinct ones (by window, with `windows`) meet in one task, with their counts."""
+    own = pairs.withColumn("_d", F.when(F.col("event"), _delta()).cast("double")).withColumn("_w", F.col("window_id").cast("string") if windows else F.lit(""))
+    counted = own.groupBy(key, "_w", "_d").agg(F.count("*").alias("_t"))
+
+    def kernel(frame: pd.DataFrame) -> dict:
+        held = frame[frame["_d"].notna()]
+        return {"n_total": int(frame["_t"].sum()), **kernels.rope(held["_d"].to_numpy(), width, samples=samples, seed=seed, windows=held["_w"].to_numpy() if windows else None, counts=held["_t"].to_numpy())}
 
-    return by_group(pairs, key, "n_total bigint, n_events bigint, p_left double, p_rope double, p_right double, verdict string", kernel)
+    return by_group(counted, key, "n_total bigint, n_events bigint, p_left double, p_rope double, p_right double, verdict string", kernel, ["_w", "_d"])
 
 
 def holm(df: DataFrame, *by: str, p: str = "p", seq: str = "seq", registered: int | None = None) -> DataFrame:

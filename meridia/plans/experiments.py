@@ -107,17 +107,17 @@ def welch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _contrasts(spark, sf_dir).select("contrast", "example_id", (F.col("a") - F.col("b")).alias("value"))
-    return st.bootstrap_ci(own, "contrast", iters=2000)
+    return st.bootstrap_ci(own, "contrast")
 
 
 def tost_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _contrasts(spark, sf_dir).withColumn("event", F.col("example_id") % 3 != 0).withColumn("window_id", F.floor(F.col("example_id") / 4) % 12)
-    return st.tost(own, "contrast", margin=5.0, windows=True, iters=2000)
+    return st.tost(own, "contrast", margin=5.0, windows=True)
 
 
 def rope_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _contrasts(spark, sf_dir).withColumn("event", F.col("example_id") % 3 != 0)
-    return st.rope(own, "contrast", width=5.0, samples=500)
+    return st.rope(own, "contrast", width=5.0)
 
 
 def power_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:

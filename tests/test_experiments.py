@@ -165,6 +165,54 @@ def test_signed_rank_sums_equal_the_kernel(spark):
     assert min(1.0, 2 * dist.normal_sf(sums["z"])) == pytest.approx(test["p"])
 
 
+def test_wilcoxon_by_group_equals_the_kernel(spark):
+    rng = np.random.default_rng(3)
+    groups = {0: rng.normal(0.3, 1, 40), 1: np.array([1.0, -1, 2, 2, 0, 3]), 2: np.zeros(4), 3: rng.integers(-2, 4, 300).astype(float), 4: np.array([5.0, -1, 2, 3])}
+    df = spark.createDataFrame([(g, k, float(x), 0.0) for g, d in groups.items() for k, x in enumerate(d)] + [(4, 9, float("nan"), 1.0), (4, 10, None, 1.0)], "g int, example_id int, a double, b double")
+    for zeros in ("pratt", "wilcox"):
+        for side in ("two-sided", "greater", "less"):
+            got = {r["g"]: r for r in st.wilcoxon(df, "g", alternative=side, zeros=zeros).collect()}
+            for g, d in groups.items():
+                want = kernels.wilcoxon(d, side, zeros)
+                assert (got[g]["statistic"], got[g]["p"]) == (pytest.approx(want[0]), pytest.approx(want[1])), (g, zeros, side)
+                assert got[g]["rank_biserial"] == pytest.approx(kernels.rank_biserial(d)) and got[g]["n_pairs"] == len(d)
+                assert (got[g]["n_pos"], got[g]["n_neg"], got[g]["n_zero"]) == ((d > 0).sum(), (d < 0).sum(), (d == 0).sum())
+
+
+def test_resampling_by_group(spark):
+    rng = np.random.default_rng(8)
+    d = {g: np.round(rng.normal(g, 1, 400), 2 - g) for g in (0, 1)}
+    df = spark.createDataFrame([(g, k, float(x)) for g in d for k, x in enumerate(d[g])] + [(1, 900, None), (1, 901, float("nan"))], "g int, example_id int, value double")
+    for blocks in (7, 1 << 17):
+        for r in st.bootstrap_ci(df, "g", iters=3000, block_values=blocks).collect():
+            own, se = d[r["g"]], d[r["g"]].std() / 20
+            assert r["n"] == 400 and r["estimate"] == pytest.approx(own.mean())
+            assert r["low"] == pytest.approx(own.mean() - 1.96 * se, abs=0.15 * se) and r["high"] == pytest.approx(own.mean() + 1.96 * se, abs=0.15 * se)
+    for r in st.bootstrap_ci(df, "g", statistic="median", iters=500).collect():
+        drawn = np.median(np.random.default_rng(1).choice(d[r["g"]], size=(4000, 400)), axis=1)
+        low, high = np.percentile(drawn, [2.5, 97.5])
+        assert r["estimate"] == pytest.approx(np.median(d[r["g"]])) and r["low"] == pytest.approx(low, abs=0.06) and r["high"] == pytest.approx(high, abs=0.06)
+
+
+def test_equivalence_by_group_equals_the_kernel(spark):
+    rng = np.random.default_rng(9)
+    d = rng.integers(-3, 4, 300) / 10
+    rows = [(0, k, float(x), 0.0, k % 3 != 0, k % 8) for k, x in enumerate(d)] + [(1, k, 1.0, 0.5, True, k % 5) for k in range(12)] + [(2, 1, 1.0, 0.0, True, 0)]
+    df = spark.createDataFrame(rows, "g int, example_id int, a double, b double, event boolean, window_id int")
+    event, window = np.arange(300) % 3 != 0, np.arange(300) % 8
+    for windows in (False, True):
+        got = {r["g"]: r for r in st.tost(df, "g", margin=0.1, windows=windows, iters=2000).collect()}
+        want = kernels.tost(d[event], 0.1, iters=2000, windows=window[event] if windows else None)
+        assert got[0]["n_total"] == 300 and all(got[0][c] == (pytest.approx(v) if isinstance(v, float) else v) for c, v in want.items())
+        assert got[1]["domain"] == "not-equivalent" and got[2]["domain"] == "insufficient-n"
+        post = {r["g"]: r for r in st.rope(df, "g", width=0.05, windows=windows, samples=4000).collect()}
+        raw = kernels.rope(d[event], 0.05, samples=4000, windows=window[event] if windows else None)
+        assert (post[0]["n_total"], post[0]["n_events"], post[0]["verdict"]) == (300, raw["n_events"], raw["verdict"])
+        assert post[0]["p_rope"] == pytest.approx(raw["p_rope"], abs=0.05) and post[2]["verdict"] == "insufficient-n"
+    # a constant difference: its sums leave no variance
+    assert st.tost(df.filter("g = 1"), "g", margin=0.6).first()["p"] == 0.0
+
+
 def test_mcnemar_and_welch(spark):
     a = [True] * 8 + [False] * 2 + [True] * 20 + [False] * 10
     b = [False] * 8 + [True] * 2 + [True] * 20 + [False] * 10
