@@ -1,9 +1,10 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
 Each shard of documents gets a word-level suffix array; every suffix of every
-test item is searched in it by bisection. That yields the longest verbatim
-matches with their places, and the words of each document that stand in an
-occurrence of a test window. The documents never move: a shard is a run of
+test item is searched in it by bisection, for its longest verbatim match. Where
+that is as long as the window which begins the suffix, the places of the window
+give the words of each document that are hit; `longest_matches` returns the
+longest matches themselves, with their places. The documents never move: a shard is a run of
 rows of one task, so there is no shuffle and no hot key. Test items are sent in
 blocks of about `block_words` words; each block is a pass whose result is written
 before the next one begins, so more items mean more passes, not more memory.
@@ -119,11 +120,16 @@ def shard_hits(texts: list[list[bytes]], items: Items) -> tuple[list[np.ndarray]
     flags, found = [np.zeros(len(t), dtype=bool) for t in texts], [set() for _ in texts]
     if not len(items.window_lengths):
         return flags, found
-    shard = Shard(texts, items, int(items.window_lengths.max()))
-    lo, hi = shard.suffixes.find(items.words, items.window_starts, items.window_lengths)
+    _, starts, lengths = items.suffixes()
+    shard = Shard(texts, items, int(lengths.max()))
+    longest, _, _ = shard.suffixes.longest(items.words, starts, lengths)
+    # a window occurs where the longest match of the suffix that it begins reaches its end
+    occurs = np.flatnonzero(longest[items.window_starts] >= items.window_lengths)
+    lo, hi = shard.suffixes.find(items.words, items.window_starts[occurs], items.window_lengths[occurs])
     which, slots = _ranges(lo, hi)
     if not len(which):
         return flags, found
+    which = occurs[which]
     places = shard.suffixes.order[slots]
     edges = np.zeros(shard.size + 1, dtype=np.int64)
     np.add.at(edges, places, 1)

@@ -79,35 +79,46 @@ class SuffixArray:
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
 
+    def _words(self, queries: np.ndarray, starts: np.ndarray, skip: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least key of the `used` words from `skip` on, and the least key beyond all that begin so."""
+        key = np.zeros(len(starts), dtype=np.int64)
+        for j in range(self.width):
+            word = queries[np.minimum(starts + skip + j, len(queries) - 1)].astype(np.int64)
+            key |= np.where(j < used, word, 0) << (self.bits * (self.width - 1 - j))
+        return key, key + (np.int64(1) << (self.bits * (self.width - used)))
+
     def find(self, queries: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots [lo, hi) of the suffixes that begin with all `lengths` words of each query.
 
         A query is `lengths[i]` words of `queries` from `starts[i]` on.
         """
-        n = len(starts)
-        lo, hi = np.zeros(n, dtype=np.int64), np.full(n, len(self.order), dtype=np.int64)
-        for skip in range(0, int(lengths.max(initial=0)), self.width):
-            live = np.flatnonzero((lengths > skip) & (lo < hi))
-            if not len(live):
-                break
-            used = np.minimum(lengths[live] - skip, self.width)
-            key = np.zeros(len(live), dtype=np.int64)
-            for j in range(self.width):
-                word = queries[np.minimum(starts[live] + skip + j, len(queries) - 1)].astype(np.int64)
-                key |= np.where(j < used, word, 0) << (self.bits * (self.width - 1 - j))
-            above = key + (np.int64(1) << (self.bits * (self.width - used)))
-            low = self._bound(lo[live], hi[live], skip, key)
-            hi[live] = self._bound(low, hi[live], skip, above)
-            lo[live] = low
-        return lo, np.maximum(lo, hi)
+        size, lo, hi = self.longest(queries, starts, lengths)
+        return lo, np.where(size == lengths, hi, lo)
 
     def longest(self, queries: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each query's longest prefix that occurs here, and the slots [lo, hi) where it does."""
-        least, most = np.zeros(len(starts), dtype=np.int64), lengths.astype(np.int64)
-        while (live := least < most).any():
-            mid = np.where(live, (least + most + 1) >> 1, least)
-            lo, hi = self.find(queries, starts, mid)
-            least = np.where(live & (hi > lo), mid, least)
-            most = np.where(live & (hi <= lo), mid - 1, most)
-        lo, hi = self.find(queries, starts, least)
-        return least, lo, hi
+        """Each query's longest prefix that occurs here, and the slots [lo, hi) where it does; an empty prefix has none.
+
+        All queries are bisected together, `width` words a round; one that no
+        slot continues gives up a word at a time until a slot does, and is done.
+        """
+        n = len(starts)
+        size, lo, hi = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.full(n, len(self.order), dtype=np.int64)
+        live, skip = np.flatnonzero(lengths > 0), 0
+        while len(live):
+            used = np.minimum(lengths[live] - skip, self.width)
+            whole, open_ = used.copy(), np.arange(len(live))
+            while len(open_):
+                at = live[open_]
+                key, above = self._words(queries, starts[at], skip, used[open_])
+                low = self._bound(lo[at], hi[at], skip, key)
+                high = self._bound(low, hi[at], skip, above)
+                some = high > low
+                lo[at[some]], hi[at[some]] = low[some], high[some]
+                open_ = open_[~some]
+                used[open_] -= 1
+                open_ = open_[used[open_] > 0]
+            size[live] += used
+            live = live[(used == whole) & (size[live] < lengths[live])]
+            skip += self.width
+        hi[size == 0] = 0
+        return size, lo, hi

@@ -8,15 +8,27 @@ from tests.llm.helpers import docs, prose, rows
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=60), st.lists(st.integers(1, 4), min_size=1, max_size=12))
-def test_suffix_array_finds_every_place(ids, query):
-    array = SuffixArray(np.array(ids, dtype=np.int64), 4, len(query))
+@given(st.lists(st.integers(0, 4), max_size=60), st.lists(st.integers(1, 4), min_size=1, max_size=12), st.sampled_from([4, 1 << 12, 1 << 20]))
+def test_suffix_array_finds_every_place(ids, query, vocab):
+    # a larger vocabulary puts fewer words into a key, so searches take more rounds
+    array = SuffixArray(np.array(ids, dtype=np.int64), vocab, len(query))
     lo, hi = array.find(np.array(query), np.array([0]), np.array([len(query)]))
     places = sorted(array.order[lo[0] : hi[0]].tolist())
     assert places == [k for k in range(len(ids) - len(query) + 1) if ids[k : k + len(query)] == query]
     size, lo, hi = array.longest(np.array(query), np.array([0]), np.array([len(query)]))
     best = max((n for n in range(len(query) + 1) if any(ids[k : k + n] == query[:n] for k in range(len(ids) - n + 1)) or n == 0), default=0)
     assert size[0] == best
+    want = [k for k in range(len(ids) - best + 1) if best and ids[k : k + best] == query[:best]]
+    assert sorted(array.order[lo[0] : hi[0]].tolist()) == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), max_size=25), max_size=5), st.lists(st.lists(st.integers(1, 3), max_size=8), max_size=4), st.integers(1, 5))
+def test_hits_of_a_shard_are_those_of_brute_force(texts, items, window):
+    said = lambda words: " ".join("abc"[w - 1] for w in words).encode()
+    flags, found = dc.shard_hits([dc.item_words(said(t)) for t in texts], dc.Items([(str(k), said(i)) for k, i in enumerate(items)], window))
+    want = dc.brute({k: said(t) for k, t in enumerate(texts)}, {k: said(i) for k, i in enumerate(items)}, window)
+    assert {k: (len(f), int(f.sum()), sorted(o)) for k, (f, o) in enumerate(zip(flags, found))} == want
 
 
 def _case():
