@@ -185,6 +185,14 @@ so_far AS (
   FROM told WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )
 SELECT conv_id, turn, n_history, sha1(history || 'User: ' || text || chr(10) || 'Assistant:') AS prompt_sha1 FROM so_far
+""",
+    "stale_rewrites": r"""
+WITH c AS (
+  SELECT item_id, string_split(text, chr(10)) AS c, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1] AS answer, CAST('0x' || sha1('42:' || item_id)[1:8] AS BIGINT) / 4294967295.0::DOUBLE < 0.25::DOUBLE AS stale FROM benchmark
+),
+marked AS (SELECT *, list_transform(c, lambda x: regexp_replace(x, '(?i)' || regexp_escape(answer), '[redacted]', 'g')) AS redacted FROM c),
+served AS (SELECT item_id, stale, CASE WHEN NOT stale OR answer IS NULL THEN c WHEN len(list_filter(redacted, lambda x: contains(x, '[redacted]'))) > 0 THEN redacted WHEN len(c) > 1 THEN c[2:] ELSE c END AS s FROM marked)
+SELECT item_id, stale, CAST(len(s) AS BIGINT) AS n_contexts, sha1(array_to_string(s, chr(10))) AS served_sha1 FROM served
 """,
     "qa_prompts": """
 WITH c AS (SELECT item_id, string_split(text, chr(10)) AS c FROM benchmark),

@@ -187,6 +187,20 @@ tied AS (SELECT dataset, cell, sum(t * t * t - t) AS ties FROM (SELECT dataset,
 sums AS (SELECT dataset, cell, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (delta = 0) AS DOUBLE) AS z, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties0, median(delta) AS median_delta, avg(delta) AS mean_delta, stddev_samp(delta) / sqrt(count(*)) AS se, coalesce(sum(r) FILTER (delta > 0), 0) AS w FROM ranked GROUP BY ALL),
 zs AS (SELECT *, greatest(abs(w - (n * (n + 1) - z * (z + 1)) / 4) - 0.5::DOUBLE, 0) / sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - ties / 2) / 24) AS zz FROM sums JOIN tied USING (dataset, cell))
 SELECT dataset, cell, CAST(n AS BIGINT) AS n_pairs, wins, losses, ties0 AS ties, round(median_delta, 6) AS median_delta, round(zz, 6) AS z, round(mean_delta, 6) AS mean_delta, round(se, 6) AS se FROM zs
+""",
+    "seeded_sample": "SELECT c_custkey, c_nationkey FROM customer ORDER BY sha1('42:' || c_custkey), c_custkey LIMIT 40",
+    "context_windows": r"""
+WITH RECURSIVE cut AS (
+  SELECT item_id, list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+|;\s+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: len(regexp_split_to_array(x, '\s+'))) AS sizes FROM benchmark
+),
+windows(item_id, sizes, k, a, b) AS (
+  SELECT item_id, sizes, CAST(0 AS BIGINT), CAST(1 AS BIGINT), list_max(list_filter(range(1, len(sizes) + 1), lambda e: e = 1 OR list_sum(sizes[1:e]) <= 20)) FROM cut WHERE len(sizes) > 0
+  UNION ALL
+  SELECT item_id, sizes, k, a, list_max(list_filter(range(a, len(sizes) + 1), lambda e: e = a OR list_sum(sizes[a:e]) <= 20)) FROM (
+    SELECT item_id, sizes, k + 1 AS k, coalesce(list_min(list_filter(range(a + 1, b + 1), lambda s: list_sum(sizes[s:b]) <= 10)), b + 1) AS a FROM windows WHERE b < len(sizes)
+  )
+)
+SELECT item_id, CAST(k AS INTEGER) AS k, CAST(list_sum(sizes[a:b]) AS BIGINT) AS n_words FROM windows
 """,
     "run_shape": "SELECT count(DISTINCT l_partkey) AS n_examples, count(DISTINCT l_linenumber) AS n_trials, count(DISTINCT l_returnflag) AS n_cells FROM lineitem",
     "required_windows": """

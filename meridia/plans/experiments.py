@@ -92,7 +92,7 @@ def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mcnemar_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _contrasts(spark, sf_dir).select("contrast", (F.col("a") >= 38).alias("a"), (F.col("b") >= 38).alias("b"))
-    return st.mcnemar(own, "contrast")
+    return st.mcnemar(own, "contrast").withColumns({c: F.round(c, 9) for c in ("diff", "p")})
 
 
 def _window_means(spark: SparkSession, sf_dir: str) -> DataFrame:

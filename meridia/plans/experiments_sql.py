@@ -114,6 +114,25 @@ SELECT contrast, n_a, n_b, ra - n_a * (n_a + 1) / 2 AS u, round(2 * (ra - n_a *
     "mcnemar_counts": f"""
 WITH {_PAIRS}, b2 AS (SELECT contrast, a >= 38 AS a, b >= 38 AS b FROM contrasts)
 SELECT contrast, count(*) AS n_pairs, count(*) FILTER (a AND b) AS n11, count(*) FILTER (NOT a AND NOT b) AS n00, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01, round((count(*) FILTER (a AND NOT b) - count(*) FILTER (NOT a AND b)) / count(*), 9) AS diff FROM b2 GROUP BY contrast
+""",
+    "mcnemar_test": f"""
+WITH {_PAIRS}, b2 AS (SELECT contrast, a >= 38 AS a, b >= 38 AS b FROM contrasts),
+counts AS (SELECT contrast, count(*) AS n_pairs, count(*) FILTER (a AND b) AS n11, count(*) FILTER (NOT a AND NOT b) AS n00, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01 FROM b2 GROUP BY contrast),
+heads AS (SELECT contrast, j, exp(lgamma(n10 + n01 + 1) - lgamma(j + 1) - lgamma(n10 + n01 - j + 1) - (n10 + n01) * ln(2)) AS p, j >= n10 AS above, j <= n10 AS under FROM (SELECT *, unnest(range(0, n10 + n01 + 1)) AS j FROM counts)),
+tails AS (SELECT contrast, sum(p) FILTER (above) AS upper, sum(p) FILTER (under) AS lower FROM heads GROUP BY contrast)
+SELECT counts.*, round((n10 - n01) / n_pairs, 9) AS diff, round(least(1.0::DOUBLE, 2 * least(upper, lower)), 9) AS p FROM counts JOIN tails USING (contrast)
+""",
+    "lambda_star": f"""
+WITH RECURSIVE {_SWEEP},
+steps AS (SELECT event_type, x AS rate, n AS t, round(least(1.0::DOUBLE, n / latency), 9) >= 0.9::DOUBLE AS attained, row_number() OVER (PARTITION BY event_type ORDER BY x) AS k FROM sweep),
+walk(event_type, k, held, last) AS (
+  SELECT event_type, k, attained, CASE WHEN attained THEN t END FROM steps WHERE k = 1
+  UNION ALL
+  SELECT s.event_type, s.k, s.attained AND (last IS NULL OR t >= last), CASE WHEN s.attained AND (last IS NULL OR t >= last) THEN t ELSE last END FROM walk JOIN steps s ON s.event_type = walk.event_type AND s.k = walk.k + 1
+),
+told AS (SELECT event_type, k, rate, held, lead(rate) OVER w AS next, held AND NOT lead(held) OVER w AS breaks FROM walk JOIN steps USING (event_type, k) WINDOW w AS (PARTITION BY event_type ORDER BY k)),
+own AS (SELECT event_type, max_by(rate, k) FILTER (breaks) AS broke, max_by(next, k) FILTER (breaks) AS beyond, max(rate) FILTER (held) AS sustained, min(rate) AS first, count(*) AS n_steps FROM told GROUP BY event_type)
+SELECT event_type, CASE WHEN broke IS NOT NULL THEN 'ESTIMATED' WHEN sustained IS NULL THEN 'NONE_SUSTAINABLE' ELSE 'LADDER_EXHAUSTED' END AS label, broke AS lambda_star, coalesce(broke, sustained) AS sustained_rate, coalesce(beyond, CASE WHEN sustained IS NULL THEN first END) AS first_unsustainable, n_steps FROM own
 """,
     "welch_stats": """
 WITH m AS (SELECT CASE WHEN event_type = 'click' THEN 'a' ELSE 'b' END AS side, hour(ts) AS w, round(avg(value), 9) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL),

@@ -175,7 +175,7 @@ def sessions(raw: DataFrame) -> DataFrame:
 
 def seeded_sample(df: DataFrame, n: int, *, key: str, seed: int = 42) -> DataFrame:
     """n rows in an order that the seed and the key decide."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def needles(spark: SparkSession, items: int, *, sentences: int, needles: int, seed: int = 42) -> DataFrame:
