@@ -9,6 +9,9 @@ classes for all others, within which a word's probability is its own share of th
 corpus counts, joined by word. A softmax over groups of classes and one within
 the token's group cost the root of the classes each.
 
+Texts are read twice: once to count, once to write every row's classes as numbers.
+Training and scoring read these.
+
 Training passes once over every token of every document, in numpy, in tasks: a
 round takes every ROUNDS-th row, every task descends through its own of them from
 the common parameters, and the tasks' parameters are averaged by tokens, in parts
@@ -27,6 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +116,11 @@ class Classes:
         """Classes, the edge among them."""
         return self.first + self.hashed
 
+    @property
+    def kind(self) -> type:
+        """The numbers that classes are written as."""
+        return np.uint16 if self.size <= 1 << 16 else np.int32
+
     def one(self, word: bytes) -> int:
         found = self.frequent.get(word)
         return self.first + xxhash.xxh64_intdigest(word) % self.hashed if found is None else found
@@ -159,6 +168,25 @@ def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found - np.log(sums), logits, sums
 
 
+def _errors(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, own: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The summed loss of a softmax, and its gradients: by row of hidden, by vector, by bias."""
+    found, error, sums = _softmax(hidden @ vectors.T + bias, own)
+    # the narrow sides are divided by the sums, not the errors
+    error[np.arange(len(own)), own] -= sums
+    share = 1 / sums
+    return -float(found.sum(dtype=np.float64)), (error @ vectors) * share[:, None], error.T @ (hidden * share[:, None]), error.T @ share
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of the keys, the different ones, and where each begins in that order."""
+    if len(keys) and keys.max() < 1 << 16:
+        keys = keys.astype(np.uint16)  # sorted by digits
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return order, keys[first].astype(np.int64), first
+
+
 class Network:
     """tanh of the neighbours' vectors, to a softmax over groups and one within the group.
 
@@ -203,23 +231,17 @@ class Network:
             total += seen[SIDE + offset : SIDE + offset + n, k * WIDTH : (k + 1) * WIDTH]
         return at, np.tanh(total if len(at) == n else total[at])
 
-    def _groups(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Group by group: its number, the rows of it, their members."""
-        members = self.parts[4].shape[1]
-        group, member = np.divmod(token, members)
-        order = np.argsort(group, kind="stable")
-        found, first = np.unique(group[order], return_index=True)
-        for number, rows in zip(found.tolist(), np.split(order, first[1:])):
-            yield number, rows, member[rows]
-
     def log_probs(self, cut: np.ndarray) -> np.ndarray:
         """Of every token in a cut, the log-probability of its class."""
         at, hidden = self._hidden(cut)
-        token = cut[at + SIDE] - 1
         _, _, groups, group_bias, members, member_bias = self.parts[:6]
-        out = _softmax(hidden @ groups.T + group_bias, token // members.shape[1])[0].astype(np.float64)
-        for number, rows, member in self._groups(token):
-            out[rows] += _softmax(hidden[rows] @ members[number].T + member_bias[number], member)[0]
+        own, member = np.divmod(cut[at + SIDE] - 1, members.shape[1])
+        out = _softmax(hidden @ groups.T + group_bias, own)[0].astype(np.float64)
+        order, found, first = _sorted(own)
+        state, member, inner = hidden[order], member[order], np.empty(len(at), dtype=np.float32)
+        for number, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+            inner[a:b] = _softmax(state[a:b] @ members[number].T + member_bias[number], member[a:b])[0]
+        out[order] += inner
         return out
 
     def step(self, cut: np.ndarray) -> tuple[float, int]:
@@ -228,35 +250,29 @@ class Network:
         if not len(at):
             return 0.0, 0
         near, bias, groups, group_bias, members, member_bias = self.parts[:6]
-        token = cut[at + SIDE] - 1
-        own = token // members.shape[1]
-        found, error, sums = _softmax(hidden @ groups.T + group_bias, own)
-        loss = -float(found.sum(dtype=np.float64))
-        error /= sums[:, None]
-        error[np.arange(len(at)), own] -= 1
-        back = error @ groups
-        group_grads = error.T @ hidden, error.sum(axis=0)
-        for number, rows, member in self._groups(token):
-            state = hidden[rows]
-            found, error, sums = _softmax(state @ members[number].T + member_bias[number], member)
-            loss -= float(found.sum(dtype=np.float64))
-            error /= sums[:, None]
-            error[np.arange(len(rows)), member] -= 1
-            back[rows] += error @ members[number]
-            self._change(4, number, error.T @ state)
-            self._change(5, number, error.sum(axis=0))
-        self._change(2, slice(None), group_grads[0])
-        self._change(3, slice(None), group_grads[1])
+        own, member = np.divmod(cut[at + SIDE] - 1, members.shape[1])
+        # the rows by their groups, so that a group's are one slice
+        order, seen, first = _sorted(own)
+        at, hidden, own, member = at[order], hidden[order], own[order], member[order]
+        lost, back, *group_grads = _errors(hidden, groups, group_bias, own)
+        grads = np.empty((len(seen), *members.shape[1:]), dtype=np.float32), np.empty((len(seen), members.shape[1]), dtype=np.float32)
+        for k, (number, a, b) in enumerate(zip(seen.tolist(), first.tolist(), [*first[1:].tolist(), len(at)])):
+            inner, more, grads[0][k], grads[1][k] = _errors(hidden[a:b], members[number], member_bias[number], member[a:b])
+            lost += inner
+            back[a:b] += more
+        for part, rows, grad in ((2, slice(None), group_grads[0]), (3, slice(None), group_grads[1]), (4, seen, grads[0]), (5, seen, grads[1])):
+            self._change(part, rows, grad)
         back *= 1 - hidden * hidden
         self._change(1, slice(None), back.sum(axis=0))
         # a word's vectors get the errors of the tokens that see it from each place
         wide, n = np.zeros((len(cut) + 2 * SIDE, WIDTH), dtype=np.float32), len(cut)
         wide[at + 2 * SIDE] = back
-        order = np.argsort(cut, kind="stable")
-        found, first = np.unique(cut[order], return_index=True)
-        errors = np.concatenate([wide[SIDE - offset : SIDE - offset + n] for offset in OFFSETS], axis=1)
-        self._change(0, found, np.add.reduceat(errors[order], first, axis=0))
-        return loss, len(at)
+        order, found, first = _sorted(cut)
+        grad = np.empty((len(found), len(OFFSETS) * WIDTH), dtype=np.float32)
+        for k, offset in enumerate(OFFSETS):
+            grad[:, k * WIDTH : (k + 1) * WIDTH] = np.add.reduceat(wide[SIDE - offset : SIDE - offset + n].take(order, axis=0), first, axis=0)
+        self._change(0, found, grad)
+        return lost, len(at)
 
     def _change(self, part: int, at, grad: np.ndarray) -> None:
         values, sums = self.parts[part], self.parts[part + 6]
@@ -272,21 +288,20 @@ def cuts(classes: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield classes[k - SIDE : min(len(classes) - SIDE, k + size) + SIDE]
 
 
-def _averaged(docs: DataFrame, frequent: Broadcast, words: int, network: Network, turn: int) -> tuple[Network, float, int]:
-    """The network after a round, the round's mean loss, and its tokens."""
-    spark = docs.sparkSession
+def _averaged(rows: DataFrame, kind: type, network: Network, turn: int) -> tuple[Network, float, int]:
+    """The network after a round over encoded rows, the round's mean loss, and its tokens."""
+    spark = rows.sparkSession
     shapes = [p.shape for p in network.parts]
     block = spark.sparkContext.broadcast((shapes, network.numbers()))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, classes, loss, tokens = Network.empty_like(*block.value), Classes(frequent.value, words), 0.0, 0
+        own, loss, tokens = Network.empty_like(*block.value), 0.0, 0
         held, size = [], 0
         for batch in slices(batches, 64):
-            classes.forget()
-            for text in as_bytes(batch.column("text")):
-                if found := item_words(text):
-                    held.append(classes.of(found))
-                    size += len(found)
+            for found in batch.column("classes").to_pylist():
+                if found:
+                    held.append(np.frombuffer(found, dtype=kind))
+                    size += len(held[-1])
             if size >= 16 * BATCH:
                 for cut in cuts(stream(held)[0], BATCH):
                     lost, n = own.step(cut)
@@ -311,7 +326,7 @@ def _averaged(docs: DataFrame, frequent: Broadcast, words: int, network: Network
         for part, (tokens, loss, sums) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens], pa.int64()), pa.array([loss]), pa.array([(sums / tokens).astype(np.float32).tobytes()], pa.binary())], names=["part", "tokens", "loss", "numbers"])
 
-    rows = docs.filter(F.pmod(F.monotonically_increasing_id(), F.lit(ROUNDS)) == turn).select("text")
+    rows = rows.filter(F.pmod("row", F.lit(ROUNDS)) == turn).select("classes")
     rows = rows.coalesce(SHARDS * spark.sparkContext.defaultParallelism)
     schema = "part int, tokens bigint, loss double, numbers binary"
     found = rows.mapInArrow(train, schema).repartition("part").mapInArrow(average, schema).collect()
@@ -322,49 +337,66 @@ def _averaged(docs: DataFrame, frequent: Broadcast, words: int, network: Network
     return Network.empty_like(shapes, numbers), found[0]["loss"] / found[0]["tokens"], found[0]["tokens"]
 
 
-class Scorer:
-    """What tasks need to score, all but the counts of rare words."""
+class Encoder:
+    """What tasks need to number a text's words, all but the counts of rare words."""
 
-    def __init__(self, frequent: list[bytes], words: int, network: Network, totals: np.ndarray, head: dict[bytes, int]):
-        self.frequent, self.words, self.network, self.totals, self.head = frequent, words, network, totals, head
+    def __init__(self, frequent: list[bytes], words: int, totals: np.ndarray, head: dict[bytes, int]):
+        self.frequent, self.words, self.totals, self.head = frequent, words, totals, head
         self._classes = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_classes": None}
 
-    def log_probs(self, texts: list[list[bytes]]) -> tuple[list[float], list[int], list[bytes], list[int]]:
-        """Of each text, the summed log-probability but for the logarithms of rare words' counts; then how many different ones it has, these words and how often each stands."""
+    @property
+    def kind(self) -> type:
+        return Classes(self.frequent, self.words).kind
+
+    def encode(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Of each text its classes and the logarithms of its words' shares of them, but for those of rare words' counts; then how many different ones it has, these words and how often each stands."""
         if self._classes is None:
             self._classes = Classes(self.frequent, self.words, self.head)
         known = self._classes
         known.forget()
-        ids = [known.ids(t) for t in texts]
-        row, starts = stream([known.classes[x] for x in ids])
-        each = np.zeros(len(row) + 1)
-        at = SIDE
-        for cut in cuts(row, BATCH):
-            places = at + np.flatnonzero(cut[SIDE : len(cut) - SIDE])
-            each[places] = self.network.log_probs(cut)
-            at += BATCH
-        out, many, rare, times = [], [], [], []
-        for own, start in zip(ids, starts.tolist()):
-            logs = known.logs[own]
-            unknown = np.isnan(logs)
-            tails = known.classes[own]
-            tails = tails[tails >= known.first]
-            out.append(float(each[start : start + len(own)].sum()) - float(self.totals[tails].sum()) + float(logs[~unknown].sum()))
-            found, n = np.unique(own[unknown], return_counts=True)
-            many.append(len(found))
-            rare += [known.words[k] for k in found.tolist()]
-            times += n.tolist()
-        return out, many, rare, times
+        sizes = [len(t) for t in texts]
+        ids = known.ids(list(chain.from_iterable(texts)))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        classes, logs = known.classes[ids], known.logs[ids]
+        unknown = np.isnan(logs)
+        logs[unknown] = 0
+        tails = classes >= known.first
+        logs[tails] -= self.totals[classes[tails]]
+        pairs, times = np.unique(text[unknown] * len(known.words) + ids[unknown], return_counts=True)
+        text_of, word = np.divmod(pairs, max(1, len(known.words)))
+        rows = np.split(classes.astype(known.kind), np.cumsum(sizes)[:-1]) if sizes else []
+        shares = np.bincount(text, weights=logs, minlength=len(texts))
+        return rows, shares, np.bincount(text_of, minlength=len(texts)), [known.words[k] for k in word.tolist()], times
+
+
+class Scorer(Encoder):
+    """An encoder and the network that scores what it wrote."""
+
+    def __init__(self, encoder: Encoder, network: Network):
+        super().__init__(encoder.frequent, encoder.words, encoder.totals, encoder.head)
+        self.network = network
+
+
+def log_probs(network: Network, rows: list[np.ndarray]) -> list[float]:
+    """Of each row of classes, the summed log-probability of these."""
+    row, starts = stream(rows)
+    each = np.zeros(len(row) + 1)
+    at = SIDE
+    for cut in cuts(row, BATCH):
+        places = at + np.flatnonzero(cut[SIDE : len(cut) - SIDE])
+        each[places] = network.log_probs(cut)
+        at += BATCH
+    return [float(each[start : start + len(own)].sum()) for own, start in zip(rows, starts.tolist())]
 
 
 class Model:
-    """The scorer, the table of all words' counts, and the mean loss of every round."""
+    """The scorer, the table of all words' counts, the mean loss of every round, and the rows it was fitted on with what was written of them."""
 
-    def __init__(self, scorer: Scorer, words: DataFrame, losses: list[float]):
-        self.scorer, self.words, self.losses = scorer, words, losses
+    def __init__(self, scorer: Scorer, words: DataFrame, losses: list[float], docs: DataFrame, rows: DataFrame):
+        self.scorer, self.words, self.losses, self.docs, self.rows = scorer, words, losses, docs, rows
 
 
 def _totals(words: DataFrame, frequent: Broadcast, own: int) -> np.ndarray:
@@ -384,41 +416,57 @@ def _totals(words: DataFrame, frequent: Broadcast, own: int) -> np.ndarray:
     return out
 
 
+def encoded(docs: DataFrame, encoder: Encoder) -> DataFrame:
+    """row, doc_id, n_tokens, classes, shares and rare words of every row, written; a row's number is its place."""
+    block: Broadcast = docs.sparkSession.sparkContext.broadcast(encoder)
+    entry = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            rows, shares, many, rare, times = block.value.encode([item_words(t) for t in as_bytes(batch.column("text"))])
+            ends = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], fields=list(entry.value_type)))
+            sizes, classes = pa.array([len(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, classes, pa.array(shares, pa.float64()), lists], names=["doc_id", "n_tokens", "classes", "shares", "rare"])
+
+    made = _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, classes binary, shares double, rare array<struct<word:binary,times:bigint>>")
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
+
+
 def fit(docs: DataFrame) -> Model:
-    """Counts over all documents, then the network."""
-    texts, spark = _texts(docs), docs.sparkSession
+    """Counts over all documents, then their classes, then the network."""
+    spark = docs.sparkSession
     words = written(word_counts(docs), "lm-words")
     sums = words.agg(F.count("*").alias("distinct"), F.sum("n").alias("tokens")).first()
     own = words_for(sums["distinct"])
     frequent = [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(own).collect()]
     # at most HEAD words are one in HEAD tokens each
     head = {bytes(r["word"]): r["n"] for r in words.filter(F.col("n") * HEAD >= (sums["tokens"] or 0)).collect()}
-    block = spark.sparkContext.broadcast(frequent)
-    totals, losses = _totals(words, block, own), []
-    network = Network.fresh(totals)
+    totals, losses = _totals(words, spark.sparkContext.broadcast(frequent), own), []
+    encoder = Encoder(frequent, own, np.log(np.maximum(totals, 1)), head)
+    rows, network = encoded(docs, encoder), Network.fresh(totals)
     for turn in range(ROUNDS):
-        network, loss, _ = _averaged(texts, block, own, network, turn)
+        network, loss, _ = _averaged(rows, encoder.kind, network, turn)
         losses.append(loss)
-    return Model(Scorer(frequent, own, network, np.log(np.maximum(totals, 1)), head), words, losses)
+    return Model(Scorer(encoder, network), words, losses, docs, rows)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob of every row."""
-    block: Broadcast = docs.sparkSession.sparkContext.broadcast(model.scorer)
-    entry = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    """doc_id, n_tokens, log_prob, mean_log_prob of every row; the rows that the model was fitted on are not encoded again."""
+    rows = model.rows if docs is model.docs else encoded(docs, model.scorer)
+    block: Broadcast = docs.sparkSession.sparkContext.broadcast(model.scorer.network)
+    kind = model.scorer.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            words = [item_words(t) for t in as_bytes(batch.column("text"))]
-            base, many, unknown, times = block.value.log_probs(words)
-            ends = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pa.int32())
-            rare = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(unknown, pa.binary()), pa.array(times, pa.int64())], fields=list(entry.value_type)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(base, pa.float64()), rare], names=["doc_id", "n_tokens", "base", "rare"])
+            found = log_probs(block.value, [np.frombuffer(x, dtype=kind) for x in batch.column("classes").to_pylist()])
+            base = pa.array(np.array(found) + batch.column("shares").to_numpy(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "doc_id", "n_tokens")), base], names=["row", "doc_id", "n_tokens", "base"])
 
-    made = _texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, base double, rare array<struct<word:binary,times:bigint>>")
-    made = written(made.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    met = made.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times").join(model.words, "word", "left")
+    made = rows.select("row", "doc_id", "n_tokens", "classes", "shares").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, base double")
+    made = written(made, "lm-scored")
+    met = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times").join(model.words, "word", "left")
     shares = met.groupBy("row").agg(F.sum(F.col("times") * F.round(F.log(F.coalesce("n", F.lit(1)).cast("double")) * UNIT).cast("bigint")).alias("share"))
     total = F.col("base") + F.coalesce("share", F.lit(0)) / F.lit(float(UNIT))
     mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
-    return made.drop("rare").join(shares, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))
+    return made.join(shares, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))

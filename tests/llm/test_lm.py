@@ -110,3 +110,39 @@ def test_scores_against_a_plain_reckoning(spark, monkeypatch):
 def test_empty_table(spark):
     table = docs(spark, [])
     assert lm.scored(table, lm.fit(table)).count() == 0
+
+
+def test_texts_are_read_twice(spark):
+    reads = spark.sparkContext.accumulator(0)
+    rows = [(k, " ".join(prose(k, 20, 40))) for k in range(40)]
+
+    def read(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    table = docs(spark, rows)
+    table = table.mapInArrow(read, table.schema)
+    model = lm.fit(table)
+    found = lm.scored(table, model).collect()
+    assert len(found) == 40 and reads.value == 2 * 40  # to count and to encode, not in every round
+    again = {r["doc_id"]: r["log_prob"] for r in lm.scored(docs(spark, rows), model).collect()}
+    assert all(math.isclose(again[r["doc_id"]], r["log_prob"], rel_tol=1e-5) for r in found)
+
+
+def test_encoded_rows_keep_texts_apart():
+    encoder = lm.Encoder([b"a", b"b"], 2, np.log([1.0, 5, 4, 9]), {b"a": 5, b"b": 4, b"c": 3})
+    texts = [[b"a", b"c"], [], [b"x", b"b", b"x", b"y"], [b"x"], []]
+    rows, shares, many, rare, times = encoder.encode(texts)
+    assert [r.tolist() for r in rows] == [[1, 3], [], [3, 2, 3, 3], [3], []]
+    assert np.allclose(shares, [math.log(3 / 9), 0, -3 * math.log(9), -math.log(9), 0])
+    assert (many.tolist(), rare, times.tolist()) == ([0, 0, 2, 1, 0], [b"x", b"y", b"x"], [2, 1, 1])
+    assert [len(x) for x in encoder.encode([])] == [0] * 5 and [len(r) for r in encoder.encode([[], []])[0]] == [0, 0]
+
+
+def test_many_classes_need_wider_numbers():
+    assert lm.Classes([], 1 << 15).kind is np.uint16 and lm.Classes([], 1 << 16).kind is np.int32
+    for big in (9, 70000):
+        order, found, first = lm._sorted(np.array([big, 3, big, 3, 0], dtype=np.int32))
+        assert (order.tolist(), found.tolist(), first.tolist()) == ([4, 1, 3, 0, 2], [0, 3, big], [0, 1, 3])
+    assert [x.tolist() for x in lm._sorted(np.zeros(0, dtype=np.int32))] == [[], [], []]
